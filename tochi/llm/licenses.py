@@ -113,7 +113,7 @@ def _sql_form(text: str) -> str:
     for other, one in SPELLINGS:
         out = f"replace({out}, '{other}', '{one}')"
     out = f"regexp_replace(regexp_replace({out}, '{COPYRIGHT_LINE}', '', 'g'), '{PUNCTUATION}', ' ', 'g')"
-    return f"list_filter(list_transform(string_split({out}, chr(10)), x -> trim(x)), x -> x <> '')"
+    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 def _sql_known() -> str:

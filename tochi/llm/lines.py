@@ -149,7 +149,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH docs AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (
-  SELECT doc_id, text, pos, list_filter(regexp_split_to_array(lower(parts[pos]), '[\x09-\x0D\x20]+'), w -> w <> '') AS words
+  SELECT doc_id, text, pos, list_filter(regexp_split_to_array(lower(parts[pos]), '[\x09-\x0D\x20]+'), lambda w: w <> '') AS words
   FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS pos FROM docs)),
 long AS (SELECT *, len(words) AS n FROM lines WHERE len(words) >= 5),
 ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, pos) AS o FROM long),
