@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; with ordinary texts that is a few MB.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 #: Code points (or bytes) that one numpy pass works on at once.
 PASS_CHARS = 1 << 20
 

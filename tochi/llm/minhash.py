@@ -10,7 +10,7 @@ looked at, so a signature costs about K ln K darts however long the text is.
 Documents with one and the same shingle set are one class from the start. Bands of
 signatures bring classes together. A bucket compares its members with pivots (a
 star, never all pairs), exactly, by Jaccard similarity of the shingle sets; members
-that share no component with the pivots meet further pivots, four times as many
+that share no component with the pivots meet further pivots, sixteen times as many
 each round, until every bucket is one component or all its members were pivots.
 
 Definitions for odd input: words are runs of anything but the six ASCII spaces; a
@@ -37,6 +37,12 @@ SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares none of 32 bands of 6 with probability 6e-5.
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
+#: Signatures' lowest bits differ in 19 of K = 192 coordinates at similarity 0.8,
+#: give or take 4.2; pairs that differ in more than this, four deviations off, are
+#: not looked at further.
+MOST_BITS = 36
+#: Classes that share a bucket are broadcast up to this many keys.
+BROADCAST_KEYS = 2_000_000
 #: Expected darts of a document: K coordinates stay empty in about 1 of 100.
 DARTS = K * (np.log(K) + 4)
 
@@ -180,35 +186,43 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bit_sketch(signature: np.ndarray) -> np.ndarray:
+    """rows x K / 64 words of one bit a coordinate, for a quick look at a pair."""
+    bits = np.packbits((mix(signature) & np.uint64(1)).astype(np.uint8), axis=1)
+    return bits.view(np.int64)
+
+
 def sketched(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    """``docs`` with set_hash (null without words), n_shingles, bands and shingles.
+    """``docs`` with set_hash (null without words), n_shingles, bands, bits and shingles.
 
-    names: what these four columns are to be called.
+    names: what these columns are to be called.
     """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    fields = [T.StructField(names["set_hash"], T.LongType()), T.StructField(names["n_shingles"], T.IntegerType()), T.StructField(names["bands"], T.ArrayType(T.LongType())), T.StructField(names["shingles"], T.BinaryType())]
+    fields = [T.StructField(names["set_hash"], T.LongType()), T.StructField(names["n_shingles"], T.IntegerType()), T.StructField(names["bands"], T.ArrayType(T.LongType())), T.StructField(names["bits"], T.ArrayType(T.LongType())), T.StructField(names["shingles"], T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             texts_all = texts_of(whole.column(at))
-            for group in grouped(texts_all, 1 << 20):
+            for group in grouped(texts_all, 1 << 19):
                 batch = whole.slice(group[0], len(group))
                 sets = shingle_sets([texts_all[g] for g in group])
-                keys = band_keys(signatures(sets))
-                hashes, bands, held = [], [], []
-                for s, key in zip(sets, keys):
+                marks = signatures(sets)
+                hashes, bands, bits, held = [], [], [], []
+                for s, key, bit in zip(sets, band_keys(marks), bit_sketch(marks)):
                     if not len(s):
                         hashes.append(None)
                         bands.append(None)
+                        bits.append(None)
                         held.append(None)
                         continue
                     with np.errstate(over="ignore"):
                         one = mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))
                     hashes.append(int(one.view(np.int64)[0]))
                     bands.append(key)
+                    bits.append(bit)
                     held.append((s >> np.uint64(32)).astype("<u4").tobytes())
-                yield with_columns(batch, [(names["set_hash"], pa.array(hashes, pa.int64())), (names["n_shingles"], pa.array([len(s) for s in sets], pa.int32())), (names["bands"], pa.array(bands, pa.list_(pa.int64()))), (names["shingles"], pa.array(held, pa.binary()))])
+                yield with_columns(batch, [(names["set_hash"], pa.array(hashes, pa.int64())), (names["n_shingles"], pa.array([len(s) for s in sets], pa.int32())), (names["bands"], pa.array(bands, pa.list_(pa.int64()))), (names["bits"], pa.array(bits, pa.list_(pa.int64()))), (names["shingles"], pa.array(held, pa.binary()))])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
@@ -235,44 +249,50 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(_jaccard, "a long, b long")
 
 
-def near_links(classes: DataFrame) -> DataFrame | None:
-    """Links (a, b) that join all near-duplicate classes (set_hash, bands, shingles)."""
-    members = classes.select(F.posexplode("bands").alias("band", "key"), F.col("set_hash").alias("c"), "n_shingles")
+def few(keys: DataFrame) -> DataFrame:
+    """``keys`` for a semi-join: broadcast if counted and few, else shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def near_classes(classes: DataFrame) -> DataFrame | None:
+    """(node, component) of the classes (row, set_hash, bands, bits, n_shingles, shingles) that have links."""
+    members = classes.select(F.posexplode("bands").alias("band", "key"), F.col("set_hash").alias("c"), "n_shingles", "bits")
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     members = saved(members.join(sizes, ["band", "key"]).withColumn("pivot", F.lit(False)), "mh-buckets")
-    if members.isEmpty():
+    wanted = saved(members.groupBy("c").agg(F.sum("size").alias("degree")), "mh-degree")
+    if wanted.isEmpty():
         return None
-    degree = members.groupBy("c").agg(F.sum("size").alias("degree"))
     # a text in the middle of a group shares most buckets: the best pivot
-    members = saved(members.join(degree, "c").select("band", "key", "c", "n_shingles", "degree", "pivot"), "mh-buckets")
-    wanted = members.select(F.col("c").alias("set_hash")).distinct()
-    sets = saved(classes.select("set_hash", "shingles").join(wanted, "set_hash"), "mh-sets")
-    links: DataFrame | None = None
+    members = saved(members.join(wanted, "c").select("band", "key", "c", "n_shingles", "bits", "degree", "pivot"), "mh-buckets")
+    sets = saved(classes.select("set_hash", "shingles").join(few(wanted.select(F.col("c").alias("set_hash"))), "set_hash", "left_semi"), "mh-sets")
+    labels: DataFrame | None = None
     many = 1
     while True:
-        labelled = members
-        if links is not None:
-            labels = saved(components(links), "mh-labels").select(F.col("node").alias("c"), "component")
-            labelled = members.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
+        if labels is None:
+            labelled = members.withColumn("component", F.col("c"))
+        else:
+            named = labels.select(F.col("node").alias("c"), "component")
+            labelled = members.join(named, "c", "left").withColumn("component", F.coalesce("component", "c"))
             # a bucket is settled when it is one component or has been compared throughout
-            state = labelled.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if(~F.col("pivot")).alias("left"), F.count_if("pivot").alias("done"))
-            open_ = state.filter("x <> y and left > 0 and left + done > 1 and (left > 1 or done = 0)").select("band", "key")
+            state = labelled.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if(~F.col("pivot")).alias("left"), F.count("*").alias("all"))
+            open_ = state.filter("x <> y and (left > 1 or left = 1 and all = 1)").select("band", "key")
             labelled = saved(labelled.join(open_, ["band", "key"]), "mh-open")
             if labelled.isEmpty():
-                return links
-        else:
-            labelled = labelled.withColumn("component", F.col("c"))
+                return labels
         best = labelled.filter(~F.col("pivot")).groupBy("band", "key", F.pmod(F.xxhash64("c"), F.lit(many)).alias("part"))
-        pivots = best.agg(F.max_by(F.struct("c", "n_shingles", "component"), F.struct("degree", "c")).alias("p")).select("band", "key", F.col("p.c").alias("p_c"), F.col("p.n_shingles").alias("p_n"), F.col("p.component").alias("p_component"))
+        pivots = best.agg(F.max_by(F.struct("c", "n_shingles", "bits", "component"), F.struct("degree", "c")).alias("p")).select("band", "key", F.col("p.c").alias("p_c"), F.col("p.n_shingles").alias("p_n"), F.col("p.bits").alias("p_bits"), F.col("p.component").alias("p_component"))
         pivots = saved(pivots, "mh-pivots")
         close = F.least("n_shingles", "p_n") >= SIMILARITY * F.greatest("n_shingles", "p_n") - 1e-9
-        pairs = labelled.join(pivots, ["band", "key"]).filter((F.col("c") != F.col("p_c")) & (F.col("component") != F.col("p_component")) & close)
+        apart = sum((F.bit_count(F.get("bits", k).bitwiseXOR(F.get("p_bits", k))) for k in range(K // 64)), F.lit(0))
+        pairs = labelled.join(pivots, ["band", "key"]).filter((F.col("c") != F.col("p_c")) & (F.col("component") != F.col("p_component")) & close & (apart <= MOST_BITS))
         pairs = pairs.select(F.least("c", "p_c").alias("a"), F.greatest("c", "p_c").alias("b")).distinct()
         found = saved(verified(pairs, sets), "mh-links")
-        links = found if links is None else links.unionByName(found)
+        if labels is not None:
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = saved(components(found), "mh-labels")
         marks = pivots.select("band", "key", F.col("p_c").alias("c"), F.lit(True).alias("now"))
         members = saved(labelled.drop("component").join(marks, ["band", "key", "c"], "left").withColumn("pivot", F.col("pivot") | F.coalesce("now", F.lit(False))).drop("now"), "mh-members")
-        many *= 4
+        many *= 16
 
 
 def classify(rows: DataFrame) -> DataFrame:
@@ -281,10 +301,9 @@ def classify(rows: DataFrame) -> DataFrame:
     worded = rows.filter(F.col("set_hash").isNotNull())
     firsts = saved(worded.groupBy("set_hash").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "mh-classes")
     heads = firsts.select(F.col("first.row").alias("row"))
-    links = near_links(worded.join(heads, "row"))
-    if links is not None:
-        labels = saved(components(links), "mh-labels").select(F.col("node").alias("set_hash"), "component")
-        firsts = firsts.join(labels, "set_hash", "left").withColumn("component", F.coalesce("component", "set_hash"))
+    near = near_classes(worded.join(heads, "row"))
+    if near is not None:
+        firsts = firsts.join(near.select(F.col("node").alias("set_hash"), "component"), "set_hash", "left").withColumn("component", F.coalesce("component", "set_hash"))
     else:
         firsts = firsts.withColumn("component", F.col("set_hash"))
     groups = firsts.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
@@ -294,7 +313,7 @@ def classify(rows: DataFrame) -> DataFrame:
     return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("head.id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("head.row") == F.col("row"))).alias("kept"))
 
 
-_NAMES = {x: x for x in ("set_hash", "n_shingles", "bands", "shingles")}
+_NAMES = {x: x for x in ("set_hash", "n_shingles", "bands", "bits", "shingles")}
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
