@@ -1 +1,171 @@
+"""Readers and writers: raw files in mixed encodings, processed tables, artifacts."""
 
+from __future__ import annotations
+
+import io
+import tempfile
+import uuid
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tochi.operators.normalize import normalize_api, normalize_csv
+
+WRAPPERS = ("data", "Data", "items", "results")
+JAPANESE = "windows-31j"
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share; a temporary one in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="tochi-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _csv(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    return spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("inferSchema", False).csv(paths)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """All rows, columns that some lack as null."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out
+
+
+def classify_encoding(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Paths by encoding: UTF-8 (a byte-order mark is fine) where valid, else Japanese.
+
+    What reaches the driver is one flag a file.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", F.expr("is_valid_utf8(content)").alias("ok")).collect()
+    out: dict[str, list[str]] = {}
+    for r in files:
+        out.setdefault("UTF-8" if r["ok"] else JAPANESE, []).append(r["path"])
+    return out
+
+
+class _JapaneseCharsets:
+    """Lets Spark read windows-31j while plans are made and run; restores the setting."""
+
+    key = "spark.sql.legacy.javaCharsets"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.before = self.spark.conf.get(self.key, "false")
+        self.spark.conf.set(self.key, "true")
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self.key, self.before)
+
+
+def read_transaction_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Bulk CSV files in UTF-8 (with or without mark) or Shift_JIS, all columns strings.
+
+    Spark checks the charset again when a plan runs, so Japanese files are transcoded
+    into the shared folder here, and the session's setting is as before on return.
+    """
+    frames = []
+    for code, own in sorted(classify_encoding(spark, paths).items()):
+        frame = _csv(spark, own, code) if code == "UTF-8" else None
+        if frame is None:
+            path = scratch(spark, "transcoded")
+            with _JapaneseCharsets(spark):
+                _csv(spark, own, code).write.parquet(path)
+            frame = spark.read.parquet(path)
+        frames.append(frame)
+    return union_all(frames)
+
+
+def transcode_to_utf8(spark: SparkSession, paths: list[str], target: str) -> None:
+    """Write the rows of Shift_JIS (or UTF-8) files as UTF-8 CSV, in parallel by file."""
+    read_transaction_csv(spark, paths).write.mode("overwrite").option("header", True).csv(target)
+
+
+def read_zipped_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first CSV member of each archive; one archive is one task's work."""
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
+                    if not names:
+                        raise ValueError(f"no CSV member in {path}")
+                    raw = archive.read(names[0])
+                try:
+                    text = raw.decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    text = raw.decode("cp932")
+                table = pd.read_csv(io.StringIO(text), dtype=str, keep_default_na=False)
+                yield pd.DataFrame({"row": [{k: (v or None) for k, v in r.items()} for r in table.to_dict("records")]})
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    rows = files.mapInPandas(members, "row map<string,string>")
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("row"))).distinct().collect())  # the header
+    return rows.select(*[F.try_element_at("row", F.lit(n)).alias(n) for n in names])
+
+
+def read_api_json(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records of API payloads as ``record`` (a map of strings), whatever wraps them."""
+    payload = spark.read.option("wholetext", True).text(paths).select(F.parse_json("value").alias("v"))
+    as_list = lambda path: F.try_variant_get("v", path, "array<variant>")
+    one = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.array("v"))
+    rows = payload.select(F.explode(F.coalesce(as_list("$"), *[as_list(f"$.{k}") for k in WRAPPERS], one)).alias("r"))
+    records = rows.filter(F.schema_of_variant("r").startswith("OBJECT"))
+    return records.select(F.from_json(F.to_json("r"), "map<string,string>").alias("record"))
+
+
+def read_transactions(spark: SparkSession, paths: list[str], missing_building_year: str = "drop") -> DataFrame:
+    """Mixed inputs by suffix, each normalised, in one table."""
+    by: dict[str, list[str]] = {}
+    for p in paths:
+        by.setdefault(p.lower().rsplit(".", 1)[-1] if p.lower().endswith((".zip", ".json")) else "csv", []).append(p)
+    frames = []
+    if "csv" in by:
+        frames.append(normalize_csv(read_transaction_csv(spark, by["csv"]), missing_building_year))
+    if "zip" in by:
+        frames.append(normalize_csv(read_zipped_csv(spark, by["zip"]), missing_building_year))
+    if "json" in by:
+        frames.append(normalize_api(read_api_json(spark, by["json"]), missing_building_year=missing_building_year))
+    return union_all(frames)
+
+
+def write_processed(df: DataFrame, path: str) -> None:
+    """Cleaned rows as Parquet by region; only the regions written are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region").parquet(path)
+
+
+def read_processed(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """The first of the paths that holds a table, or None."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            return spark.read.parquet(path)
+    return None
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """An artifact as JSON, one folder a region."""
+    df.write.mode("overwrite").partitionBy("region").json(path)
+
+
+def dictionary_documents(dictionary: DataFrame) -> DataFrame:
+    """One document a region: feature -> (value -> id), unknown id 0."""
+    values = dictionary.groupBy("region", "feature").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "id")))).alias("ids"))
+    return values.groupBy("region").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.to_json("ids").alias("ids"))))).alias("features")).withColumn("unknownId", F.lit(0))
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(region, feature, value, id) of written documents."""
+    docs = spark.read.schema("features map<string,string>, unknownId int, region string").json(path)
+    rows = docs.select("region", F.explode("features").alias("feature", "ids"))
+    return rows.select("region", "feature", F.explode(F.from_json("ids", "map<string,int>")).alias("value", "id"))
