@@ -32,15 +32,20 @@ MIN_WORDS = 5
 BROADCAST_KEYS = 2_000_000
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[\\x09-\\x0D\\x20]+"), lambda w: w != "")
+def canonical(line: Column) -> Column:
+    """The words of a line in lower case with one space between."""
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("  ")) | F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" "))
+    for space in ("\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(low, F.lit(space))
+    return F.when(odd, F.btrim(F.regexp_replace(low, "[\\x09-\\x0D\\x20]+", " "), F.lit(" "))).otherwise(low)
 
 
-def _half_keys(words: Column, n: Column) -> Column:
+def _half_keys(line: Column, n: Column) -> Column:
     """Hashes of the halves of a line as an equal or shorter and as a longer partner."""
     def pair(m: Column) -> list[Column]:
         a = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit("p"), m, F.slice(words, F.lit(1), a)), F.xxhash64(F.lit("s"), m, F.slice(words, n - (m - a) + 1, m - a))]
+        return [F.xxhash64(F.lit("p"), m, F.call_function("substring_index", line, F.lit(" "), a)), F.xxhash64(F.lit("s"), m, F.call_function("substring_index", line, F.lit(" "), a - m))]
 
     return F.array(*pair(n), *pair(n - 1))
 
@@ -50,10 +55,11 @@ def _order(doc: str = "d") -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, h, pos, c (hash of the words), n and words of each line long enough."""
+    """d, h, pos, words (with one space between), n and c (their hash) of each line long enough."""
     rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.filter(F.length("line") >= 2 * MIN_WORDS - 1).select("d", "h", "pos", words_of(F.col("line")).alias("words"))
-    return rows.withColumn("n", F.size("words")).filter(F.col("n") >= MIN_WORDS).withColumn("c", F.xxhash64("words"))
+    rows = rows.filter(F.octet_length("line") >= 2 * MIN_WORDS - 1).select("d", "h", "pos", canonical(F.col("line")).alias("words"))
+    n = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1
+    return rows.withColumn("n", n).filter(F.col("n") >= MIN_WORDS).withColumn("c", F.xxhash64("words"))
 
 
 def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -63,7 +69,7 @@ def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
     hopeful = saved(halves.join(shared, "half", "left_semi").select("c").distinct(), "ln-hopeful")
     if hopeful.count() <= BROADCAST_KEYS:
         hopeful = F.broadcast(hopeful)
-    own = lines.join(hopeful, "c", "left_semi").groupBy("c").agg(F.any_value("words").alias("words"))
+    own = lines.join(hopeful, "c", "left_semi").groupBy("c").agg(F.split(F.any_value("words"), " ").alias("words"))
     own = saved(own.join(classes.select("c", "n", "first"), "c"), "ln-words")
 
     place = Window.partitionBy("c").orderBy("j")

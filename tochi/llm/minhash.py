@@ -37,10 +37,10 @@ SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares none of 32 bands of 6 with probability 6e-5.
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
-#: Signatures' lowest bits differ in 19 of K = 192 coordinates at similarity 0.8,
-#: give or take 4.2; pairs that differ in more than this, four deviations off, are
-#: not looked at further.
-MOST_BITS = 36
+#: Two bits a coordinate of signatures differ in 29 of K = 192 coordinates at
+#: similarity 0.8, give or take 5; pairs that differ in more than this, four
+#: deviations off, are not looked at further.
+MOST_BITS = 49
 #: Classes that share a bucket are broadcast up to this many keys.
 BROADCAST_KEYS = 2_000_000
 #: Expected darts of a document: K coordinates stay empty in about 1 of 100.
@@ -187,9 +187,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(signature: np.ndarray) -> np.ndarray:
-    """rows x K / 64 words of one bit a coordinate, for a quick look at a pair."""
-    bits = np.packbits((mix(signature) & np.uint64(1)).astype(np.uint8), axis=1)
-    return bits.view(np.int64)
+    """rows x 2 K / 64 words of two bits a coordinate, plane by plane, for a quick look."""
+    mixed = mix(signature)
+    planes = [np.packbits((mixed >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1) for k in (0, 1)]
+    return np.hstack(planes).view(np.int64)
 
 
 def sketched(docs: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -283,7 +284,7 @@ def near_classes(classes: DataFrame) -> DataFrame | None:
         pivots = best.agg(F.max_by(F.struct("c", "n_shingles", "bits", "component"), F.struct("degree", "c")).alias("p")).select("band", "key", F.col("p.c").alias("p_c"), F.col("p.n_shingles").alias("p_n"), F.col("p.bits").alias("p_bits"), F.col("p.component").alias("p_component"))
         pivots = saved(pivots, "mh-pivots")
         close = F.least("n_shingles", "p_n") >= SIMILARITY * F.greatest("n_shingles", "p_n") - 1e-9
-        apart = sum((F.bit_count(F.get("bits", k).bitwiseXOR(F.get("p_bits", k))) for k in range(K // 64)), F.lit(0))
+        apart = sum((F.bit_count(F.get("bits", k).bitwiseXOR(F.get("p_bits", k)).bitwiseOR(F.get("bits", k + K // 64).bitwiseXOR(F.get("p_bits", k + K // 64)))) for k in range(K // 64)), F.lit(0))
         pairs = labelled.join(pivots, ["band", "key"]).filter((F.col("c") != F.col("p_c")) & (F.col("component") != F.col("p_component")) & close & (apart <= MOST_BITS))
         pairs = pairs.select(F.least("c", "p_c").alias("a"), F.greatest("c", "p_c").alias("b")).distinct()
         found = saved(verified(pairs, sets), "mh-links")

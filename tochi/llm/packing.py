@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,9 +38,8 @@ END_ID = 0
 DIMENSIONS = 4
 #: Bits of each dimension on the curve.
 LEVELS = 12
-#: Distinct words and lines ends a task's table of ids holds.
-HELD_WORDS = 300_000
-LONG_WORD = 200
+#: Distinct words and line ends a worker's table holds before it is emptied.
+HELD_WORDS = 800_000
 
 #: White space other than lone spaces and line feeds, where borders between
 #: pre-tokens depend on what follows; such texts go to the library whole.
@@ -69,23 +69,35 @@ class Tokens:
             return False
         return not any(a in text for a in self.added)
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not self._plain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
+    def _add(self, missing: set[str]) -> None:
+        """Encode words not held; a last comma or point behind a letter is its own."""
+        bare = {w[:-1] for w in missing if len(w) > 1 and w[-1] in ",." and w[-2].isalpha()}
+        todo = [w for w in missing if not (len(w) > 1 and w[-1] in ",." and w[-2].isalpha())]
+        todo += [w for w in bare if w not in self.words and w not in missing]
+        todo += [w for w in (",", ".") if w not in self.words and w not in missing]
+        for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
+            self.words[w] = array("I", e.ids).tobytes()
+        for w in missing:
+            if w not in self.words:
+                self.words[w] = self.words[w[:-1]] + self.words[w[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.words) > HELD_WORDS:
+            self.words = {"": b""}
+        cut = [t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") if self._plain(t) else None for t in texts]
+        self._add({w for words in cut if words for w in words if w not in self.words})
         held = self.words
-        found = [held.get(w) for w in words]
-        if None in found:
-            missing = list({w for w, ids in zip(words, found) if ids is None})
-            if len(held) + len(missing) > HELD_WORDS:
-                held.clear()
-                held[""] = b""
-                missing = list({w for w in words if w})
-            fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False))}
-            found = [fresh[w] if w in fresh else held[w] for w in words]
-            held.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG_WORD)
-        return b"".join(found)
+        return [
+            array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if words is None else b"".join([held[w] for w in words])
+            for t, words in zip(texts, cut)
+        ]
+
+
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    """One table a Python worker, kept from task to task."""
+    return Tokens(path)
 
 
 def project(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -140,13 +152,13 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         narrow = tokens.tokenizer.get_vocab_size() <= 1 << 16
         for batch in batches:
             texts = texts_of(batch.column(1))
             for at in range(0, len(texts), 100):
-                own = [tokens.encode(t) + end for t in texts[at : at + 100]]
+                own = [x + end for x in tokens.encode(texts[at : at + 100])]
                 ends = np.cumsum([len(x) // 4 for x in own])
                 ids = np.frombuffer(b"".join(own), dtype="<u4")
                 key = hilbert(np.minimum((project(ids, ends) * (1 << LEVELS)).astype(np.int64), (1 << LEVELS) - 1))

@@ -2,7 +2,7 @@
 
 No piece of the model has a whitespace marker behind another character (checked
 when the model is loaded), so no merge crosses the border before a run of
-markers. Each task keeps a table of the distinct marked words it met, has the
+markers. Each worker keeps a table of the distinct marked words it met, has the
 library segment and decode each once, and joins ids and surfaces back by position.
 The table is emptied when it is full, which costs time and never changes a result.
 
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tochi.llm.common import small_batches, table, texts_of
 
 MARK = "\u2581"
-#: Distinct words a task's table holds.
-HELD_WORDS = 300_000
+#: Distinct words a worker's table holds.
+HELD_WORDS = 500_000
 #: Longer words are segmented each time they occur and not kept.
 LONG_WORD = 200
 
@@ -74,12 +74,18 @@ class Encoder:
         return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])[1:]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One table a Python worker, kept from task to task."""
+    return Encoder(path)
+
+
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_path)
+        encoder = encoder_of(model_path)
         begin, end = (np.array([x], dtype="<u4").tobytes() for x in (encoder.model.bos_id(), encoder.model.eos_id()))
         for batch in batches:
             counts, ids, decoded = [], [], []
