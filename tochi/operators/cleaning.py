@@ -64,7 +64,7 @@ def positional_holdout(df: DataFrame, order: list[str], by: str = "region", shar
     blocks = df.groupBy(by, lead).agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy(by).orderBy(lead)
     blocks = blocks.select(F.col(by).alias("_by"), F.col(lead).alias("_lead"), (F.sum("_n").over(ahead) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias("_total"))
-    nth = F.row_number().over(Window.partitionBy(by, lead).orderBy(*rest))
+    nth = F.row_number().over(Window.partitionBy(by, lead).orderBy(*(rest or [lead])))
     out = df.withColumn("_nth", nth).join(blocks, F.col(by).eqNullSafe(F.col("_by")) & F.col(lead).eqNullSafe(F.col("_lead")))
     tested = F.greatest(F.lit(1), F.floor(F.col("_total") * share))
     test = F.col("_before") + F.col("_nth") > F.col("_total") - tested
