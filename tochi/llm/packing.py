@@ -65,7 +65,7 @@ class Tokens:
         self.words: dict[str, bytes] = {"": b""}
 
     def _plain(self, text: str) -> bool:
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _irregular.search(text):
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x01" in text:
             return False
         return not any(a in text for a in self.added)
 
@@ -85,13 +85,27 @@ class Tokens:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.words) > HELD_WORDS:
             self.words = {"": b""}
-        cut = [t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") if self._plain(t) else None for t in texts]
-        self._add({w for words in cut if words for w in words if w not in self.words})
-        held = self.words
-        return [
-            array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if words is None else b"".join([held[w] for w in words])
-            for t, words in zip(texts, cut)
-        ]
+        get = self.words.get
+        cut: list[list[str] | None] = []
+        out: list[bytes | None] = []
+        missing: set[str] = set()
+        for t in texts:
+            words = t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") if self._plain(t) else None
+            found = [get(w) for w in words] if words else [None]
+            whole = None not in found
+            if words and not whole:
+                missing.update([w for w, ids in zip(words, found) if ids is None])
+            cut.append(words)
+            out.append(b"".join(found) if whole else None)
+        odd = {w for w in missing if _irregular.search(w)}  # never held, so always met here
+        self._add(missing - odd)
+        for i, words in enumerate(cut):
+            if out[i] is None:
+                if words is None or odd and not odd.isdisjoint(words):
+                    out[i] = array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
+                else:
+                    out[i] = b"".join([self.words[w] for w in words])
+        return out
 
 
 @lru_cache(maxsize=1)
