@@ -56,7 +56,9 @@ def _order(doc: str = "d") -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """d, h, pos, words (with one space between), n and c (their hash) of each line long enough."""
-    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # hashed and split below the generator: beside it, both would run once a line
+    parts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("parts"))
+    rows = parts.select("d", "h", F.posexplode("parts").alias("pos", "line"))
     rows = rows.filter(F.octet_length("line") >= 2 * MIN_WORDS - 1).select("d", "h", "pos", canonical(F.col("line")).alias("words"))
     n = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1
     return rows.withColumn("n", n).filter(F.col("n") >= MIN_WORDS).withColumn("c", F.xxhash64("words"))
