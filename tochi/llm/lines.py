@@ -32,13 +32,18 @@ MIN_WORDS = 5
 BROADCAST_KEYS = 2_000_000
 
 
-def canonical(line: Column) -> Column:
-    """The words of a line in lower case with one space between."""
-    low = F.lower(line)
-    odd = F.contains(low, F.lit("  ")) | F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" "))
-    for space in ("\t", "\x0b", "\x0c", "\r"):
-        odd = odd | F.contains(low, F.lit(space))
-    return F.when(odd, F.btrim(F.regexp_replace(low, "[\\x09-\\x0D\\x20]+", " "), F.lit(" "))).otherwise(low)
+def canonical(text: Column) -> Column:
+    """A text in lower case with one space between the words of a line, none at its ends.
+
+    Worked out on whole texts: a filter on single lines would be pushed below the
+    projection and would lower each line once for every look at it.
+    """
+    low = F.lower(text)
+    odd = F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" "))
+    for part in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(low, F.lit(part))
+    single = F.regexp_replace(low, "[\\x09\\x0B-\\x0D\\x20]+", " ")
+    return F.when(odd, F.btrim(F.regexp_replace(single, " ?\n ?", "\n"), F.lit(" "))).otherwise(low)
 
 
 def _half_keys(line: Column, n: Column) -> Column:
@@ -56,12 +61,13 @@ def _order(doc: str = "d") -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """d, h, pos, words (with one space between), n and c (their hash) of each line long enough."""
-    # hashed and split below the generator: beside it, both would run once a line
-    parts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("parts"))
-    rows = parts.select("d", "h", F.posexplode("parts").alias("pos", "line"))
-    rows = rows.filter(F.octet_length("line") >= 2 * MIN_WORDS - 1).select("d", "h", "pos", canonical(F.col("line")).alias("words"))
+    # hashed and split below the generator: beside it, both would run once a line; the
+    # outer form keeps the split out of an inferred filter (texts here are never null)
+    parts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.split(canonical(F.col("text")), "\n").alias("parts"))
+    rows = parts.select("d", "h", F.posexplode_outer("parts").alias("pos", "words"))
+    rows = rows.filter(F.octet_length("words") > F.octet_length(F.substring_index("words", " ", MIN_WORDS - 1)))
     n = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("n", n).filter(F.col("n") >= MIN_WORDS).withColumn("c", F.xxhash64("words"))
+    return rows.withColumn("n", n).withColumn("c", F.xxhash64("words"))
 
 
 def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
