@@ -44,10 +44,10 @@ def transaction_year(text: Column) -> Column:
 def building_year(text: Column) -> Column:
     """Four digits, else an era year; null for other eras and for first years."""
     in_era = F.nullif(F.regexp_extract(narrow(text), "[0-9]+", 0), F.lit("")).cast("int")
-    era = F.lit(None).cast("int")
+    before_era = F.lit(None).cast("int")
     for name, before in reversed(ERAS):
-        era = F.when(F.startswith(text, F.lit(name)), in_era + before).otherwise(era)
-    return F.coalesce(four_digits(text), era)
+        before_era = F.when(F.startswith(text, F.lit(name)), F.lit(before)).otherwise(before_era)
+    return F.coalesce(four_digits(text), in_era + before_era)
 
 
 def building_age(year: Column, built: Column) -> Column:
