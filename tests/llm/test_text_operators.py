@@ -115,6 +115,15 @@ def test_quality_on_odd_rows(docs, none):
     assert quality.quality_rules(none).count() == 0
 
 
+def test_band_rejects_labelled_junk_and_keeps_clean_texts(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.quality_rules(df).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    junk, clean = ([r for r in rows if r.quality == q] for q in (0, 1))
+    assert sum(not r.kept for r in junk) >= len(junk) / 4  # none before
+    assert sum(not r.kept for r in clean) <= len(clean) / 20
+    assert np.mean([r.perplexity_unseen > r.perplexity for r in rows]) > 0.95  # a text adds to its own grams
+
+
 # ------------------------------------------------------------ op4
 
 
@@ -135,6 +144,15 @@ def test_language_on_odd_rows(docs, none):
     assert langid.identify(none).count() == 0
 
 
+def test_language_stage_rejects_texts_that_fit_no_language(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").drop("quality")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    total = {r.quality: r["count"] for r in df.join(labels, "doc_id").groupBy("quality").count().collect()}
+    kept = {r.quality: r["count"] for r in langid.keep_identified(df).join(labels, "doc_id").groupBy("quality").count().collect()}
+    assert kept[0] <= 0.75 * total[0]  # all were kept before
+    assert kept[1] >= 0.95 * total[1]
+
+
 # ------------------------------------------------------------ op3, op1, op9
 
 

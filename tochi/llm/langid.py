@@ -22,13 +22,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tochi.llm.common import grouped, mix, small_batches, spare_name, table, texts_of, with_columns
+from tochi.llm.common import grouped, mix, saved, small_batches, spare_name, table, texts_of, with_columns
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 MAX_LANGUAGES = 512
 SMOOTHING = 0.5
+#: A document may fit its language worse than the median by this many interquartile
+#: ranges, times sqrt(1 + FIT_CHARS / n) for n characters. Set on the labels of sf0.1:
+#: of the documents that pass op2's base rules it rejects 195 of 301 of quality 0 and
+#: 60 of 3,302 of quality 1 (a width of 3: 248 and 91; 6: 156 and 26).
+FIT_WIDTH = 4.0
+FIT_CHARS = 1000
+FIT_STEPS = 1000
 
 _letter = regex.compile(r"\p{L}")
 
@@ -109,31 +116,40 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Broadcast, prefix: str = "") -> DataFrame:
-    """``docs`` with lang_pred and score, the posterior of the prediction."""
+    """``docs`` with lang_pred, score and fit.
+
+    ``score`` is the posterior of the prediction, ``fit`` the mean log probability of
+    an n-gram in that language; a long text's posterior is near 1 whatever it holds,
+    its fit is not. ``fit`` is null where lang_pred is ``und``.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    fields = [T.StructField(prefix + "lang_pred", T.StringType()), T.StructField(prefix + "score", T.DoubleType())]
+    fields = [T.StructField(prefix + "lang_pred", T.StringType()), T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "fit", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, log_p, prior = model.value
         for batch in batches:
             texts = texts_of(batch.column(at))
             total = np.tile(prior, (len(texts), 1)) if names else np.zeros((len(texts), 0))
+            grams = np.zeros(len(texts))
             if names:
                 for row, bucket, count in _buckets(texts):
+                    grams += np.bincount(row, count, len(texts))
                     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                     part = np.add.reduceat(log_p[bucket] * count[:, None].astype(np.float64), first, axis=0)
                     np.add.at(total, row[first], part)
-            preds, scores = [], []
-            for text, line in zip(texts, total):
+            preds, scores, fits = [], [], []
+            for text, line, n in zip(texts, total, grams):
                 if not len(line) or not _letter.search(text):
                     preds.append("und")
                     scores.append(0.0)
+                    fits.append(None)
                 else:
                     best = int(np.argmax(line))
                     preds.append(names[best])
                     scores.append(float(1 / np.exp(line - line[best]).sum()))
-            yield with_columns(batch, [(prefix + "lang_pred", pa.array(preds, pa.string())), (prefix + "score", pa.array(scores, pa.float64()))])
+                    fits.append(float((line[best] - prior[best]) / n))
+            yield with_columns(batch, [(prefix + "lang_pred", pa.array(preds, pa.string())), (prefix + "score", pa.array(scores, pa.float64())), (prefix + "fit", pa.array(fits, pa.float64()))])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
@@ -142,16 +158,37 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text", "lang")))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    return predict(rows, model).drop("text")
+    return predict(rows, model).drop("text", "fit")
+
+
+def fit_limits(docs: DataFrame, model: Broadcast, prefix: str = "") -> DataFrame:
+    """(fit_lang, fit_mid, fit_unit): median and quartile range of fit by language told.
+
+    Taken over the held-out documents, which training has not seen; what is shuffled
+    is a histogram of FIT_STEPS bins a unit.
+    """
+    seen = predict(docs.filter(held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text")), model)
+    bins = seen.filter("lang_pred <> 'und'").groupBy("lang_pred", F.round(F.col("fit") * FIT_STEPS).cast("int").alias("q")).agg(F.count("*").alias("n"))
+    stats = bins.groupBy("lang_pred").agg(F.percentile("q", [0.25, 0.5, 0.75], F.col("n")).alias("p"))
+    unit = F.greatest(F.col("p")[2] - F.col("p")[0], F.lit(0.02 * FIT_STEPS)) / FIT_STEPS
+    return stats.select(F.col("lang_pred").alias(prefix + "fit_lang"), (F.col("p")[1] / FIT_STEPS).alias(prefix + "fit_mid"), unit.alias(prefix + "fit_unit"))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` whose language is told; those without one (``und``) are rejected."""
+    """``docs`` whose language is told and that fit it.
+
+    Rejected are those without a language (``und``), with a posterior under ``least``,
+    and those whose fit is far below their language's; a language of which no document
+    was held out has no limit.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text", "lang")))
     names = docs.columns
     prefix = spare_name([c[:3] for c in names], "li_")
-    out = predict(docs, model, prefix)
-    return out.filter((F.col(prefix + "lang_pred") != "und") & (F.col(prefix + "score") >= least)).select(*names)
+    limits = saved(fit_limits(docs, model, prefix), "li-limits")
+    out = predict(docs, model, prefix).join(F.broadcast(limits), F.col(prefix + "lang_pred") == F.col(prefix + "fit_lang"), "left")
+    wide = FIT_WIDTH * F.col(prefix + "fit_unit") * F.sqrt(1 + FIT_CHARS / F.greatest(F.length("text"), F.lit(1)))
+    fits = F.coalesce(F.col(prefix + "fit") >= F.col(prefix + "fit_mid") - wide, F.lit(True))
+    return out.filter((F.col(prefix + "lang_pred") != "und") & (F.col(prefix + "score") >= least) & fits).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ every text in Spark; lower orders use continuation counts. Words of the corpora
 this runs on are open-ended, so word n-grams would move more bytes than the texts
 themselves, while character n-grams saturate and combine before the shuffle.
 
+The band judges a text by a model that has not counted it: the texts are dealt into
+two halves by a hash of the text, so exact copies share one, and each is scored by
+the model of the other half. The reported perplexity is that of the model of all texts.
+
 Definitions for odd input: a null text counts as empty; a null language is the
 language ``und``; an empty table gives no rows; texts of any length are worked on
 in windows; repeated rows are scored alike; further columns pass through.
@@ -31,14 +35,17 @@ ORDER = 5
 SYMBOL_BITS = 12
 SYMBOL_MASK = (1 << SYMBOL_BITS) - 1
 #: Hash slots of the highest order and of all others. They bound the model that
-#: is broadcast: (2**22 + 9 * 2**20) * 8 bytes, about 110 MB, for any corpus.
+#: is broadcast: (2**22 + 9 * 2**20) * 8 bytes, about 110 MB, for any corpus and
+#: each of the models (of either half and of all texts).
 TOP_BITS, LOW_BITS = 22, 20
 #: Distinct n-grams a counting task holds before it emits what it has.
 HELD_GRAMS = 2_000_000
 #: Half-width of a language's band in interquartile ranges of log perplexity, for
 #: long texts; a text of n characters has a band sqrt(1 + BAND_CHARS / n) as wide,
-#: since the mean of few characters spreads more.
-BAND_WIDTH = 6.0
+#: since the mean of few characters spreads more. Set on the labels of sf0.1: of the
+#: documents that pass the base rules it rejects 144 of 301 of quality 0 and 60 of
+#: 3,302 of quality 1 (a width of 1.5: 190 and 129; 2.5: 92 and 42; 6: none and 5).
+BAND_WIDTH = 2.0
 BAND_CHARS = 1000
 #: Log perplexities are quantised to this many steps per unit for the quartiles.
 STEPS = 1000
@@ -119,34 +126,39 @@ def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield owner[inside], grams[inside[pad:]]
 
 
-def _by_language(langs: list[str | None]) -> dict[str, list[int]]:
-    found: dict[str, list[int]] = {}
-    for i, lang in enumerate(langs):
-        found.setdefault(lang or "und", []).append(i)
+def half_of(text: Column) -> Column:
+    """The half of the corpus that a text belongs to, 0 or 1; copies share it."""
+    return F.pmod(F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))), F.lit(2)).cast("int")
+
+
+def _by_language(langs: list[str | None], halves: list[int]) -> dict[tuple[str, int], list[int]]:
+    found: dict[tuple[str, int], list[int]] = {}
+    for i, (lang, half) in enumerate(zip(langs, halves)):
+        found.setdefault((lang or "und", half), []).append(i)
     return found
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     fresh = 0
 
     def emit() -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
+        for (lang, half), parts in held.items():
             grams, counts = _merge(parts)
             for at in range(0, len(grams), 100_000):
                 g = grams[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(counts[at : at + 100_000])], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{half}{lang}"] * len(g), pa.string()), pa.array(g), pa.array(counts[at : at + 100_000])], names=["lang", "gram", "n"])
 
     for batch in batches:
         texts, langs = texts_of(batch.column(1)), batch.column(0).to_pylist()
-        for lang, rows in _by_language(langs).items():
-            parts = held.setdefault(lang, [])
+        for key, rows in _by_language(langs, batch.column(2).to_pylist()).items():
+            parts = held.setdefault(key, [])
             for _, grams in _windows([texts[i] for i in rows]):
                 found = np.unique(grams, return_counts=True)
                 parts.append((found[0], found[1].astype(np.int64)))
                 fresh += len(found[0])
         if fresh > HELD_GRAMS:
-            held = {lang: [_merge(parts)] for lang, parts in held.items()}
+            held = {key: [_merge(parts)] for key, parts in held.items()}
             fresh = 0
             if sum(len(parts[0][0]) for parts in held.values()) > HELD_GRAMS:
                 yield from emit()
@@ -166,9 +178,12 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over every text; grams are packed ORDER symbols."""
+    """(lang, gram, n) over every text; grams are packed ORDER symbols.
+
+    ``lang`` is the half, one digit, and the language behind it.
+    """
     small_batches(docs.sparkSession)
-    raw = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_count_batches, "lang string, gram long, n long")
+    raw = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), half_of(F.col("text")).alias("half")).mapInArrow(_count_batches, "lang string, gram long, n long")
     return raw.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -240,13 +255,13 @@ def _slots(level: int, lang: str, grams: np.ndarray) -> np.ndarray:
 
 def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        level, lang, gram = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        level, lang, gram = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
         slot = np.zeros(len(level), np.int64)
         for lv in np.unique(level):
             for lg in set(lang[level == lv]):
                 rows = (level == lv) & (lang == lg)
                 slot[rows] = _slots(int(lv), lg, gram[rows])
-        yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(slot), pa.array(np.exp(batch.column(3).to_numpy(zero_copy_only=False)))], names=["level", "slot", "p"])
+        yield pa.RecordBatch.from_arrays([pa.array(level), batch.column(1), pa.array(slot), pa.array(np.exp(batch.column(4).to_numpy(zero_copy_only=False)))], names=["level", "part", "slot", "p"])
 
 
 @dataclass
@@ -292,64 +307,86 @@ class HashedModel:
         return out
 
 
-def fit(docs: DataFrame) -> HashedModel:
-    """Count, smooth and hash the model; what reaches the driver is bounded.
+#: Name of the model of all texts; those of the halves are named by their digit.
+WHOLE = "*"
+
+
+def fit(docs: DataFrame, whole: bool = False) -> dict[str, HashedModel]:
+    """Count, smooth and hash the models; what reaches the driver is bounded.
 
-    At most 2**22 + 9 * 2**20 slots exist, whatever the corpus; grams that share
+    One model for each half and, with ``whole``, one for all texts. At most
+    2**22 + 9 * 2**20 slots of each exist, whatever the corpus; grams that share
     a slot share their mean probability.
     """
     top = saved(count_grams(docs), "kn-counts5")
-    rows = kneser_ney(top).mapInArrow(_slot_batches, "level int, slot long, p double")
-    rows = rows.groupBy("level", "slot").agg(F.avg("p").alias("p")).select("level", "slot", F.ln("p").cast("float").alias("value"))
-    got = saved(rows, "kn-model").toArrow()
-    level, slot, value = (got.column(k).to_numpy() for k in range(3))
-    order = np.lexsort((slot, level))
-    level, slot, value = level[order], slot[order].astype(np.uint32), value[order]
-    levels = [int(x) for x in np.unique(level)]
-    return HashedModel({k: slot[level == k] for k in levels}, {k: value[level == k] for k in levels})
+    if whole:
+        both = top.groupBy(F.concat(F.lit(WHOLE), F.substr("lang", F.lit(2))).alias("lang"), "gram").agg(F.sum("n").alias("n"))
+        top = saved(top.unionByName(both), "kn-counts5-all")
+    rows = kneser_ney(top).select("level", F.substring("lang", 1, 1).alias("part"), F.substr("lang", F.lit(2)).alias("lang"), "gram", "value")
+    rows = rows.mapInArrow(_slot_batches, "level int, part string, slot long, p double")
+    rows = rows.groupBy("level", "part", "slot").agg(F.avg("p").alias("p")).select("level", "part", "slot", F.ln("p").cast("float").alias("value"))
+    rows = saved(rows.repartitionByRange("part", "level", "slot"), "kn-model")
+    models = {}
+    for name in ("0", "1", WHOLE) if whole else ("0", "1"):
+        slots, values = {}, {}
+        for level in range(1 - ORDER, ORDER + 1):  # one at a time: the driver never holds them as rows together
+            got = rows.filter((F.col("part") == name) & (F.col("level") == level)).select(F.col("slot").cast("int"), "value").toArrow()
+            slot = got.column(0).to_numpy()
+            order = np.argsort(slot)
+            slots[level], values[level] = slot[order].astype(np.uint32), got.column(1).to_numpy()[order]
+        models[name] = HashedModel(slots, values)
+    return models
 
 
 # ---------------------------------------------------------------- scoring
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_LOGS = ("log_perplexity", "unseen_perplexity")
 
 
 def score(docs: DataFrame, model: Broadcast, prefix: str = "") -> DataFrame:
-    """``docs`` with the base counts, base_failed and log_perplexity (per character).
+    """``docs`` with the base counts, base_failed, log_perplexity and unseen_perplexity.
 
-    ``log_perplexity`` is null for an empty text. New columns are named with
+    ``log_perplexity`` (per character) is by the model of all texts, where there is
+    one; ``unseen_perplexity`` is its log by the model of the half without the text.
+    Both are null for an empty text. New columns are named with
     ``prefix`` where a name would clash with one of ``docs``.
     """
     small_batches(docs.sparkSession)
-    at = {c: docs.columns.index(c) for c in ("text", "lang")}
+    half = spare_name(docs.columns, "half")
+    docs = docs.withColumn(half, half_of(F.col("text")))
+    at = {c: docs.columns.index(c) for c in ("text", "lang", half)}
     fields = [T.StructField(prefix + c, T.LongType()) for c in _COUNTS]
-    fields += [T.StructField(prefix + "base_failed", T.BooleanType()), T.StructField(prefix + "log_perplexity", T.DoubleType())]
+    fields += [T.StructField(prefix + "base_failed", T.BooleanType()), *(T.StructField(prefix + c, T.DoubleType()) for c in _LOGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = texts_of(batch.column(at["text"])), batch.column(at["lang"]).to_pylist()
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(_COUNTS))
-            total, seen = np.zeros(len(texts)), np.zeros(len(texts))
-            for lang, rows in _by_language(langs).items():
+            models, total, seen = model.value, np.zeros((2, len(texts))), np.zeros(len(texts))
+            for (lang, half_no), rows in _by_language(langs, batch.column(at[half]).to_pylist()).items():
                 where = np.array(rows)
                 for owner, grams in _windows([texts[i] for i in rows]):
-                    total[where] += np.bincount(owner, model.value.log_p(lang, grams), len(rows))
+                    for k, by in enumerate((models.get(WHOLE), models[str(1 - half_no)])):
+                        if by is not None:
+                            total[k, where] += np.bincount(owner, by.log_p(lang, grams), len(rows))
                     seen[where] += np.bincount(owner, minlength=len(rows))
             failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
             value = -total / np.maximum(seen, 1)
             new = [(prefix + c, pa.array(counts[:, k])) for k, c in enumerate(_COUNTS)]
-            yield with_columns(batch, [*new, (prefix + "base_failed", pa.array(failed)), (prefix + "log_perplexity", pa.array(value, mask=seen == 0))])
+            logs = [(prefix + c, pa.array(value[k], mask=(seen == 0) | (k == 0 and WHOLE not in models))) for k, c in enumerate(_LOGS)]
+            yield with_columns(batch, [*new, (prefix + "base_failed", pa.array(failed)), *logs])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields])).drop(half)
 
 
 def bands(scored: DataFrame, prefix: str = "") -> DataFrame:
-    """(band_lang, band_mid, band_unit): median and quartile range of log perplexity.
+    """(band_lang, band_mid, band_unit): median and quartile range of unseen perplexity.
 
     Quartiles are exact over quantised values of all documents that pass the base
     rules; the quantised histogram is what is shuffled.
     """
-    q = F.round(F.col(prefix + "log_perplexity") * STEPS).cast("int")
+    q = F.round(F.col(prefix + "unseen_perplexity") * STEPS).cast("int")
     bins = scored.filter(~F.col(prefix + "base_failed")).groupBy(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias(prefix + "band_lang"), q.alias("q")).agg(F.count("*").alias("n"))
     stats = bins.groupBy(prefix + "band_lang").agg(F.percentile("q", [0.25, 0.5, 0.75], F.col("n")).alias("p"))
     unit = F.greatest(F.col("p")[2] - F.col("p")[0], F.lit(0.02 * STEPS)) / STEPS
@@ -359,7 +396,7 @@ def bands(scored: DataFrame, prefix: str = "") -> DataFrame:
 def judge(scored: DataFrame, limits: DataFrame, prefix: str = "") -> DataFrame:
     """``scored`` with its language's band_low and band_high, and kept."""
     joined = scored.join(limits, F.coalesce(F.col("lang").cast("string"), F.lit("und")) == F.col(prefix + "band_lang"), "left").drop(prefix + "band_lang")
-    x, mid = F.col(prefix + "log_perplexity"), F.col(prefix + "band_mid")
+    x, mid = F.col(prefix + "unseen_perplexity"), F.col(prefix + "band_mid")
     half = BAND_WIDTH * F.col(prefix + "band_unit") * F.sqrt(1 + BAND_CHARS / F.greatest(F.col(prefix + "word_chars"), F.lit(1)))
     joined = joined.withColumns({prefix + "band_low": mid - half, prefix + "band_high": mid + half})
     inside = F.coalesce(x.between(F.col(prefix + "band_low"), F.col(prefix + "band_high")), F.lit(False))
@@ -370,10 +407,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, perplexity, band and verdict."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "lang")
-    model = spark.sparkContext.broadcast(fit(docs))
+    model = spark.sparkContext.broadcast(fit(docs, whole=True))
     scored = saved(score(docs, model).drop("text"), "kn-scored")
     out = judge(scored, bands(scored))
-    return out.select("doc_id", *_COUNTS, "base_failed", F.exp("log_perplexity").alias("perplexity"), F.exp("band_low").alias("perplexity_low"), F.exp("band_high").alias("perplexity_high"), "kept")
+    return out.select("doc_id", *_COUNTS, "base_failed", F.exp("log_perplexity").alias("perplexity"), F.exp("unseen_perplexity").alias("perplexity_unseen"), F.exp("band_low").alias("perplexity_low"), F.exp("band_high").alias("perplexity_high"), "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
