@@ -37,3 +37,26 @@ def test_equals_sql(spark, duck, name):
     assert sorted(names) == cols
     got = Counter(tuple(plain(r[c]) for c in cols) for r in df.collect())
     assert got == Counter(tuple(plain(r[names.index(c)]) for c in cols) for r in rel.fetchall())
+
+
+def test_models_are_made_of_all_regions(spark, monkeypatch):
+    train, tune, tuned = catalogue.training.train, catalogue.training.tune, []
+    asked = []
+
+    def quick(df, sizes, **parameters):  # one tree where the query asks for the default number
+        asked.append(parameters)
+        return train(df, sizes, **{"maxIter": 1, "maxDepth": 2} | parameters)
+
+    def quick_tune(df, sizes, **parameters):
+        tuned.append(parameters)
+        return tune(df, sizes, trials=1, max_trees=1)
+
+    monkeypatch.setattr(catalogue.training, "train", quick)
+    monkeypatch.setattr(catalogue.training, "tune", quick_tune)
+    regions = {r[0] for r in catalogue.clean(spark, SF).select("region").distinct().collect()}
+    assert len(regions) > 1
+    for name in ("m01_m06_train_and_score", "m05_o03_feature_importance", "k04_k06_metadata_and_model"):
+        assert {r.region for r in catalogue.QUERIES[name](spark, SF).collect()} == regions
+    assert asked == [{}] * 3 * len(regions)
+    assert {r.region for r in catalogue.QUERIES["m02_m04_tune_and_deploy"](spark, SF).collect()} == regions
+    assert tuned == [{}] * len(regions)

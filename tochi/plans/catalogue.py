@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -632,43 +633,64 @@ def r02(spark, sf):
 # ------------------------------------------------------------ models and providers
 
 
-def _trained(spark, sf, region: str = "ASIA"):
-    rows = _encoded(spark, sf).filter(F.col("region") == region)
-    sizes = training.sizes_of(_dictionary(spark, sf).filter(F.col("region") == region))
-    marked = cleaning.time_holdout(rows, START, TEST)
-    return marked, sizes, training.train(marked.filter("is_train"), sizes, maxIter=3, maxDepth=4)
+def _regional(spark, sf):
+    """Encoded rows with their holdout marks, written once by region, and the sizes of each region that has training rows."""
+    marked = cleaning.time_holdout(_encoded(spark, sf), START, TEST)
+    path = sources.scratch(spark, "regional")
+    marked.write.partitionBy("region").parquet(path)
+    rows = spark.read.schema(marked.schema).parquet(path)
+    sizes = training.sizes_by_region(_dictionary(spark, sf))
+    fitted = [r[0] for r in rows.filter(F.col("is_train") & F.col("region").isNotNull()).select("region").distinct().orderBy("region").collect()]
+    return rows, {r: sizes[r] for r in fitted}
+
+
+def _of(rows, region):
+    return rows.filter(F.col("region") == region)
+
+
+def _trained(spark, sf):
+    rows, sizes = _regional(spark, sf)
+    return rows, sizes, {r: training.train(_of(rows, r).filter("is_train"), sizes[r]) for r in sizes}
+
+
+def _scored(rows, sizes, models):
+    """The rows of all regions, each through its region's model with its region's sizes."""
+    return reduce(DataFrame.unionByName, [training.score({r: models[r]}, rows, sizes[r]) for r in sizes])
 
 
 @query("m01_m06_train_and_score")
 def m01(spark, sf):
-    rows, sizes, model = _trained(spark, sf)
-    scored = training.score({"ASIA": model}, rows.filter("is_test"), sizes)
-    return history.metrics(scored, ["region"])
+    rows, sizes, models = _trained(spark, sf)
+    return history.metrics(_scored(rows.filter("is_test"), sizes, models), ["region"])
 
 
 @query("m05_o03_feature_importance")
 def m05(spark, sf):
-    model = _trained(spark, sf)[2]
-    return training.feature_importance(spark, model, "ASIA").orderBy(F.desc("importance"), "feature").limit(5)  # the report's top five
+    models = _trained(spark, sf)[2]
+    parts = [training.feature_importance(spark, m, r).orderBy(F.desc("importance"), "feature").limit(5) for r, m in models.items()]  # the report's top five
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("m02_m04_tune_and_deploy")
 def m02(spark, sf):
-    rows = cleaning.time_holdout(_encoded(spark, sf).filter("region = 'ASIA'"), START, TEST)
-    sizes = training.sizes_of(_dictionary(spark, sf).filter("region = 'ASIA'"))
-    split = rows.filter("is_train").withColumns({"is_fit": F.col("transaction_year") < VALIDATION, "is_valid": F.col("transaction_year") == VALIDATION})
-    best, trials = training.tune(split, sizes, trials=2, max_trees=4)
-    deployed = training.train(cleaning.deployment_window(rows, START, TEST), sizes, **best)
-    return trials.withColumn("deployed_trees", F.lit(len(deployed.stages[-1].trees)))
+    rows, sizes = _regional(spark, sf)
+    parts = []
+    for r in sizes:
+        split = _of(rows, r).filter("is_train").withColumns({"is_fit": F.col("transaction_year") < VALIDATION, "is_valid": F.col("transaction_year") == VALIDATION})
+        best, trials = training.tune(split, sizes[r])
+        deployed = training.train(cleaning.deployment_window(_of(rows, r), START, TEST), sizes[r], **best)
+        parts.append(trials.withColumns({"deployed_trees": F.lit(len(deployed.stages[-1].trees)), "region": F.lit(r)}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("k04_k06_metadata_and_model")
 def k04(spark, sf):
-    rows, sizes, model = _trained(spark, sf)
+    rows, sizes, models = _trained(spark, sf)
     run, path = uuid.uuid4().hex, sources.scratch(spark, "model")
-    model.write().overwrite().save(f"{path}/ASIA_{run}/model")
+    for r, model in models.items():
+        model.write().overwrite().save(f"{path}/{r}_{run}/model")
     counts = rows.groupBy("region").agg(F.count("*").alias("records"), F.count_if("is_train").alias("train"), F.count_if("is_test").alias("test"))
-    errors = history.metrics(model.transform(training.nominal(rows.filter("is_test"), sizes)), ["region"])
+    errors = history.metrics(_scored(rows.filter("is_test"), sizes, models), ["region"])
     doc = counts.join(errors, "region").select("region", F.struct("records", "train", "test").alias("rows"), F.struct("mae", "rmse", "mape").alias("metrics"))
     sources.write_json(doc, f"{path}/metadata")
     return spark.read.schema(doc.schema).json(f"{path}/metadata").select("region", "rows.records", "rows.train", "rows.test", F.round("metrics.mae", 1).alias("mae"))
