@@ -9,9 +9,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; with ordinary texts that is a few MB.
+#: Rows in one Arrow batch, and bytes after which it is closed (one row may be larger).
 BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
+#: Rows of a table of facts that is broadcast whole.
+BROADCAST_FACTS = 500_000
 #: Code points (or bytes) that one numpy pass works on at once.
 PASS_CHARS = 1 << 20
 
@@ -22,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share; a temporary one only for a local master that has none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tochi-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -39,12 +45,40 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing still to be run reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, most: int = BROADCAST_FACTS) -> DataFrame:
+    """``rows`` left-joined with saved ``facts``, one row a key; no key meets in one task.
+
+    ``weight`` is the column of facts with the number of rows a key has, or a number in
+    proportion. Few facts are broadcast whole. Of many, the at most ``most`` heaviest
+    are broadcast and the light ones shuffled; rows without a key are not joined at all.
+    """
+    n, total = facts.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if n <= most:
+        return rows.join(F.broadcast(facts), key, "left")
+    heavy = F.col(weight) > total // most
+    found = [c for c in facts.columns if c != key]
+    marked = rows.join(F.broadcast(facts.filter(heavy).withColumn("_hot", F.lit(True))), key, "left")
+    light = marked.filter(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot", *found).join(facts.filter(~heavy), key, "left")
+    return light.unionByName(marked.filter(F.col("_hot").isNotNull() | F.col(key).isNull()).drop("_hot"))
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def grouped(texts: list[str], size: int = PASS_CHARS) -> Iterator[list[int]]:

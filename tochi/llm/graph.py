@@ -10,12 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tochi.llm.common import saved
+from tochi.llm.common import BROADCAST_FACTS, discard, saved, with_facts
 
 
-def _least(links: DataFrame) -> DataFrame:
-    """(u, m): each node and the least of its neighbours and itself."""
-    return links.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+def _with_least(links: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``links``, at most ``n``, with m, the least of u's neighbours and u; and saved tables it reads."""
+    least = links.groupBy("u").agg(F.min("v").alias("x"), F.count("*").alias("degree")).select("u", F.least("u", "x").alias("m"), "degree")
+    if n <= BROADCAST_FACTS:
+        return links.join(F.broadcast(least.drop("degree")), "u"), []
+    facts = saved(least, "cc")
+    return with_facts(links, facts, "u", "degree").drop("degree"), [facts]
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """No node has two centres, and no centre is a member of another star."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("member"), F.lit(0).alias("centre")), F.struct(F.col("v").alias("node"), F.lit(0).alias("member"), F.lit(1).alias("centre")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("member").alias("m"), F.max("centre").alias("c")).filter("m > 1 or m = 1 and c = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,20 +35,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = saved(edges.filter("u > v").distinct(), "cc")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    n = edges.count()
+    while not _are_stars(edges):
         # large star: neighbours above a node go to the least around it
-        large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        joined, read = _with_least(both, 2 * n)
+        large = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large.filter("u > v").distinct(), "cc")
+        discard(edges, *read)
         # small star: a node and its lesser neighbours go to the least of them
-        small = large.join(_least(large), "u")
-        small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        joined, read = _with_least(large, 2 * n)
+        small = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = saved(small.filter("u > v").distinct(), "cc")
-        # done when the links are stars around least nodes: no node has two, no centre is a member
-        state = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")).first()
-        if before == tuple(state):
-            break
-        before = tuple(state)
+        discard(large, *read)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,12 +6,17 @@ element and region throws a Poisson number of darts into each. A document keeps
 the darts under its elements' weights and, at each of K coordinates, the dart of
 least rank. Only the low ranks that a document of its total weight needs are
 looked at, so a signature costs about K ln K darts however long the text is.
+The similarity is that of shingle sets, so each shingle has the weight 1 here: with
+counts as weights, texts that repeat a passage would lose links.
 
 Documents with one and the same shingle set are one class from the start. Bands of
-signatures bring classes together. A bucket compares its members with pivots (a
-star, never all pairs), exactly, by Jaccard similarity of the shingle sets; members
-that share no component with the pivots meet further pivots, sixteen times as many
-each round, until every bucket is one component or all its members were pivots.
+signatures bring classes together, a few bands at first and then ever more. In each
+of these rounds a bucket of more than one component compares each member with one
+pivot (a star, never all pairs), and what is linked is merged before more bands are
+looked at; so a large group is one component early on. At the end the buckets that
+still hold several components compare members of different components in blocks,
+each pair once, in its first common band. Every link is verified by the Jaccard
+similarity of the whole texts' shingles as 64-bit hashes.
 
 Definitions for odd input: words are runs of anything but the six ASCII spaces; a
 text of one to four words has itself as its only shingle; a null text or one
@@ -21,15 +26,16 @@ first of a class is its least doc_id, nulls last, and one of equal rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tochi.llm.common import grouped, mix, saved, small_batches, spare_name, table, texts_of, with_columns
+from tochi.llm.common import BROADCAST_FACTS, discard, grouped, mix, saved, small_batches, spare_name, table, texts_of, with_columns, with_facts
 from tochi.llm.graph import components
 
 WORDS = 5
@@ -37,11 +43,15 @@ SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares none of 32 bands of 6 with probability 6e-5.
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
+#: Bands that are looked at together, one round after the other.
+ROUNDS = (2, 6, 24)
 #: Two bits a coordinate of signatures differ in 29 of K = 192 coordinates at
 #: similarity 0.8, give or take 5; pairs that differ in more than this, four
-#: deviations off, are not looked at further.
+#: deviations off, are not looked at further (the tests measure what that loses).
 MOST_BITS = 49
-#: Classes that share a bucket are broadcast up to this many keys.
+#: Members of a block of a bucket; blocks meet pair by pair, each in its own task.
+BLOCK = 256
+#: Keys of buckets or texts that are broadcast up to this many.
 BROADCAST_KEYS = 2_000_000
 #: Expected darts of a document: K coordinates stay empty in about 1 of 100.
 DARTS = K * (np.log(K) + 4)
@@ -62,6 +72,7 @@ _UP, _DOWN = _powers(1 << 21)
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text index, 64-bit hash) of each word, by prefix sums over the bytes."""
     joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    up, down = (_UP, _DOWN) if len(joined) <= len(_UP) else _powers(len(joined))
     space = (joined == 32) | ((joined >= 9) & (joined <= 13))
     inside = np.append(False, ~space).astype(np.int8)
     edge = np.diff(inside)
@@ -69,18 +80,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     last = np.flatnonzero(np.append(edge[1:], np.int8(0)) == -1) + 1
     ends = np.cumsum([len(t) + 1 for t in texts])
     with np.errstate(over="ignore"):
-        sums = np.append(np.uint64(0), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _UP[: len(joined)], dtype=np.uint64))
-        own = (sums[last] - sums[first]) * _DOWN[first]
+        sums = np.append(np.uint64(0), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], dtype=np.uint64))
+        own = (sums[last] - sums[first]) * down[first]
     return np.searchsorted(ends, first, side="right"), mix(own ^ (last - first).astype(np.uint64))
 
 
+_space = re.compile(rb"[ \t-\r]")
+
+
 def _parts(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    """A long text in parts cut at spaces; a longer word is cut at ``size``."""
+    """A long text in parts of about ``size`` bytes, cut at spaces only, however long a word is."""
     while len(text) > size:
-        cut = max(text.rfind(c, 0, size) for c in (b" ", b"\n", b"\t"))
-        cut = cut if cut > 0 else size
+        cut = max(text.rfind(c, 0, size) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+        if cut < 0:
+            found = _space.search(text, size)
+            cut = found.start() if found else len(text)
         yield text[:cut]
-        text = text[cut:]
+        text = text[cut + 1 :]
     yield text
 
 
@@ -194,13 +210,13 @@ def bit_sketch(signature: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    """``docs`` with set_hash (null without words), n_shingles, bands, bits and shingles.
+    """``docs`` with set_hash (null without words), n_shingles, bands and bits.
 
     names: what these columns are to be called.
     """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    fields = [T.StructField(names["set_hash"], T.LongType()), T.StructField(names["n_shingles"], T.IntegerType()), T.StructField(names["bands"], T.ArrayType(T.LongType())), T.StructField(names["bits"], T.ArrayType(T.LongType())), T.StructField(names["shingles"], T.BinaryType())]
+    fields = [T.StructField(names["set_hash"], T.LongType()), T.StructField(names["n_shingles"], T.IntegerType()), T.StructField(names["bands"], T.ArrayType(T.LongType())), T.StructField(names["bits"], T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -209,119 +225,192 @@ def sketched(docs: DataFrame, names: dict[str, str]) -> DataFrame:
                 batch = whole.slice(group[0], len(group))
                 sets = shingle_sets([texts_all[g] for g in group])
                 marks = signatures(sets)
-                hashes, bands, bits, held = [], [], [], []
+                hashes, bands, bits = [], [], []
                 for s, key, bit in zip(sets, band_keys(marks), bit_sketch(marks)):
                     if not len(s):
                         hashes.append(None)
                         bands.append(None)
                         bits.append(None)
-                        held.append(None)
                         continue
                     with np.errstate(over="ignore"):
                         one = mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))
                     hashes.append(int(one.view(np.int64)[0]))
                     bands.append(key)
                     bits.append(bit)
-                    held.append((s >> np.uint64(32)).astype("<u4").tobytes())
-                yield with_columns(batch, [(names["set_hash"], pa.array(hashes, pa.int64())), (names["n_shingles"], pa.array([len(s) for s in sets], pa.int32())), (names["bands"], pa.array(bands, pa.list_(pa.int64()))), (names["bits"], pa.array(bits, pa.list_(pa.int64()))), (names["shingles"], pa.array(held, pa.binary()))])
+                yield with_columns(batch, [(names["set_hash"], pa.array(hashes, pa.int64())), (names["n_shingles"], pa.array([len(s) for s in sets], pa.int32())), (names["bands"], pa.array(bands, pa.list_(pa.int64()))), (names["bits"], pa.array(bits, pa.list_(pa.int64())))])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets of shingles have a Jaccard similarity of SIMILARITY or more."""
+    if min(len(p), len(q)) < SIMILARITY * max(len(p), len(q)) - 1e-9:
+        return False
+    both = np.sort(np.concatenate([p, q]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= SIMILARITY * (len(p) + len(q) - common) - 1e-9
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: dict[int, np.ndarray] = {}
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            if min(len(p), len(q)) < SIMILARITY * max(len(p), len(q)):
-                good.append(False)
-                continue
-            both = np.sort(np.concatenate([p, q]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            good.append(common >= SIMILARITY * (len(p) + len(q) - common) - 1e-9)
-        keep = pa.array(good, pa.bool_())
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        new = {c: t for c, t in zip(a + b, texts_of(batch.column(2)) + texts_of(batch.column(3))) if c not in last}
+        last.update(zip(new, shingle_sets(list(new.values()))))
+        keep = pa.array([similar(last[x], last[y]) for x, y in zip(a, b)], pa.bool_())
+        last = {b[-1]: last[b[-1]]} if b else last  # rows come sorted by b
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose shingle sets are similar enough."""
-    left = sets.select(F.col("set_hash").alias("a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("set_hash").alias("b"), F.col("shingles").alias("s_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(_jaccard, "a long, b long")
-
-
 def few(keys: DataFrame) -> DataFrame:
-    """``keys`` for a semi-join: broadcast if counted and few, else shuffled."""
+    """Saved ``keys`` for a join: broadcast if counted and few, else shuffled."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def near_classes(classes: DataFrame) -> DataFrame | None:
-    """(node, component) of the classes (row, set_hash, bands, bits, n_shingles, shingles) that have links."""
-    members = classes.select(F.posexplode("bands").alias("band", "key"), F.col("set_hash").alias("c"), "n_shingles", "bits")
-    sizes = members.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = saved(members.join(sizes, ["band", "key"]).withColumn("pivot", F.lit(False)), "mh-buckets")
-    wanted = saved(members.groupBy("c").agg(F.sum("size").alias("degree")), "mh-degree")
-    if wanted.isEmpty():
-        return None
-    # a text in the middle of a group shares most buckets: the best pivot
-    members = saved(members.join(wanted, "c").select("band", "key", "c", "n_shingles", "bits", "degree", "pivot"), "mh-buckets")
-    sets = saved(classes.select("set_hash", "shingles").join(few(wanted.select(F.col("c").alias("set_hash"))), "set_hash", "left_semi"), "mh-sets")
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes (c, mark) whose texts (mark, text) are similar enough, saved."""
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "mh-ends")
+    wanted = saved(classes.select("c", "mark").join(few(ends), "c", "left_semi"), "mh-wanted")
+    own = texts.join(few(wanted), "mark").groupBy("c").agg(F.any_value("text").alias("text"))
+    both = pairs.join(own.select(F.col("c").alias("a"), F.col("text").alias("t_a")), "a").join(own.select(F.col("c").alias("b"), F.col("text").alias("t_b")), "b")
+    out = saved(both.select("a", "b", "t_a", "t_b").mapInArrow(_jaccard, "a long, b long"), "mh-links")
+    discard(ends, wanted)
+    return out
+
+
+def _component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with the component of c, itself where it is not linked yet."""
+    if labels is None:
+        return members.withColumn("component", F.col("c"))
+    return with_facts(members, labels, "c", "one").drop("one").withColumn("component", F.coalesce("component", "c"))
+
+
+def _close(n: str, p_n: str, bits: str, p_bits: str) -> tuple[Column, Column]:
+    """(sizes allow a link, coordinates in which two sketches differ)."""
+    sizes = F.least(n, p_n) >= SIMILARITY * F.greatest(n, p_n) - 1e-9
+    planes = K // 64
+    apart = sum((F.bit_count(F.get(bits, k).bitwiseXOR(F.get(p_bits, k)).bitwiseOR(F.get(bits, k + planes).bitwiseXOR(F.get(p_bits, k + planes)))) for k in range(planes)), F.lit(0))
+    return sizes, apart
+
+
+def _pair() -> list[Column]:
+    return [F.least("c", "p_c").alias("a"), F.greatest("c", "p_c").alias("b")]
+
+
+def with_pivots(opened: DataFrame) -> DataFrame:
+    """Pairs (a, b): each member of an open bucket and the likeliest of the pivots that it meets.
+
+    A text in the middle of a group shares most buckets: the best pivot.
+    """
+    degrees = opened.groupBy("c").agg(F.sum("size").alias("degree"))
+    best = opened.join(degrees, "c").groupBy("band", "key").agg(F.max_by(F.struct("c", "n", "bits", "component"), F.struct("degree", "c")).alias("p"))
+    pivots = saved(best.select("band", "key", F.col("p.c").alias("p_c"), F.col("p.n").alias("p_n"), F.col("p.bits").alias("p_bits"), F.col("p.component").alias("p_component")), "mh-pivots")
+    right = F.broadcast(pivots) if pivots.count() <= BROADCAST_FACTS else pivots
+    sizes, apart = _close("n", "p_n", "bits", "p_bits")
+    met = opened.join(right, ["band", "key"]).filter((F.col("component") != F.col("p_component")) & sizes & (apart <= MOST_BITS))
+    out = saved(met.groupBy("c").agg(F.min_by("p_c", F.struct(apart, "p_c")).alias("p_c")).select(*_pair()).distinct(), "mh-pairs")
+    discard(pivots)
+    return out
+
+
+def across_components(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components that may be similar.
+
+    Members are (band, key, c, n, bits, component). Blocks of about BLOCK members meet
+    pair by pair; those of a bucket's largest component never meet each other.
+    """
+    parts = members.groupBy("band", "key", "component").agg(F.count("*").alias("k"))
+    tops = parts.groupBy("band", "key").agg(F.sum("k").alias("size"), F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("head"), F.max("k").alias("most"))
+    tops = saved(tops.filter("parts > 1").select("band", "key", "head", F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("rest"), F.ceil(F.col("most") / BLOCK).alias("heads")), "mh-tops")
+    still = saved(members.join(few(tops), ["band", "key"]), "mh-still")
+    own = saved(classes.select("c", "bands").join(few(saved(still.select("c").distinct(), "mh-still")), "c", "left_semi"), "mh-still")
+    of = F.pmod(F.xxhash64("c"), F.when(F.col("component") == F.col("head"), F.col("heads")).otherwise(F.col("rest")))
+    still = still.join(own, "c").withColumn("block", of + F.when(F.col("component") == F.col("head"), F.col("rest")).otherwise(F.lit(0)))
+    x = still.filter("block < rest").withColumn("v", F.explode(F.sequence("block", F.col("rest") + F.col("heads") - 1)))
+    x = x.select("band", "key", F.col("block").alias("u"), "v", "c", "n", "bits", "bands", "component")
+    y = still.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.least("block", F.col("rest") - 1))))
+    y = y.select("band", "key", "u", F.col("block").alias("v"), *(F.col(k).alias("p_" + k) for k in ("c", "n", "bits", "bands", "component")))
+    sizes, apart = _close("n", "p_n", "bits", "p_bits")
+    once = ((F.col("u") != F.col("v")) | (F.col("c") < F.col("p_c"))) & (F.col("component") != F.col("p_component"))
+    first = F.array_position(F.zip_with("bands", "p_bands", lambda s, t: s == t), F.lit(True)) == F.col("band") + 1
+    return saved(x.join(y, ["band", "key", "u", "v"]).filter(once & sizes & (apart <= MOST_BITS) & first).select(*_pair()), "mh-pairs")
+
+
+def near_classes(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(c, component, one) of the saved classes (c, n, bands, bits, mark) that have links, saved."""
     labels: DataFrame | None = None
-    many = 1
-    while True:
-        if labels is None:
-            labelled = members.withColumn("component", F.col("c"))
-        else:
-            named = labels.select(F.col("node").alias("c"), "component")
-            labelled = members.join(named, "c", "left").withColumn("component", F.coalesce("component", "c"))
-            # a bucket is settled when it is one component or has been compared throughout
-            state = labelled.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count_if(~F.col("pivot")).alias("left"), F.count("*").alias("all"))
-            open_ = state.filter("x <> y and (left > 1 or left = 1 and all = 1)").select("band", "key")
-            labelled = saved(labelled.join(open_, ["band", "key"]), "mh-open")
-            if labelled.isEmpty():
-                return labels
-        best = labelled.filter(~F.col("pivot")).groupBy("band", "key", F.pmod(F.xxhash64("c"), F.lit(many)).alias("part"))
-        pivots = best.agg(F.max_by(F.struct("c", "n_shingles", "bits", "component"), F.struct("degree", "c")).alias("p")).select("band", "key", F.col("p.c").alias("p_c"), F.col("p.n_shingles").alias("p_n"), F.col("p.bits").alias("p_bits"), F.col("p.component").alias("p_component"))
-        pivots = saved(pivots, "mh-pivots")
-        close = F.least("n_shingles", "p_n") >= SIMILARITY * F.greatest("n_shingles", "p_n") - 1e-9
-        apart = sum((F.bit_count(F.get("bits", k).bitwiseXOR(F.get("p_bits", k)).bitwiseOR(F.get("bits", k + K // 64).bitwiseXOR(F.get("p_bits", k + K // 64)))) for k in range(K // 64)), F.lit(0))
-        pairs = labelled.join(pivots, ["band", "key"]).filter((F.col("c") != F.col("p_c")) & (F.col("component") != F.col("p_component")) & close & (apart <= MOST_BITS))
-        pairs = pairs.select(F.least("c", "p_c").alias("a"), F.greatest("c", "p_c").alias("b")).distinct()
-        found = saved(verified(pairs, sets), "mh-links")
-        if labels is not None:
-            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = saved(components(found), "mh-labels")
-        marks = pivots.select("band", "key", F.col("p_c").alias("c"), F.lit(True).alias("now"))
-        members = saved(labelled.drop("component").join(marks, ["band", "key", "c"], "left").withColumn("pivot", F.col("pivot") | F.coalesce("now", F.lit(False))).drop("now"), "mh-members")
-        many *= 16
-
-
-def classify(rows: DataFrame) -> DataFrame:
-    """class_id and kept of saved rows (row, doc_id, set_hash, bands, shingles, n_shingles)."""
+    opened: list[DataFrame] = []
+    tested: list[DataFrame] = []
+
+    def merge(pairs: DataFrame) -> None:
+        nonlocal labels
+        if pairs.isEmpty():
+            return
+        found = verified(pairs, classes, texts)
+        known = found if labels is None else found.unionByName(labels.select(F.col("c").alias("a"), F.col("component").alias("b")))
+        new = saved(components(known).select(F.col("node").alias("c"), "component", F.lit(1).alias("one")), "mh-labels")
+        discard(found, *([labels] if labels is not None else []))
+        labels = new
+
+    at = 0
+    for count in ROUNDS:
+        spread = classes.select("c", "n", "bits", F.posexplode(F.slice("bands", at + 1, count)).alias("band", "key")).withColumn("band", F.col("band") + at)
+        spread = _component(spread, labels)
+        keys = spread.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x <> y").select("band", "key", "size")
+        keys = saved(keys, "mh-keys")
+        opened.append(saved(spread.join(few(keys), ["band", "key"]), "mh-open"))
+        discard(keys)
+        tested.append(with_pivots(opened[-1]))
+        merge(tested[-1])
+        at += count
+    members = opened[0]
+    for more in opened[1:]:
+        members = members.unionByName(more)
+    members = _component(members.select("band", "key", "c", "n", "bits"), labels)
+    pairs = across_components(members, classes)
+    for done in tested:
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    merge(saved(pairs, "mh-pairs"))
+    discard(*opened, *tested)
+    return labels
+
+
+def classify(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """class_id and kept of saved rows (row, doc_id, set_hash, n_shingles, bands, bits, mark)."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     worded = rows.filter(F.col("set_hash").isNotNull())
-    firsts = saved(worded.groupBy("set_hash").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "mh-classes")
-    heads = firsts.select(F.col("first.row").alias("row"))
-    near = near_classes(worded.join(heads, "row"))
+    firsts = saved(worded.groupBy("set_hash").agg(F.min(order).alias("head"), F.count("*").alias("copies")), "mh-classes")
+    heads = firsts.select(F.col("head.row").alias("row"))
+    classes = saved(worded.join(heads, "row").select(F.col("set_hash").alias("c"), F.col("n_shingles").alias("n"), "bands", "bits", "mark"), "mh-heads")
+    near = near_classes(classes, texts)
+    facts = firsts.filter("copies > 1").select("set_hash", "head", F.col("copies").alias("class_size"), "copies")
     if near is not None:
-        firsts = firsts.join(near.select(F.col("node").alias("set_hash"), "component"), "set_hash", "left").withColumn("component", F.coalesce("component", "set_hash"))
-    else:
-        firsts = firsts.withColumn("component", F.col("set_hash"))
-    groups = firsts.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
-    heads = firsts.select("set_hash", "component").join(groups, "component").select("set_hash", "head", "class_size")
-    out = rows.select("row", "doc_id", "set_hash", "n_shingles").join(heads, "set_hash", "left")
+        linked = saved(near.select(F.col("c").alias("set_hash"), "component").join(firsts, "set_hash"), "mh-linked")
+        groups = saved(linked.groupBy("component").agg(F.min("head").alias("top"), F.sum("copies").alias("class_size"), F.count("*").alias("n")), "mh-groups")
+        named = with_facts(linked, groups, "component", "n").select("set_hash", F.col("top").alias("head"), "class_size", "copies")
+        facts = facts.join(few(saved(linked.select("set_hash"), "mh-linked")), "set_hash", "left_anti").unionByName(named)
+    facts = saved(facts, "mh-facts")
+    discard(firsts, classes)
+    out = with_facts(rows.select("row", "doc_id", "set_hash", "n_shingles"), facts, "set_hash", "copies")
     alone = F.col("head").isNull()
     return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("head.id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("head.row") == F.col("row"))).alias("kept"))
 
 
-_NAMES = {x: x for x in ("set_hash", "n_shingles", "bands", "bits", "shingles")}
+_NAMES = {x: x for x in ("set_hash", "n_shingles", "bands", "bits")}
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(mark, text): a text and its hash, by which the texts of classes are found again."""
+    text = F.col("text").cast("string")
+    return docs.select(F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id, class_size and kept, one row per document."""
-    rows = sketched(docs.select("doc_id", F.col("text").cast("string").alias("text")), _NAMES).drop("text")
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = sketched(plain.withColumn("mark", F.xxhash64("text")), _NAMES).drop("text")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "mh-rows")
-    return classify(rows).drop("row")
+    return classify(rows, _texts(docs)).drop("row")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -331,9 +420,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     own = {x: prefix + x for x in _NAMES}
     row = prefix + "row"
     rows = saved(sketched(docs, own).withColumn(row, F.monotonically_increasing_id()), "mh-rows")
-    plain = rows.select(F.col(row).alias("row"), "doc_id", *(F.col(v).alias(k) for k, v in own.items()))
-    dropped = classify(plain).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return rows.join(dropped, row, "left_anti").select(*names)
+    plain = rows.select(F.col(row).alias("row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"), *(F.col(v).alias(k) for k, v in own.items()))
+    dropped = saved(classify(plain, _texts(rows)).filter(~F.col("kept")).select(F.col("row").alias(row)), "mh-dropped")
+    return rows.join(few(dropped), row, "left_anti").select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
