@@ -15,8 +15,12 @@ of these rounds a bucket of more than one component compares each member with on
 pivot (a star, never all pairs), and what is linked is merged before more bands are
 looked at; so a large group is one component early on. At the end the buckets that
 still hold several components compare members of different components in blocks,
-each pair once, in its first common band. Every link is verified by the Jaccard
-similarity of the whole texts' shingles as 64-bit hashes.
+each pair once, in its first common band. An odd sketch (Mitzenmacher, Pagh and Pham,
+"Efficient Estimation for High Similarities Using Odd Sketches", 2014) holds a parity
+of the shingles at each of its bits; two sets differ in at least as many shingles as
+their sketches in bits, so what it sets aside cannot be similar and no link is lost.
+Every link is verified by the Jaccard similarity of the whole texts' shingles as
+64-bit hashes.
 
 Definitions for odd input: words are runs of anything but the six ASCII spaces; a
 text of one to four words has itself as its only shingle; a null text or one
@@ -45,12 +49,12 @@ BANDS, ROWS = 32, 6
 K = BANDS * ROWS
 #: Bands that are looked at together, one round after the other.
 ROUNDS = (2, 6, 24)
-#: Two bits a coordinate of signatures differ in 29 of K = 192 coordinates at
-#: similarity 0.8, give or take 5; pairs that differ in more than this, four
-#: deviations off, are not looked at further (the tests measure what that loses).
-MOST_BITS = 49
+#: Bits of an odd sketch.
+ODD_BITS = 2048
 #: Members of a block of a bucket; blocks meet pair by pair, each in its own task.
 BLOCK = 256
+#: Pairs of one text that meet in one task; a text of more pairs is dealt over several.
+PAIRS_PER_TEXT = 500
 #: Keys of buckets or texts that are broadcast up to this many.
 BROADCAST_KEYS = 2_000_000
 #: Expected darts of a document: K coordinates stay empty in about 1 of 100.
@@ -202,21 +206,22 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def bit_sketch(signature: np.ndarray) -> np.ndarray:
-    """rows x 2 K / 64 words of two bits a coordinate, plane by plane, for a quick look."""
-    mixed = mix(signature)
-    planes = [np.packbits((mixed >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1) for k in (0, 1)]
-    return np.hstack(planes).view(np.int64)
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """len(sets) x ODD_BITS / 64 words: at each bit the parity of the elements that fall there."""
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = (np.concatenate(sets) >> np.uint64(16)) % np.uint64(ODD_BITS) if sets else np.zeros(0, np.uint64)
+    odd = np.bincount(own * ODD_BITS + place.astype(np.int64), minlength=len(sets) * ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), ODD_BITS), axis=1).view(np.int64)
 
 
 def sketched(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    """``docs`` with set_hash (null without words), n_shingles, bands and bits.
+    """``docs`` with set_hash (null without words), n_shingles, bands and odd.
 
     names: what these columns are to be called.
     """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    fields = [T.StructField(names["set_hash"], T.LongType()), T.StructField(names["n_shingles"], T.IntegerType()), T.StructField(names["bands"], T.ArrayType(T.LongType())), T.StructField(names["bits"], T.ArrayType(T.LongType()))]
+    fields = [T.StructField(names["set_hash"], T.LongType()), T.StructField(names["n_shingles"], T.IntegerType()), T.StructField(names["bands"], T.ArrayType(T.LongType())), T.StructField(names["odd"], T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -225,19 +230,19 @@ def sketched(docs: DataFrame, names: dict[str, str]) -> DataFrame:
                 batch = whole.slice(group[0], len(group))
                 sets = shingle_sets([texts_all[g] for g in group])
                 marks = signatures(sets)
-                hashes, bands, bits = [], [], []
-                for s, key, bit in zip(sets, band_keys(marks), bit_sketch(marks)):
+                hashes, bands, odd = [], [], []
+                for s, key, bit in zip(sets, band_keys(marks), odd_sketches(sets)):
                     if not len(s):
                         hashes.append(None)
                         bands.append(None)
-                        bits.append(None)
+                        odd.append(None)
                         continue
                     with np.errstate(over="ignore"):
                         one = mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))
                     hashes.append(int(one.view(np.int64)[0]))
                     bands.append(key)
-                    bits.append(bit)
-                yield with_columns(batch, [(names["set_hash"], pa.array(hashes, pa.int64())), (names["n_shingles"], pa.array([len(s) for s in sets], pa.int32())), (names["bands"], pa.array(bands, pa.list_(pa.int64()))), (names["bits"], pa.array(bits, pa.list_(pa.int64())))])
+                    odd.append(bit)
+                yield with_columns(batch, [(names["set_hash"], pa.array(hashes, pa.int64())), (names["n_shingles"], pa.array([len(s) for s in sets], pa.int32())), (names["bands"], pa.array(bands, pa.list_(pa.int64()))), (names["odd"], pa.array(odd, pa.list_(pa.int64())))])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
@@ -268,12 +273,19 @@ def few(keys: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes (c, mark) whose texts (mark, text) are similar enough, saved."""
-    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "mh-ends")
-    wanted = saved(classes.select("c", "mark").join(few(ends), "c", "left_semi"), "mh-wanted")
-    own = texts.join(few(wanted), "mark").groupBy("c").agg(F.any_value("text").alias("text"))
-    both = pairs.join(own.select(F.col("c").alias("a"), F.col("text").alias("t_a")), "a").join(own.select(F.col("c").alias("b"), F.col("text").alias("t_b")), "b")
-    out = saved(both.select("a", "b", "t_a", "t_b").mapInArrow(_jaccard, "a long, b long"), "mh-links")
+    """The saved pairs (a, b) of classes (c, mark) whose texts (mark, text) are similar enough, saved."""
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.ceil(F.count("*") / PAIRS_PER_TEXT).alias("copies")), "mh-ends")
+    wanted = saved(classes.select("c", "mark").join(few(ends), "c"), "mh-wanted")
+    hot = few(ends.filter("copies > 1"))
+    own = texts.join(few(wanted), "mark").groupBy("c").agg(F.any_value("text").alias("t"), F.any_value("copies").alias("copies"))
+    own = own.select("c", "t", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    dealt = pairs
+    for x, y in (("a", "b"), ("b", "a")):
+        dealt = dealt.join(hot.select(F.col("c").alias(x), F.col("copies").alias("k_" + x)), x, "left")
+        dealt = dealt.withColumn("k_" + x, F.coalesce(F.pmod(F.xxhash64(y), F.col("k_" + x)) + 1, F.lit(1).cast("long")))
+    for x in ("a", "b"):
+        dealt = dealt.join(own.select(F.col("c").alias(x), F.col("copy").alias("k_" + x), F.col("t").alias("t_" + x)), [x, "k_" + x])
+    out = saved(dealt.select("a", "b", "t_a", "t_b").mapInArrow(_jaccard, "a long, b long"), "mh-links")
     discard(ends, wanted)
     return out
 
@@ -285,12 +297,15 @@ def _component(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return with_facts(members, labels, "c", "one").drop("one").withColumn("component", F.coalesce("component", "c"))
 
 
-def _close(n: str, p_n: str, bits: str, p_bits: str) -> tuple[Column, Column]:
-    """(sizes allow a link, coordinates in which two sketches differ)."""
-    sizes = F.least(n, p_n) >= SIMILARITY * F.greatest(n, p_n) - 1e-9
-    planes = K // 64
-    apart = sum((F.bit_count(F.get(bits, k).bitwiseXOR(F.get(p_bits, k)).bitwiseOR(F.get(bits, k + planes).bitwiseXOR(F.get(p_bits, k + planes)))) for k in range(planes)), F.lit(0))
-    return sizes, apart
+def _apart() -> Column:
+    """Bits in which the odd sketches of a pair differ, at most the shingles that one has and the other not."""
+    return sum((F.bit_count(F.get("odd", k).bitwiseXOR(F.get("p_odd", k))) for k in range(ODD_BITS // 64)), F.lit(0))
+
+
+def _may_link() -> Column:
+    """No pair of sets that are similar enough fails this."""
+    sizes = F.least("n", "p_n") >= SIMILARITY * F.greatest("n", "p_n") - 1e-9
+    return sizes & (_apart() <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("n") + F.col("p_n")) + 1e-6)
 
 
 def _pair() -> list[Column]:
@@ -303,12 +318,12 @@ def with_pivots(opened: DataFrame) -> DataFrame:
     A text in the middle of a group shares most buckets: the best pivot.
     """
     degrees = opened.groupBy("c").agg(F.sum("size").alias("degree"))
-    best = opened.join(degrees, "c").groupBy("band", "key").agg(F.max_by(F.struct("c", "n", "bits", "component"), F.struct("degree", "c")).alias("p"))
-    pivots = saved(best.select("band", "key", F.col("p.c").alias("p_c"), F.col("p.n").alias("p_n"), F.col("p.bits").alias("p_bits"), F.col("p.component").alias("p_component")), "mh-pivots")
-    right = F.broadcast(pivots) if pivots.count() <= BROADCAST_FACTS else pivots
-    sizes, apart = _close("n", "p_n", "bits", "p_bits")
-    met = opened.join(right, ["band", "key"]).filter((F.col("component") != F.col("p_component")) & sizes & (apart <= MOST_BITS))
-    out = saved(met.groupBy("c").agg(F.min_by("p_c", F.struct(apart, "p_c")).alias("p_c")).select(*_pair()).distinct(), "mh-pairs")
+    best = opened.join(degrees, "c").groupBy("band", "key").agg(F.max_by(F.struct("c", "n", "odd", "component"), F.struct("degree", "c")).alias("p"))
+    pivots = saved(best.select("band", "key", F.col("p.c").alias("p_c"), F.col("p.n").alias("p_n"), F.col("p.odd").alias("p_odd"), F.col("p.component").alias("p_component")), "mh-pivots")
+    right = F.broadcast(pivots) if pivots.count() <= BROADCAST_FACTS // 4 else pivots
+    met = opened.join(right, ["band", "key"]).filter((F.col("component") != F.col("p_component")) & _may_link())
+    met = met.select("c", "p_c", (_apart() / (F.col("n") + F.col("p_n"))).alias("apart"))
+    out = saved(met.groupBy("c").agg(F.min_by("p_c", F.struct("apart", "p_c")).alias("p_c")).select(*_pair()).distinct(), "mh-pairs")
     discard(pivots)
     return out
 
@@ -316,7 +331,7 @@ def with_pivots(opened: DataFrame) -> DataFrame:
 def across_components(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of one bucket and different components that may be similar.
 
-    Members are (band, key, c, n, bits, component). Blocks of about BLOCK members meet
+    Members are (band, key, c, n, odd, component). Blocks of about BLOCK members meet
     pair by pair; those of a bucket's largest component never meet each other.
     """
     parts = members.groupBy("band", "key", "component").agg(F.count("*").alias("k"))
@@ -327,17 +342,16 @@ def across_components(members: DataFrame, classes: DataFrame) -> DataFrame:
     of = F.pmod(F.xxhash64("c"), F.when(F.col("component") == F.col("head"), F.col("heads")).otherwise(F.col("rest")))
     still = still.join(own, "c").withColumn("block", of + F.when(F.col("component") == F.col("head"), F.col("rest")).otherwise(F.lit(0)))
     x = still.filter("block < rest").withColumn("v", F.explode(F.sequence("block", F.col("rest") + F.col("heads") - 1)))
-    x = x.select("band", "key", F.col("block").alias("u"), "v", "c", "n", "bits", "bands", "component")
+    x = x.select("band", "key", F.col("block").alias("u"), "v", "c", "n", "odd", "bands", "component")
     y = still.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.least("block", F.col("rest") - 1))))
-    y = y.select("band", "key", "u", F.col("block").alias("v"), *(F.col(k).alias("p_" + k) for k in ("c", "n", "bits", "bands", "component")))
-    sizes, apart = _close("n", "p_n", "bits", "p_bits")
+    y = y.select("band", "key", "u", F.col("block").alias("v"), *(F.col(k).alias("p_" + k) for k in ("c", "n", "odd", "bands", "component")))
     once = ((F.col("u") != F.col("v")) | (F.col("c") < F.col("p_c"))) & (F.col("component") != F.col("p_component"))
     first = F.array_position(F.zip_with("bands", "p_bands", lambda s, t: s == t), F.lit(True)) == F.col("band") + 1
-    return saved(x.join(y, ["band", "key", "u", "v"]).filter(once & sizes & (apart <= MOST_BITS) & first).select(*_pair()), "mh-pairs")
+    return saved(x.join(y, ["band", "key", "u", "v"]).filter(once & _may_link() & first).select(*_pair()), "mh-pairs")
 
 
 def near_classes(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(c, component, one) of the saved classes (c, n, bands, bits, mark) that have links, saved."""
+    """(c, component, one) of the saved classes (c, n, bands, odd, mark) that have links, saved."""
     labels: DataFrame | None = None
     opened: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -354,7 +368,7 @@ def near_classes(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
 
     at = 0
     for count in ROUNDS:
-        spread = classes.select("c", "n", "bits", F.posexplode(F.slice("bands", at + 1, count)).alias("band", "key")).withColumn("band", F.col("band") + at)
+        spread = classes.select("c", "n", "odd", F.posexplode(F.slice("bands", at + 1, count)).alias("band", "key")).withColumn("band", F.col("band") + at)
         spread = _component(spread, labels)
         keys = spread.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).filter("x <> y").select("band", "key", "size")
         keys = saved(keys, "mh-keys")
@@ -366,22 +380,23 @@ def near_classes(classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     members = opened[0]
     for more in opened[1:]:
         members = members.unionByName(more)
-    members = _component(members.select("band", "key", "c", "n", "bits"), labels)
+    members = _component(members.select("band", "key", "c", "n", "odd"), labels)
     pairs = across_components(members, classes)
-    for done in tested:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    merge(saved(pairs, "mh-pairs"))
+    done = tested[0]
+    for more in tested[1:]:
+        done = done.unionByName(more)
+    merge(saved(pairs.join(done, ["a", "b"], "left_anti"), "mh-pairs"))
     discard(*opened, *tested)
     return labels
 
 
 def classify(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """class_id and kept of saved rows (row, doc_id, set_hash, n_shingles, bands, bits, mark)."""
+    """class_id and kept of saved rows (row, doc_id, set_hash, n_shingles, bands, odd, mark)."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     worded = rows.filter(F.col("set_hash").isNotNull())
     firsts = saved(worded.groupBy("set_hash").agg(F.min(order).alias("head"), F.count("*").alias("copies")), "mh-classes")
     heads = firsts.select(F.col("head.row").alias("row"))
-    classes = saved(worded.join(heads, "row").select(F.col("set_hash").alias("c"), F.col("n_shingles").alias("n"), "bands", "bits", "mark"), "mh-heads")
+    classes = saved(worded.join(heads, "row").select(F.col("set_hash").alias("c"), F.col("n_shingles").alias("n"), "bands", "odd", "mark"), "mh-heads")
     near = near_classes(classes, texts)
     facts = firsts.filter("copies > 1").select("set_hash", "head", F.col("copies").alias("class_size"), "copies")
     if near is not None:
@@ -396,7 +411,7 @@ def classify(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("head.id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("head.row") == F.col("row"))).alias("kept"))
 
 
-_NAMES = {x: x for x in ("set_hash", "n_shingles", "bands", "bits")}
+_NAMES = {x: x for x in ("set_hash", "n_shingles", "bands", "odd")}
 
 
 def _texts(docs: DataFrame) -> DataFrame:
