@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch, and bytes after which it is closed (one row may be larger).
-BATCH_ROWS = 500
+BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
 #: Rows of a table of facts that is broadcast whole.
 BROADCAST_FACTS = 500_000
