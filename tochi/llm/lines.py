@@ -1,12 +1,12 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is its words (runs of anything but the six ASCII spaces) in lower case; two
-lines are equal within the bound when one word put in, taken out or replaced turns
-one into the other (with MIN_WORDS = 5 words that is a similarity of 0.8 or more).
-A line goes if an earlier line, by (doc_id, position), is equal or within the bound;
-lines with fewer than MIN_WORDS words always stay.
+A line is its words (runs of anything but the six ASCII spaces) in lower case. A line
+goes if an earlier line, by (doc_id, position), has the same words, however few, or if
+both have MIN_WORDS words or more and are within the edit bound: one word put in, taken
+out or replaced turns one into the other. The bound is one word at every length, which
+is a similarity of 0.8 or more at MIN_WORDS = 5 words and closer for longer lines.
 
-Every line emits, as hashed keys, itself and all its variants with one word taken
+Every line of MIN_WORDS words or more emits, as hashed keys, itself and all its variants with one word taken
 out. Two lines of n words that agree in a variant at one place differ in that word;
 a line that equals a variant of a longer one lacks that word. So the earliest member
 of a key stands for all others (no pairs within a key), and each drop is verified on
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tochi.llm.common import saved, spare_name, table
+from tochi.llm.common import saved, spare_name, table, with_facts
 
 MIN_WORDS = 5
 #: Keys of lines that may have partners are broadcast up to this many; beyond, the
@@ -60,18 +60,19 @@ def _order(doc: str = "d") -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, h, pos, words (with one space between), n and c (their hash) of each line long enough."""
+    """d, h, pos, words (with one space between), n and c (their hash) of each line with a word."""
     # hashed and split below the generator: beside it, both would run once a line; the
     # outer form keeps the split out of an inferred filter (texts here are never null)
     parts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.split(canonical(F.col("text")), "\n").alias("parts"))
     rows = parts.select("d", "h", F.posexplode_outer("parts").alias("pos", "words"))
-    rows = rows.filter(F.octet_length("words") > F.octet_length(F.substring_index("words", " ", MIN_WORDS - 1)))
+    rows = rows.filter("words <> ''")
     n = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1
     return rows.withColumn("n", n).withColumn("c", F.xxhash64("words"))
 
 
 def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """c of the distinct lines (c, n, first, halves) that an earlier one is near to."""
+    lines, classes = lines.filter(F.col("n") >= MIN_WORDS), classes.filter(F.col("n") >= MIN_WORDS)
     halves = classes.select("c", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("k"), F.min("c").alias("x")).filter("k > 1").select("half")
     hopeful = saved(halves.join(shared, "half", "left_semi").select("c").distinct(), "ln-hopeful")
@@ -114,11 +115,12 @@ def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """d, h and the sorted positions of the lines to drop, for documents that have any."""
     lines = _lines(docs.filter(F.col("text").isNotNull()))
-    classes = lines.withColumn("halves", _half_keys(F.col("words"), F.col("n"))).groupBy("c").agg(F.any_value("n").alias("n"), F.min(_order()).alias("first"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
+    halves = F.when(F.col("n") >= MIN_WORDS, _half_keys(F.col("words"), F.col("n")))
+    classes = lines.withColumn("halves", halves).groupBy("c").agg(F.any_value("n").alias("n"), F.min(_order()).alias("first"), F.count("*").alias("copies"), F.any_value("halves").alias("halves"))
     classes = saved(classes, "ln-classes")
     near = saved(near_lines(lines, classes).withColumn("near", F.lit(True)), "ln-near")
-    affected = classes.select("c", "copies", "first").join(near, "c", "left").filter("near or copies > 1").select("c", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    places = lines.select("c", "d", "h", "pos").join(affected, "c").filter(F.col("near") | (_order() != F.col("first")))
+    affected = classes.select("c", "copies", "first").join(near, "c", "left").filter("near or copies > 1").select("c", "first", "copies", F.coalesce("near", F.lit(False)).alias("near"))
+    places = with_facts(lines.select("c", "d", "h", "pos"), saved(affected, "ln-affected"), "c", "copies").filter(F.col("near") | (_order() != F.col("first")))
     return places.groupBy("d", "h").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
@@ -165,17 +167,18 @@ WITH docs AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS parts
 lines AS (
   SELECT doc_id, text, pos, list_filter(regexp_split_to_array(lower(parts[pos]), '[\x09-\x0D\x20]+'), lambda w: w <> '') AS words
   FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS pos FROM docs)),
-long AS (SELECT *, len(words) AS n FROM lines WHERE len(words) >= 5),
-ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, pos) AS o FROM long),
+worded AS (SELECT *, len(words) AS n FROM lines WHERE len(words) > 0),
+ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, pos) AS o FROM worded),
 classes AS (SELECT words, any_value(n) AS n, min(o) AS o FROM ranked GROUP BY words),
+long AS (SELECT * FROM classes WHERE n >= 5),
 variants AS (
   SELECT words, n, o, j, list_concat(words[1:j - 1], words[j + 1:n]) AS v
-  FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM classes)),
+  FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM long)),
 replaced AS (SELECT v, j, min(o) AS first_o FROM variants GROUP BY v, j),
 near AS (
   SELECT a.words FROM variants a JOIN replaced b ON a.v = b.v AND a.j = b.j WHERE b.first_o < a.o
-  UNION SELECT a.words FROM variants a JOIN classes f ON a.v = f.words WHERE f.o < a.o
-  UNION SELECT f.words FROM variants a JOIN classes f ON a.v = f.words WHERE a.o < f.o),
+  UNION SELECT a.words FROM variants a JOIN long f ON a.v = f.words WHERE f.o < a.o
+  UNION SELECT f.words FROM variants a JOIN long f ON a.v = f.words WHERE a.o < f.o),
 gone AS (
   SELECT r.doc_id, r.text, list(r.pos) AS gone
   FROM ranked r JOIN classes c ON r.words = c.words LEFT JOIN near m ON m.words = c.words
