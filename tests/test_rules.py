@@ -102,3 +102,37 @@ def test_no_row_outside_its_bounds_and_codes_round_trip(spark):
     words = cleaning.build_category_dictionary(kept, ("prefecture",))
     codes = {r.prefecture: r.prefecture_id for r in cleaning.encode_categories(df, words, ("prefecture",)).collect()}
     assert codes == {"a": 1, "b": 2, "c": 3, "d": 4, "f": 0}
+
+
+@pytest.mark.parametrize(
+    ("address", "prefecture", "municipality"),
+    [
+        ('{"state":"Kanagawa Prefecture","city":"横浜市","city_district":"西区"}', "神奈川県", "西区"),
+        ('{"province":"Tokyo Metropolis","state":"Chiba","municipality":"千代田区","city":"x"}', "東京都", "千代田区"),
+        ('{"province":null,"state":"Saitama Prefecture","city":"川口市","town":"t"}', "埼玉県", "川口市"),
+        ('{"state":"","region":"Chiba","city":"","town":"t"}', "", ""),
+        ('{"region":"Chiba Prefecture","ward":"w","suburb":"s"}', "千葉県", "s"),
+        ('{"state":"大阪府","county":"c","village":"v"}', "大阪府", "v"),
+        ("{}", "", ""),
+    ],
+)
+def test_geocoded_addresses(spark, address, prefecture, municipality):
+    row = normalize.geocoded(spark.createDataFrame([(address,)], "address string")).first()
+    assert (row.prefecture, row.municipality) == (prefecture, municipality)
+
+
+def test_quartiles_are_exact_over_many_tasks(spark):
+    import numpy as np
+
+    values = {"a": list(range(1, 1002)), "b": [3.5, 3.5, 3.5, 1.0], "c": [7.0], "d": [1.0, 2.0]}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("e", None), (None, 1.0)], "region string, price double").repartition(5)
+    got = {r.region: (r.q1, r.q3) for r in cleaning.iqr_bounds(df, "price").collect()}
+    assert got == {k: (np.percentile(v, 25), np.percentile(v, 75)) for k, v in values.items()}
+
+
+def test_nearest_station_far_off_and_over_the_date_line(spark):
+    stations_df = spark.createDataFrame([("s1", "a", "r", 35.0, 139.0, 1), ("s2", "b", "r", 0.0, -179.9, 2)], "station_id string, station_name string, region string, lat double, lon double, position int")
+    asked = spark.createDataFrame([(1, 35.01, 139.01), (2, 50.0, 139.0), (3, 0.0, 179.9), (4, -60.0, 20.0), (5, None, 1.0)], "request_id int, lat double, lon double")
+    got = {r.request_id: (r.station_id, r.km) for r in stations.nearest_station(asked, stations_df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "s1", 2: "s1", 3: "s2", 4: "s2"}
+    assert got[3][1] == pytest.approx(22.24, abs=0.01)

@@ -92,3 +92,8 @@ def half_up(x: Column) -> Column:
 def exact_mean(x: Column) -> Column:
     """A mean whose sum is exact in cents, so it does not depend on the order of rows."""
     return F.sum(x.cast("decimal(18,2)")).cast("double") / F.count(x)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Rounding with halves up in plain double arithmetic, which every engine does alike."""
+    return F.floor(x * 10**digits + 0.5).cast("double") / 10**digits

@@ -7,21 +7,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tochi.schema import CATEGORIES
+from tochi.tables import BROADCAST_ROWS, dimension, materialized
 
 
 def iqr_bounds(df: DataFrame, column: str, by: str = "region") -> DataFrame:
-    """(by, q1, q3): exact quartiles with linear interpolation."""
-    return df.groupBy(by).agg(F.percentile(column, [0.25, 0.75]).alias("q")).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    """(by, q1, q3): exact quartiles with linear interpolation.
+
+    Equal values are counted first; the counts are laid out by value over many tasks and
+    ranks found by running counts inside a task and over tasks, so no region is in one.
+    """
+    counts = df.filter(F.col(by).isNotNull() & F.col(column).isNotNull()).groupBy(by, F.col(column).alias("_x")).agg(F.count("*").alias("_n"))
+    ranged = materialized(counts.repartitionByRange(by, "_x").withColumn("_part", F.spark_partition_id()), "quartiles")
+    ahead = Window.partitionBy(by).orderBy("_part")
+    parts = ranged.groupBy(by, "_part").agg(F.sum("_n").alias("_m"))
+    parts = parts.select(by, "_part", (F.sum("_m").over(ahead) - F.col("_m")).alias("_before"), F.sum("_m").over(Window.partitionBy(by)).alias("_total"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(by, "_part").orderBy("_x"))
+    rows = ranged.join(F.broadcast(parts), [by, "_part"]).withColumn("_upto", upto)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_x")))
+
+    ends = []
+    for k, share in ((1, 0.25), (3, 0.75)):
+        place = (F.col("_total") - 1) * share
+        ends += [at(F.floor(place)).alias(f"_low{k}"), at(F.ceil(place)).alias(f"_high{k}"), F.max(place - F.floor(place)).alias(f"_rest{k}")]
+    found = rows.groupBy(by).agg(*ends)
+    return found.select(by, *((F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * F.col(f"_rest{k}")).alias(f"q{k}") for k in (1, 3)))
 
 
 def remove_iqr_outliers(df: DataFrame, columns: tuple[str, ...] = ("price", "area"), by: str = "region") -> DataFrame:
     """Rows inside 1.5 quartile ranges, column after column on the survivors.
 
-    The bounds are one row per region; Spark broadcasts them when they are small.
+    The bounds, one row a region, are written, counted, and broadcast if few.
     """
     for column in columns:
         fence = 1.5 * (F.col("q3") - F.col("q1"))
-        df = df.join(iqr_bounds(df, column, by), by).filter(F.col(column).between(F.col("q1") - fence, F.col("q3") + fence)).drop("q1", "q3")
+        df = df.join(dimension(iqr_bounds(df, column, by), "bounds"), by).filter(F.col(column).between(F.col("q1") - fence, F.col("q3") + fence)).drop("q1", "q3")
     return df
 
 
@@ -33,10 +54,15 @@ def build_category_dictionary(df: DataFrame, features: tuple[str, ...] = CATEGOR
 
 
 def encode_categories(df: DataFrame, dictionary: DataFrame, features: tuple[str, ...] = CATEGORIES, by: str = "region") -> DataFrame:
-    """``df`` with ``<feature>_id``, 0 where the dictionary lacks the value."""
+    """``df`` with ``<feature>_id``, 0 where the dictionary lacks the value.
+
+    The dictionary is written, counted, and broadcast if it is small.
+    """
+    dictionary = materialized(dictionary, "dictionary")
+    small = dictionary.count() <= BROADCAST_ROWS
     for f in features:
         ids = dictionary.filter(F.col("feature") == f).select(F.col(by).alias("_by"), F.col("value").alias("_value"), F.col("id").alias(f"{f}_id"))
-        df = df.join(ids, (F.col(by) == F.col("_by")) & (F.col(f).cast("string") == F.col("_value")), "left").drop("_by", "_value")
+        df = df.join(F.broadcast(ids) if small else ids, (F.col(by) == F.col("_by")) & (F.col(f).cast("string") == F.col("_value")), "left").drop("_by", "_value")
         df = df.withColumn(f"{f}_id", F.coalesce(F.col(f"{f}_id"), F.lit(0)))
     return df
 

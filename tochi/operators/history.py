@@ -17,8 +17,12 @@ def price_history(df: DataFrame) -> DataFrame:
 
 
 def region_history(history: DataFrame) -> DataFrame:
-    """(region, year, avg_price): the plain mean of the stations' means."""
-    return history.groupBy("region", "year").agg(exact_mean(F.round("avg_price", 2)).alias("avg_price"))
+    """(region, year, avg_price): the plain mean of the stations' means.
+
+    The means are summed as whole millionths, so the order of rows does not matter.
+    """
+    millionths = F.floor(F.col("avg_price") * 1_000_000 + 0.5).cast("decimal(28,0)")
+    return history.groupBy("region", "year").agg((F.sum(millionths).cast("double") / F.count("avg_price") / 1_000_000).alias("avg_price"))
 
 
 def deltas(series: DataFrame, keys: list[str]) -> DataFrame:

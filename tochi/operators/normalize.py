@@ -38,17 +38,30 @@ ALIASES = {
 
 
 def _parsed(df: DataFrame, text: dict[str, Column], missing_building_year: str) -> DataFrame:
-    year, built = R.transaction_year(text["transaction_year"]), R.building_year(text["building_year"])
-    age = R.building_age(year, built)
+    # parsed below a generator of one row: a filter on a parsed column stays above it and
+    # does not run the parsing a second time
+    kept = [F.col(c) for c in ("region", "source_path") if c in df.columns]
+    once = {
+        "price": R.number(text["price"]),
+        "area": R.number(text["area"]),
+        "station_distance": R.walking_minutes(text["station_distance"]),
+        "transaction_year": R.transaction_year(text["transaction_year"]),
+        "building_year": R.building_year(text["building_year"]),
+        **{c: text[c] for c in ("prefecture", "municipality", "station", "room_layout", "building_type")},
+    }
+    df = df.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in once.items()], *kept))))
+    text = {k: F.col(k) for k in once}
+    year = F.col("transaction_year")
+    age = R.building_age(year, F.col("building_year"))
     if missing_building_year == "zero":
         age = F.coalesce(age, F.lit(0.0))
     elif missing_building_year != "drop":
         raise ValueError("missing_building_year is 'drop' or 'zero'")
     new = {
-        "price": R.number(text["price"]),
-        "area": R.number(text["area"]),
+        "price": text["price"],
+        "area": text["area"],
         "age": age,
-        "station_distance": R.walking_minutes(text["station_distance"]),
+        "station_distance": text["station_distance"],
         "prefecture": text["prefecture"],
         "municipality": text["municipality"],
         "station": text["station"],
@@ -56,7 +69,6 @@ def _parsed(df: DataFrame, text: dict[str, Column], missing_building_year: str)
         "building_type": F.coalesce(text["building_type"], F.lit("unknown")),
         "transaction_year": year,
     }
-    kept = [F.col(c) for c in ("region", "source_path") if c in df.columns]
     return df.select(*[c.alias(k) for k, c in new.items()], *kept)
 
 
@@ -99,17 +111,29 @@ def with_region(df: DataFrame) -> DataFrame:
 
 
 # English names that geocoders give for the prefectures, and the levels
-# of an address that may hold the municipality, in order.
-PREFECTURE_ALIASES = {"Tokyo": "東京都", "Saitama": "埼玉県", "Chiba": "千葉県", "Kanagawa": "神奈川県"}
-PLACE_LEVELS = ("city", "ward", "town", "village", "municipality", "county", "suburb")
+# of an address that may hold the prefecture and the municipality, in order.
+PREFECTURE_ALIASES = {
+    "Tokyo": "東京都",
+    "Saitama": "埼玉県",
+    "Chiba": "千葉県",
+    "Kanagawa": "神奈川県",
+    "Kanagawa Prefecture": "神奈川県",
+    "Saitama Prefecture": "埼玉県",
+    "Chiba Prefecture": "千葉県",
+    "Tokyo Metropolis": "東京都",
+}
+STATE_LEVELS = ("province", "state", "region")
+PLACE_LEVELS = ("city_district", "municipality", "city", "town", "village", "county", "suburb")
 
 
 def geocoded(addresses: DataFrame, json: str = "address") -> DataFrame:
-    """prefecture and municipality out of landed geocoder addresses (JSON text)."""
-    state = R.first_filled(*[F.get_json_object(json, f"$.{k}") for k in ("province", "state", "region")])
+    """prefecture and municipality out of landed geocoder addresses (JSON text).
+
+    Only absent and null levels are passed over, an empty one is taken; with none, ''.
+    """
+    state, place = (F.coalesce(*[F.get_json_object(json, f"$.{k}") for k in levels], F.lit("")) for levels in (STATE_LEVELS, PLACE_LEVELS))
     alias = F.create_map(*[F.lit(x) for pair in PREFECTURE_ALIASES.items() for x in pair])
-    place = R.first_filled(*[F.get_json_object(json, f"$.{k}") for k in PLACE_LEVELS])
-    return addresses.withColumns({"prefecture": F.coalesce(alias[state], state), "municipality": place})
+    return addresses.withColumns({"prefecture": F.coalesce(F.try_element_at(alias, state), state), "municipality": place})
 
 
 def split_supported(requests: DataFrame, supported: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,36 +8,50 @@ from pyspark.sql.window import Window
 
 from tochi.functions import haversine_km, station_key, walk_from_km
 from tochi.schema import regions
+from tochi.tables import BROADCAST_ROWS, materialized
 
-CELL_DEGREES = 0.1
-#: A hit nearer than one cell's height and width is nearer than anything outside the
-#: neighbourhood; 0.1 degree spans 11.1 km by latitude and, up to 36 degrees, 8.9 km
-#: by longitude.
+#: Sides of grid cells in degrees, ever coarser; each divides 360. A hit nearer than one
+#: cell's height and width is nearer than anything outside the 3 x 3 cells around.
+CELLS = (0.1, 0.5, 2.0, 10.0, 60.0, 360.0)
 KM_PER_DEGREE = 111.0
 _SHIFT = 1 << 20
 
 
+def _in_grid(asked: DataFrame, stations: DataFrame, side: float) -> DataFrame:
+    """(request_id, lat, lon, best): the best packed (distance, position) in the 3 x 3 cells around."""
+    around = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    row = lambda c: F.floor(F.col(c) / side).cast("int")
+    column = lambda x: F.pmod(F.floor(x / side).cast("int"), F.lit(round(360 / side)))
+    near = stations.select("position", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).withColumn("dy", around).withColumn("dx", around)
+    near = near.select("position", "s_lat", "s_lon", (row("s_lat") + F.col("dy")).alias("cy"), column(F.col("s_lon") + F.col("dx") * side).alias("cx"))
+    if near.count() <= BROADCAST_ROWS:
+        near = F.broadcast(near)
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
+    packed = F.round(km * 1_000_000).cast("long") * _SHIFT + F.col("position")
+    asked = asked.select("request_id", "lat", "lon", row("lat").alias("cy"), column(F.col("lon")).alias("cx"))
+    return asked.join(near, ["cy", "cx"], "left").groupBy("request_id", "lat", "lon").agg(F.min(packed).alias("best"))
+
+
 def nearest_station(requests: DataFrame, stations: DataFrame) -> DataFrame:
     """``requests`` (request_id, lat, lon) with the station nearest to each.
 
     stations: station_id, station_name, region, lat, lon, position (order, < 2**20;
     the least wins a tie). A grid join looks at the 3 x 3 cells around each request;
-    requests with no or too far a hit meet all stations, which is exact and rare.
+    requests with no or too far a hit look again in coarser cells, the last of which
+    hold the whole earth. A request without coordinates has no row.
     """
-    cell = lambda c: F.floor(F.col(c) / CELL_DEGREES).cast("int")
-    around = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
-    near = stations.select("position", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), cell("lat").alias("y0"), cell("lon").alias("x0"))
-    near = near.select("*", around.alias("dy")).select("*", around.alias("dx")).select("position", "s_lat", "s_lon", (F.col("y0") + F.col("dy")).alias("cy"), (F.col("x0") + F.col("dx")).alias("cx"))
-    asked = requests.select("request_id", "lat", "lon", cell("lat").alias("cy"), cell("lon").alias("cx"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-    packed = F.round(km * 1_000_000).cast("long") * _SHIFT + F.col("position")
-    hits = asked.join(near, ["cy", "cx"], "left").groupBy("request_id", "lat", "lon").agg(F.min(packed).alias("best"))
-    safe_km = CELL_DEGREES * KM_PER_DEGREE * F.least(F.lit(1.0), F.cos(F.radians(F.abs(F.col("lat")) + CELL_DEGREES)))
-    sure = F.col("best").isNotNull() & (F.floor(F.col("best") / _SHIFT) / 1_000_000 < safe_km)
-    rest = hits.filter(~sure).select("request_id", "lat", "lon")
-    everywhere = stations.select("position", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    far = rest.join(everywhere, F.lit(True), "cross").groupBy("request_id", "lat", "lon").agg(F.min(packed).alias("best"))
-    found = hits.filter(sure).unionByName(far).select("request_id", F.pmod("best", F.lit(_SHIFT)).alias("position"), (F.floor(F.col("best") / _SHIFT) / 1_000_000).alias("km"))
+    rest = requests.filter("lat is not null and lon is not null").select("request_id", "lat", "lon")
+    found: DataFrame | None = None
+    for side in CELLS:
+        hits = materialized(_in_grid(rest, stations, side), "hits")
+        safe_km = side * KM_PER_DEGREE * F.cos(F.radians(F.least(F.abs(F.col("lat")) + side, F.lit(90.0))))
+        sure = F.lit(side == CELLS[-1]) | F.coalesce(F.floor(F.col("best") / _SHIFT) / 1_000_000 < safe_km, F.lit(False))
+        done = hits.filter(sure & F.col("best").isNotNull())
+        found = done if found is None else found.unionByName(done)
+        rest = hits.filter(~sure).select("request_id", "lat", "lon")
+        if rest.isEmpty():
+            break
+    found = found.select("request_id", F.pmod("best", F.lit(_SHIFT)).alias("position"), (F.floor(F.col("best") / _SHIFT) / 1_000_000).alias("km"))
     found = found.join(stations.select("position", "station_id", "station_name", F.col("region").alias("station_region")), "position")
     return found.select("request_id", "station_id", "station_name", "station_region", "km", walk_from_km(F.col("km")).alias("walk_minutes"))
 

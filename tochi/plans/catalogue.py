@@ -14,6 +14,7 @@ from tochi import sources
 from tochi.operators import cleaning, features, history, normalize, registry, scoring, stations, training
 from tochi.plans import bindings as B
 from tochi.schema import CATEGORIES
+from tochi.tables import materialized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,11 +39,12 @@ def tx(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.remove_iqr_outliers(tx(spark, sf))
+    """Cleaned transactions; the joined rows are written once, so a query reads the facts once."""
+    return cleaning.remove_iqr_outliers(materialized(tx(spark, sf), "transactions"))
 
 
 def price_history(spark: SparkSession, sf: str) -> DataFrame:
-    return history.price_history(clean(spark, sf)).select("region", "station", "year", F.round("avg_price", 2).alias("avg_price"))
+    return history.price_history(clean(spark, sf)).select("region", "station", "year", R.rounded(F.col("avg_price"), 2).alias("avg_price"))
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,8 +68,8 @@ def _experiments(spark: SparkSession, sf: str) -> DataFrame:
     """One experiment a nation: the mean model's error over its rows."""
     rows = tx(spark, sf)
     scored = rows.join(history.mean_model(rows), "region")
-    errors = scored.groupBy("region", F.col("n_nationkey").alias("model_id")).agg(R.exact_mean(F.abs(F.col("price") - F.round("prediction", 2))).alias("mae"))
-    return errors.select("region", "model_id", F.round("mae", 2).alias("mae"))
+    errors = scored.groupBy("region", F.col("n_nationkey").alias("model_id")).agg(R.exact_mean(F.abs(F.col("price") - R.rounded(F.col("prediction"), 2))).alias("mae"))
+    return errors.select("region", "model_id", R.rounded(F.col("mae"), 2).alias("mae"))
 
 
 def _mean(x: str) -> str:
@@ -87,7 +89,7 @@ _POINTS = """points AS (SELECT *, avg_price - lag(avg_price) OVER (PARTITION BY
   row_number() OVER (PARTITION BY region, station ORDER BY year DESC) AS from_end FROM history WHERE year <= 2001)"""
 _TREND = f"""{_HISTORY}, {_POINTS},
 trend AS (SELECT region, station, CASE WHEN count(*) > 1 THEN (arg_max(avg_price, year) - arg_min(avg_price, year)) / (count(*) - 1) END AS trend FROM points WHERE from_end <= 4 GROUP BY ALL),
-rhist AS (SELECT region, year, {_mean('round(avg_price, 2)')} AS avg_price FROM history GROUP BY ALL),
+rhist AS (SELECT region, year, CAST(sum(CAST(floor(avg_price * 1000000 + 0.5) AS HUGEINT)) AS DOUBLE) / count(avg_price) / 1000000 AS avg_price FROM history GROUP BY ALL),
 rpoints AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY year DESC) AS from_end FROM rhist WHERE year <= 2001),
 rtrend AS (SELECT region, CASE WHEN count(*) > 1 THEN (arg_max(avg_price, year) - arg_min(avg_price, year)) / (count(*) - 1) END AS rtrend FROM rpoints WHERE from_end <= 4 GROUP BY ALL)"""
 _DICT = f"""{_CLEAN},
@@ -197,13 +199,16 @@ def n13(spark, sf):
     return B.spark_view(spark, sf, B.FEED).groupBy("name", R.station_key(F.col("name")).alias("station_key")).agg(F.count("*").alias("n"))
 
 
-_ADDRESS = """SELECT o_orderkey AS request_id, concat('{{"', CASE o_orderkey % 3 WHEN 0 THEN 'province' WHEN 1 THEN 'state' ELSE 'region' END, '":"', CASE o_orderkey % 4 WHEN 0 THEN 'Tokyo' WHEN 1 THEN 'Chiba' ELSE o_orderstatus END,
-  '","', CASE o_orderkey % 5 WHEN 0 THEN 'city' WHEN 1 THEN 'ward' WHEN 2 THEN 'town' WHEN 3 THEN 'suburb' ELSE 'road' END, '":"', o_orderpriority, '"}}') AS address FROM {orders}"""
-_J = lambda keys: "coalesce(" + ", ".join(f"nullif(json_extract_string(address, '$.{k}'), '')" for k in keys) + ")"
-_STATE = _J(("province", "state", "region"))
+_ADDRESS = """SELECT o_orderkey AS request_id, concat('{{"', CASE o_orderkey % 3 WHEN 0 THEN 'province' WHEN 1 THEN 'state' ELSE 'region' END, '":"',
+  CASE o_orderkey % 10 WHEN 0 THEN 'Tokyo' WHEN 1 THEN 'Chiba' WHEN 2 THEN 'Saitama' WHEN 3 THEN 'Kanagawa' WHEN 4 THEN 'Kanagawa Prefecture' WHEN 5 THEN 'Saitama Prefecture' WHEN 6 THEN 'Chiba Prefecture' WHEN 7 THEN 'Tokyo Metropolis' WHEN 8 THEN '' ELSE o_orderstatus END,
+  '",', CASE WHEN o_orderkey % 3 = 1 THEN '' WHEN o_orderkey % 7 = 0 THEN '"state":null,' ELSE '"state":"Tokyo",' END, '"suburb":"s","', CASE o_orderkey % 8 WHEN 0 THEN 'city' WHEN 1 THEN 'city_district' WHEN 2 THEN 'town' WHEN 3 THEN 'village' WHEN 4 THEN 'municipality' WHEN 5 THEN 'county' WHEN 6 THEN 'ward' ELSE 'road' END, '":"',
+  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END, CASE WHEN o_orderkey % 8 = 2 THEN '"}}' ELSE '","town":"t"}}' END) AS address FROM {orders}"""
+_J = lambda key: f"json_extract_string(address, '$.{key}')"
+_STATE = f"coalesce({_J('province')}, {_J('state')}, {_J('region')}, '')"
+_PLACE = f"coalesce({_J('city_district')}, {_J('municipality')}, {_J('city')}, {_J('town')}, {_J('village')}, {_J('county')}, {_J('suburb')}, '')"
 
 
-@query("n14_geocoded", f"WITH a AS ({B.duck_view(_ADDRESS)}) SELECT request_id, CASE {_STATE} WHEN 'Tokyo' THEN '東京都' WHEN 'Saitama' THEN '埼玉県' WHEN 'Chiba' THEN '千葉県' WHEN 'Kanagawa' THEN '神奈川県' ELSE {_STATE} END AS prefecture, {_J(normalize.PLACE_LEVELS)} AS municipality FROM a")
+@query("n14_geocoded", f"WITH a AS ({B.duck_view(_ADDRESS)}) SELECT request_id, CASE WHEN {_STATE} IN ('Tokyo', 'Tokyo Metropolis') THEN '東京都' WHEN {_STATE} IN ('Saitama', 'Saitama Prefecture') THEN '埼玉県' WHEN {_STATE} IN ('Chiba', 'Chiba Prefecture') THEN '千葉県' WHEN {_STATE} IN ('Kanagawa', 'Kanagawa Prefecture') THEN '神奈川県' ELSE {_STATE} END AS prefecture, {_PLACE} AS municipality FROM a")
 def n14(spark, sf):
     return normalize.geocoded(B.spark_view(spark, sf, _ADDRESS)).drop("address")
 
@@ -220,7 +225,7 @@ def n15(spark, sf):
 
 def _encoded(spark, sf):
     rows = clean(spark, sf)
-    return cleaning.encode_categories(rows, cleaning.build_category_dictionary(rows))
+    return cleaning.encode_categories(rows, cleaning.build_category_dictionary(rows))  # both read the written rows
 
 
 _IDS = ", ".join(f"coalesce({c}_d.id, 0) AS {c}_id" for c in CATEGORIES)
@@ -357,25 +362,26 @@ def a01(spark, sf):
     return cleaning.iqr_bounds(tx(spark, sf), "price").select("region", F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3"))
 
 
-query("a02_price_history", f"{_HISTORY} SELECT region, station, year, round(avg_price, 2) AS avg_price FROM history")(price_history)
+query("a02_price_history", f"{_HISTORY} SELECT region, station, year, floor(avg_price * 100 + 0.5) / 100 AS avg_price FROM history")(price_history)
 
 
 def _history(spark, sf):
-    return history.price_history(clean(spark, sf))
+    """One row a region, station and year, written once since its readers read it several times."""
+    return materialized(history.price_history(clean(spark, sf)), "history")
 
 
-@query("a03_region_history", f"{_TREND} SELECT region, year, round(avg_price, 2) AS avg_price FROM rhist")
+@query("a03_region_history", f"{_TREND} SELECT region, year, floor(avg_price * 100 + 0.5) / 100 AS avg_price FROM rhist")
 def a03(spark, sf):
-    return history.region_history(_history(spark, sf)).select("region", "year", F.round("avg_price", 2).alias("avg_price"))
+    return history.region_history(_history(spark, sf)).select("region", "year", R.rounded(F.col("avg_price"), 2).alias("avg_price"))
 
 
-_MODEL = f"""{_CLEAN}, model AS (SELECT region, round({_mean('price')}, 2) AS prediction FROM clean WHERE transaction_year >= {START} AND transaction_year < {TEST} GROUP BY region),
+_MODEL = f"""{_CLEAN}, model AS (SELECT region, floor({_mean('price')} * 100 + 0.5) / 100 AS prediction FROM clean WHERE transaction_year >= {START} AND transaction_year < {TEST} GROUP BY region),
 scored AS (SELECT t.*, prediction FROM clean t JOIN model USING (region) WHERE transaction_year = {TEST})"""
 
 
 def _baseline(spark, sf):
     rows = cleaning.time_holdout(clean(spark, sf), START, TEST)
-    model = history.mean_model(rows.filter("is_train")).select("region", F.round("prediction", 2).alias("prediction"))
+    model = history.mean_model(rows.filter("is_train")).select("region", R.rounded(F.col("prediction"), 2).alias("prediction"))
     return rows.filter("is_test").join(model, "region")
 
 
@@ -399,17 +405,17 @@ def a06(spark, sf):
 @query("a07_mean_model", f"{_MODEL} SELECT region, prediction FROM model")
 def a07(spark, sf):
     rows = cleaning.time_holdout(clean(spark, sf), START, TEST)
-    return history.mean_model(rows.filter("is_train")).select("region", F.round("prediction", 2).alias("prediction"))
+    return history.mean_model(rows.filter("is_train")).select("region", R.rounded(F.col("prediction"), 2).alias("prediction"))
 
 
-@query("a08_trend", f"{_TREND} SELECT region, station, round(trend, 2) AS trend FROM trend")
+@query("a08_trend", f"{_TREND} SELECT region, station, floor(trend * 100 + 0.5) / 100 AS trend FROM trend")
 def a08(spark, sf):
-    return history.trend(_history(spark, sf), ["region", "station"], 2001).select("region", "station", F.round("trend", 2).alias("trend"))
+    return history.trend(_history(spark, sf), ["region", "station"], 2001).select("region", "station", R.rounded(F.col("trend"), 2).alias("trend"))
 
 
-@query("w01_delta", f"{_HISTORY}, {_POINTS} SELECT region, station, year, round(delta, 2) AS delta FROM points")
+@query("w01_delta", f"{_HISTORY}, {_POINTS} SELECT region, station, year, floor(delta * 100 + 0.5) / 100 AS delta FROM points")
 def w01(spark, sf):
-    return history.deltas(_history(spark, sf).filter("year <= 2001"), ["region", "station"]).select("region", "station", "year", F.round("delta", 2).alias("delta"))
+    return history.deltas(_history(spark, sf).filter("year <= 2001"), ["region", "station"]).select("region", "station", "year", R.rounded(F.col("delta"), 2).alias("delta"))
 
 
 @query("w02_last_points", f"{_HISTORY}, {_POINTS} SELECT region, station, year, from_end FROM points WHERE from_end <= 4")
@@ -443,17 +449,17 @@ def m10(spark, sf):
 _WITH_TREND = f"{_TREND}, req AS ({B.duck_view(B.REQUESTS)}), asked AS (SELECT r.*, coalesce(t.trend, q.rtrend, 0.0) AS trend FROM req r LEFT JOIN trend t ON r.region = t.region AND r.station = t.station LEFT JOIN rtrend q ON r.region = q.region)"
 
 
-@query("j08_trend_fallback", f"{_WITH_TREND} SELECT request_id, round(trend, 2) AS trend FROM asked")
+@query("j08_trend_fallback", f"{_WITH_TREND} SELECT request_id, floor(trend * 100 + 0.5) / 100 AS trend FROM asked")
 def j08(spark, sf):
-    return scoring.with_trend(_requests(spark, sf), _history(spark, sf), 2001).select("request_id", F.round("trend", 2).alias("trend"))
+    return scoring.with_trend(_requests(spark, sf), _history(spark, sf), 2001).select("request_id", R.rounded(F.col("trend"), 2).alias("trend"))
 
 
 _FORE = f"""{_WITH_TREND}, years AS (SELECT *, unnest(CASE WHEN year > 2001 THEN range(2002, year + 1) ELSE [CAST(year AS BIGINT)] END) AS forecast_year FROM asked),
 fore AS (SELECT *, CASE WHEN year <= 2001 THEN {_LINEAR.format(y='year')} ELSE greatest(1000000.0, {_LINEAR.format(y='2001')} + trend * (forecast_year - 2001)) END AS prediction FROM years)"""
 
 
-def _forecast(spark, sf):
-    return scoring.forecast(_requests(spark, sf), _history(spark, sf), 2001, scoring.linear_score(2001))
+def _forecast(spark, sf, past=None):
+    return scoring.forecast(_requests(spark, sf), past if past is not None else _history(spark, sf), 2001, scoring.linear_score(2001))
 
 
 @query("m09_g01_forecast", f"{_FORE} SELECT request_id, forecast_year, round(prediction, 1) AS prediction, round(greatest(0, prediction - mae), 1) AS lower, round(prediction + mae, 1) AS upper FROM fore")
@@ -468,7 +474,8 @@ chart AS (SELECT * FROM series UNION ALL SELECT *, 'forecast' FROM ap ANTI JOIN
 
 
 def _chart(spark, sf):
-    rows, past = _forecast(spark, sf), _history(spark, sf)
+    past = _history(spark, sf)
+    rows = materialized(_forecast(spark, sf, past), "forecast")
     ahead = rows.filter("request_id % 7 <> 0").groupBy("region", "station", F.col("forecast_year").alias("year")).agg(F.max("prediction").alias("avg_price"))
     asked = rows.filter("forecast_year = year").groupBy("region", "station", "year").agg(F.max("prediction").alias("avg_price"))
     return past, ahead, scoring.chart_series(past, ahead, asked)
@@ -485,7 +492,7 @@ def u03(spark, sf):
     return _chart(spark, sf)[2].select("region", "station", "year", F.round("avg_price", 1).alias("avg_price"), "kind")
 
 
-@query("o01_series_by_year", f"{_HISTORY} SELECT region, station, year, round(avg_price, 2) AS avg_price FROM history ORDER BY region, station, year")
+@query("o01_series_by_year", f"{_HISTORY} SELECT region, station, year, floor(avg_price * 100 + 0.5) / 100 AS avg_price FROM history ORDER BY region, station, year")
 def o01(spark, sf):
     return price_history(spark, sf).orderBy("region", "station", "year")
 
@@ -495,10 +502,10 @@ def w07(spark, sf):
     return scoring.forecast_line(_chart(spark, sf)[2]).select("region", "station", "year", "kind", "last_actual", F.coalesce("on_line", F.lit(False)).alias("on_line"))
 
 
-@query("m13_expanding_folds", f"{_CLEAN}, folds AS (SELECT t.*, f.fold FROM clean t, (SELECT unnest([1999, 2000, 2001]) AS fold) f), fm AS (SELECT region, fold, round({_mean('price')}, 2) AS prediction FROM folds WHERE transaction_year >= {START} AND transaction_year < fold GROUP BY ALL) SELECT region, fold, round(avg(abs(price - prediction)), 1) AS mae, count(*) AS n FROM folds JOIN fm USING (region, fold) WHERE transaction_year = fold GROUP BY ALL")
+@query("m13_expanding_folds", f"{_CLEAN}, folds AS (SELECT t.*, f.fold FROM clean t, (SELECT unnest([1999, 2000, 2001]) AS fold) f), fm AS (SELECT region, fold, floor({_mean('price')} * 100 + 0.5) / 100 AS prediction FROM folds WHERE transaction_year >= {START} AND transaction_year < fold GROUP BY ALL) SELECT region, fold, round(avg(abs(price - prediction)), 1) AS mae, count(*) AS n FROM folds JOIN fm USING (region, fold) WHERE transaction_year = fold GROUP BY ALL")
 def m13(spark, sf):
     rows = cleaning.expanding_folds(clean(spark, sf), START, 1999, 2001)
-    models = rows.filter("is_train").groupBy("region", "fold").agg(F.round(R.exact_mean(F.col("price")), 2).alias("prediction"))
+    models = rows.filter("is_train").groupBy("region", "fold").agg(R.rounded(R.exact_mean(F.col("price")), 2).alias("prediction"))
     test = rows.filter("is_test").join(models, ["region", "fold"])
     return test.groupBy("region", "fold").agg(F.round(F.avg(F.abs(F.col("price") - F.col("prediction"))), 1).alias("mae"), F.count("*").alias("n"))
 
@@ -506,7 +513,7 @@ def m13(spark, sf):
 # ------------------------------------------------------------ registry
 
 
-_EXP = f"""{_TX}, mm AS (SELECT region, round({_mean('price')}, 2) AS prediction FROM tx GROUP BY region), er AS (SELECT tx.region, n_nationkey AS model_id, round({_mean('abs(price - prediction)')}, 2) AS mae FROM tx JOIN mm USING (region) GROUP BY ALL),
+_EXP = f"""{_TX}, mm AS (SELECT region, floor({_mean('price')} * 100 + 0.5) / 100 AS prediction FROM tx GROUP BY region), er AS (SELECT tx.region, n_nationkey AS model_id, floor({_mean('abs(price - prediction)')} * 100 + 0.5) / 100 AS mae FROM tx JOIN mm USING (region) GROUP BY ALL),
 b AS (SELECT *, min(mae) OVER (PARTITION BY region ORDER BY model_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM er),
 won AS (SELECT region, model_id, mae, best IS NULL OR mae < best AS became_latest FROM b),
 latest AS (SELECT *, model_id = max(CASE WHEN became_latest THEN model_id END) OVER (PARTITION BY region) AS is_latest FROM won)"""
@@ -561,7 +568,7 @@ def u01(spark, sf):
     return back.groupBy("region", "transaction_year", "station", "only_here").agg(F.count("*").alias("n"))
 
 
-@query("k02_r08_history_json", f"{_HISTORY} SELECT region, station, year, round(avg_price, 2) AS avg_price FROM history")
+@query("k02_r08_history_json", f"{_HISTORY} SELECT region, station, year, floor(avg_price * 100 + 0.5) / 100 AS avg_price FROM history")
 def k02(spark, sf):
     path = sources.scratch(spark, "history")
     sources.write_json(price_history(spark, sf), path)
@@ -696,10 +703,10 @@ def k04(spark, sf):
     return spark.read.schema(doc.schema).json(f"{path}/metadata").select("region", "rows.records", "rows.train", "rows.test", F.round("metrics.mae", 1).alias("mae"))
 
 
-@query("x01_x02_feature_providers", f"{_CLEAN}, m AS (SELECT station, {_mean('price')} AS station_price FROM clean GROUP BY station) SELECT station, transaction_year, count(*) AS n, round(any_value(station_price), 2) AS station_price FROM clean JOIN m USING (station) GROUP BY ALL")
+@query("x01_x02_feature_providers", f"{_CLEAN}, m AS (SELECT station, {_mean('price')} AS station_price FROM clean GROUP BY station) SELECT station, transaction_year, count(*) AS n, floor(any_value(station_price) * 100 + 0.5) / 100 AS station_price FROM clean JOIN m USING (station) GROUP BY ALL")
 def x01(spark, sf):
     df, _ = features.run_providers(clean(spark, sf), [*features.built_in(), features.GroupMean("station", "price", "station_price")])
-    return df.groupBy("station", "transaction_year").agg(F.count("*").alias("n"), F.round(F.any_value("station_price"), 2).alias("station_price"))
+    return df.groupBy("station", "transaction_year").agg(F.count("*").alias("n"), R.rounded(F.any_value("station_price"), 2).alias("station_price"))
 
 
 @query("j07_region_tables", f"{_REQ}, {_MODEL.removeprefix('WITH ')} SELECT request_id, r.region, prediction FROM req r JOIN model m ON r.region = m.region")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -13,20 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tochi.operators.normalize import normalize_api, normalize_csv
+from tochi.tables import scratch as scratch
 
 WRAPPERS = ("data", "Data", "items", "results")
 JAPANESE = "windows-31j"
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share; a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tochi-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _csv(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("inferSchema", False).csv(paths)
 
