@@ -124,6 +124,37 @@ def test_band_rejects_labelled_junk_and_keeps_clean_texts(spark):
     assert np.mean([r.perplexity_unseen > r.perplexity for r in rows]) > 0.95  # a text adds to its own grams
 
 
+def test_shards_of_a_model_score_alike(spark):
+    texts = [sentence(k, 30) for k in range(8)] + ["".join(chr(0x4E00 + (k * 37 + j * j) % 9000) for j in range(9000)) for k in range(2)] + [None, "", "\U0001f600 \u1234\u1234"]
+    df = spark.createDataFrame([(k, t, "en" if k % 2 else None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    one, many = (quality.fit(df, whole=True, shard_grams=n) for n in (10**9, 4000))
+    assert one.shards == 1 and many.shards > 2
+    a, b = ({r.doc_id: r for r in quality.score(df, m).collect()} for m in (one, many))
+    for k in a:
+        for c in ("log_perplexity", "unseen_perplexity"):
+            assert a[k][c] == b[k][c] is None or a[k][c] == pytest.approx(b[k][c], rel=1e-9)
+
+
+def test_band_rejects_on_both_sides(spark):
+    rng = np.random.default_rng(11)
+    plain = [sentence(k, 60) for k in range(240)]
+    notice = sentence(999, 80)
+    low = [f"{notice} {k}" for k in range(24)]
+    high = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 8)) for _ in range(60)) for _ in range(6)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(plain + low + high)], "doc_id long, text string, lang string").repartition(4)
+    rows = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert all(rows[k].kept for k in range(240))
+    assert all(rows[k].perplexity_unseen < rows[k].perplexity_low for k in range(240, 264))
+    assert all(rows[k].perplexity_unseen > rows[k].perplexity_high for k in range(264, 270))
+    # the limits by definition, from the perplexities themselves
+    logs = np.sort([round(math.log(r.perplexity_unseen) * 1000) for r in rows.values()])
+    q1, mid, q3 = np.percentile(logs, [25, 50, 75]) / 1000
+    for r in rows.values():
+        half = 2.0 * max(q3 - q1, 0.02) * math.sqrt(1 + 1000 / r.word_chars)
+        assert math.log(r.perplexity_low) == pytest.approx(mid - half, abs=2e-3) and math.log(r.perplexity_high) == pytest.approx(mid + half, abs=2e-3)
+
+
 # ------------------------------------------------------------ op4
 
 

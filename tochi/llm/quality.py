@@ -3,7 +3,11 @@
 The language model is over characters. Its highest order counts every n-gram of
 every text in Spark; lower orders use continuation counts. Words of the corpora
 this runs on are open-ended, so word n-grams would move more bytes than the texts
-themselves, while character n-grams saturate and combine before the shuffle.
+themselves, while character n-grams saturate and combine before the shuffle. The
+model is one sorted array of 64-bit hashes of all grams, found by bisection, beside
+their values; it grows with the corpus. Beyond SHARD_GRAMS it is cut into shards by
+the last but one character, which all the grams looked up for one character share,
+and the texts are scored shard after shard.
 
 The band judges a text by a model that has not counted it: the texts are dealt into
 two halves by a hash of the text, so exact copies share one, and each is scored by
@@ -19,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +35,15 @@ from pyspark.sql import types as T
 from tochi.llm.common import grouped, mix, saved, small_batches, spare_name, table, texts_of, with_columns
 
 ORDER = 5
-#: Bits of one symbol; code points from 2**12 on are hashed into that range.
-SYMBOL_BITS = 12
+#: Bits of one character; an n-gram is two longs, its last three characters and those before.
+SYMBOL_BITS = 21
 SYMBOL_MASK = (1 << SYMBOL_BITS) - 1
-#: Hash slots of the highest order and of all others. They bound the model that
-#: is broadcast: (2**22 + 9 * 2**20) * 8 bytes, about 110 MB, for any corpus and
-#: each of the models (of either half and of all texts).
-TOP_BITS, LOW_BITS = 22, 20
+#: The mass of characters that no text has is dealt over this many.
+VOCABULARY = 4096
+#: Grams of one shard of a model, 12 bytes each; a shard is broadcast at a time.
+SHARD_GRAMS = 8_000_000
+#: Languages whose discounts are broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Distinct n-grams a counting task holds before it emits what it has.
 HELD_GRAMS = 2_000_000
 #: Half-width of a language's band in interquartile ranges of log perplexity, for
@@ -96,11 +102,34 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
 # ---------------------------------------------------------------- n-grams
 
 
-def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text index of each gram, packed grams) for passes over the texts.
+@dataclass
+class Grams:
+    """The distinct n-grams of some texts: characters (rows x ORDER), and where they are.
+
+    ``where`` numbers the gram and ``owner`` the text of each character of the texts.
+    """
+
+    symbols: np.ndarray
+    where: np.ndarray
+    owner: np.ndarray
+
+    def packed(self, n: int = ORDER, context: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(high, low) longs of the last ``n`` characters, or of the ``n`` before the last."""
+        end = ORDER - 1 if context else ORDER
+        words = []
+        for k in (range(max(end - n, 0), max(end - 3, 0)), range(max(end - min(n, 3), 0), end)):
+            word = np.zeros(len(self.symbols), np.int64)
+            for j in k:
+                word = (word << np.int64(SYMBOL_BITS)) | self.symbols[:, j]
+            words.append(word)
+        return words[0], words[1]
+
+
+def _windows(texts: list[str]) -> Iterator[Grams]:
+    """The grams of passes over the texts, every character predicted exactly once.
 
-    A text is preceded by ORDER - 1 begin symbols, a further window of a long
-    text by the symbols before it, so each character is predicted exactly once.
+    A text is preceded by ORDER - 1 begin symbols, a further window of a long text by
+    the symbols before it.
     """
     pad = ORDER - 1
     pieces: list[tuple[int, str]] = []
@@ -110,20 +139,37 @@ def _windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             before = low[at - pad : at] if at else "\x01" * pad
             pieces.append((i, before + low[at : at + (1 << 20)]))
     for group in grouped([p for _, p in pieces]):
-        chosen = [pieces[g] for g in group]
-        points = np.frombuffer("".join(p for _, p in chosen).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        symbols = np.where(points <= SYMBOL_MASK, points, (points * np.uint32(2654435761)) >> np.uint32(32 - SYMBOL_BITS)).astype(np.int64)
-        sizes = np.array([len(p) for _, p in chosen])
-        grams = symbols[pad:].copy()
-        for k in range(1, ORDER):
-            grams |= symbols[pad - k : len(symbols) - k] << np.int64(SYMBOL_BITS * k)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        inside = np.ones(len(symbols), dtype=bool)
-        for k in range(pad):
-            inside[starts + k] = False
-        owner = np.repeat(np.array([i for i, _ in chosen]), sizes)
-        yield owner[inside], grams[inside[pad:]]
+        yield from _grams([pieces[g] for g in group])
+
+
+def _grams(pieces: list[tuple[int, str]]) -> Iterator[Grams]:
+    pad = ORDER - 1
+    points = np.frombuffer("".join(p for _, p in pieces).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    rank = np.zeros(0x110000, np.int32)
+    rank[points] = 1
+    alphabet = np.flatnonzero(rank)
+    base = len(alphabet)
+    if base > 6000:  # base ** ORDER has to fit into 63 bits: fewer characters at once
+        for i, piece in pieces:
+            for at in range(pad, len(piece), 2048):
+                yield from _grams([(i, piece[at - pad : at + 2048])])
+        return
+    rank[alphabet] = np.arange(base)
+    local = rank[points].astype(np.int64)
+    sizes = np.array([len(p) for _, p in pieces])
+    starts = np.cumsum(sizes) - sizes
+    key = np.zeros(max(len(local) - pad, 0), np.int64)
+    for k in range(ORDER):
+        key = key * base + local[k : k + len(key)]
+    inside = np.ones(len(local), dtype=bool)
+    for k in range(pad):
+        inside[starts + k] = False
+    distinct, where = np.unique(key[inside[pad:]], return_inverse=True)
+    symbols = np.zeros((len(distinct), ORDER), np.int64)
+    for k in range(ORDER - 1, -1, -1):
+        symbols[:, k] = alphabet[distinct % base]
+        distinct = distinct // base
+    yield Grams(symbols, where, np.repeat(np.array([i for i, _ in pieces]), sizes)[inside])
 
 
 def half_of(text: Column) -> Column:
@@ -139,52 +185,51 @@ def _by_language(langs: list[str | None], halves: list[int]) -> dict[tuple[str,
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[tuple[str, int], list[np.ndarray]] = {}
     fresh = 0
 
     def emit() -> Iterator[pa.RecordBatch]:
         for (lang, half), parts in held.items():
-            grams, counts = _merge(parts)
-            for at in range(0, len(grams), 100_000):
-                g = grams[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([f"{half}{lang}"] * len(g), pa.string()), pa.array(g), pa.array(counts[at : at + 100_000])], names=["lang", "gram", "n"])
+            rows = _merge(parts)
+            for at in range(0, len(rows), 100_000):
+                some = rows[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{half}{lang}"] * len(some), pa.string()), *(pa.array(some[:, k].copy()) for k in range(3))], names=["lang", "high", "low", "n"])
 
     for batch in batches:
         texts, langs = texts_of(batch.column(1)), batch.column(0).to_pylist()
         for key, rows in _by_language(langs, batch.column(2).to_pylist()).items():
             parts = held.setdefault(key, [])
-            for _, grams in _windows([texts[i] for i in rows]):
-                found = np.unique(grams, return_counts=True)
-                parts.append((found[0], found[1].astype(np.int64)))
-                fresh += len(found[0])
+            for found in _windows([texts[i] for i in rows]):
+                parts.append(np.column_stack([*found.packed(), np.bincount(found.where, minlength=len(found.symbols))]))
+                fresh += len(parts[-1])
         if fresh > HELD_GRAMS:
             held = {key: [_merge(parts)] for key, parts in held.items()}
             fresh = 0
-            if sum(len(parts[0][0]) for parts in held.values()) > HELD_GRAMS:
+            if sum(len(parts[0]) for parts in held.values()) > HELD_GRAMS:
                 yield from emit()
                 held = {}
     yield from emit()
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.zeros(len(grams), np.int64)
-    np.add.at(counts, where, np.concatenate([p[1] for p in parts]))
-    return grams, counts
+def _merge(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (high, low, count) with the counts of equal grams added up."""
+    rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.int64)
+    if len(parts) < 2:
+        return rows
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+    return np.column_stack([rows[first, :2], np.add.reduceat(rows[:, 2], first)])
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over every text; grams are packed ORDER symbols.
+    """(lang, high, low, n) over every text.
 
     ``lang`` is the half, one digit, and the language behind it.
     """
     small_batches(docs.sparkSession)
-    raw = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), half_of(F.col("text")).alias("half")).mapInArrow(_count_batches, "lang string, gram long, n long")
-    return raw.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    raw = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), half_of(F.col("text")).alias("half")).mapInArrow(_count_batches, "lang string, high long, low long, n long")
+    return raw.groupBy("lang", "high", "low").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- the model
@@ -195,7 +240,7 @@ def _discount(c: Column) -> Column:
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of each language from counts of counts."""
+    """Modified Kneser-Ney discounts of each language from counts of counts, written and broadcast if few."""
     n = [F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
 
@@ -203,11 +248,25 @@ def _discounts(counts: DataFrame) -> DataFrame:
         value = k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0))
         return F.least(F.greatest(F.coalesce(value, F.lit(0.5 * k)), F.lit(0.05 * k)), F.lit(0.95 * k)).alias(f"d{k}")
 
-    return counts.groupBy("lang").agg(*n).select("lang", d(1), d(2), d(3))
+    out = saved(counts.groupBy("lang").agg(*n).select("lang", d(1), d(2), d(3)), "kn-discounts")
+    return F.broadcast(out) if out.count() <= BROADCAST_LANGUAGES else out
+
+
+def _suffix(n: int) -> list[Column]:
+    """high and low of the last n of n + 1 characters."""
+    high = F.col("high").bitwiseAND(F.lit(SYMBOL_MASK)) if n == 4 else F.lit(0).cast("long")
+    low = F.col("low") if n >= 3 else F.col("low").bitwiseAND(F.lit((1 << (SYMBOL_BITS * n)) - 1))
+    return [high, low]
+
+
+def _context() -> list[Column]:
+    """high and low of all characters but the last."""
+    carried = F.shiftleft(F.col("high").bitwiseAND(F.lit(SYMBOL_MASK)), 2 * SYMBOL_BITS)
+    return [F.shiftright("high", SYMBOL_BITS), carried.bitwiseOR(F.shiftright("low", SYMBOL_BITS))]
 
 
 def kneser_ney(top: DataFrame) -> DataFrame:
-    """(level, lang, gram, value) of the interpolated model.
+    """(level, lang, high, low, value) of the interpolated model.
 
     Levels 1..ORDER hold log probabilities of the last symbol, keyed by the whole
     gram; levels -1..-(ORDER - 1) hold log backoff weights of contexts of that
@@ -215,92 +274,93 @@ def kneser_ney(top: DataFrame) -> DataFrame:
     """
     counts = {ORDER: top}
     for n in range(ORDER - 1, 0, -1):
-        low = F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * n)) - 1))
-        counts[n] = counts[n + 1].groupBy("lang", low.alias("gram")).agg(F.count("*").alias("n"))
+        high, low = _suffix(n)
+        counts[n] = counts[n + 1].groupBy("lang", high.alias("high"), low.alias("low")).agg(F.count("*").alias("n"))
         if n > 1:
             counts[n] = saved(counts[n], f"kn-counts{n}")
     out: DataFrame | None = None
     lower: DataFrame | None = None
     for n in range(1, ORDER + 1):
-        context = F.shiftright("gram", SYMBOL_BITS)
-        rows = counts[n].withColumn("context", context).join(_discounts(counts[n]), "lang")
-        sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum(_discount(F.col("n"))).alias("held"))
-        rows = rows.join(sums, ["lang", "context"])
+        c_high, c_low = _context()
+        rows = counts[n].withColumn("c_high", c_high).withColumn("c_low", c_low).join(_discounts(counts[n]), "lang")
+        sums = rows.groupBy("lang", "c_high", "c_low").agg(F.sum("n").alias("total"), F.sum(_discount(F.col("n"))).alias("held"))
+        if n == 1:  # one context a language
+            sums = F.broadcast(sums)
+        rows = rows.join(sums, ["lang", "c_high", "c_low"])
         share = F.greatest(F.col("n") - _discount(F.col("n")), F.lit(0.0)) / F.col("total")
         gamma = F.col("held") / F.col("total")
         if lower is None:
-            p = rows.select("lang", "gram", (share + gamma / F.lit(float(1 << SYMBOL_BITS))).alias("p"))
+            p = rows.select("lang", "high", "low", (share + gamma / F.lit(float(VOCABULARY))).alias("p"))
         else:
-            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * (n - 1))) - 1)))
-            lows = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p_low"))
-            p = rows.join(lows, ["lang", "suffix"]).select("lang", "gram", (share + gamma * F.col("p_low")).alias("p"))
+            high, low = _suffix(n - 1)
+            rows = rows.withColumn("s_high", high).withColumn("s_low", low)
+            lows = lower.select("lang", F.col("high").alias("s_high"), F.col("low").alias("s_low"), F.col("p").alias("p_low"))
+            p = rows.join(lows, ["lang", "s_high", "s_low"]).select("lang", "high", "low", (share + gamma * F.col("p_low")).alias("p"))
         lower = saved(p, f"kn-p{n}")
-        level = lower.select(F.lit(n).alias("level"), "lang", "gram", F.ln("p").alias("value"))
+        level = lower.select(F.lit(n).alias("level"), "lang", "high", "low", F.ln("p").alias("value"))
         out = level if out is None else out.unionByName(level)
-        if n > 1:
-            out = out.unionByName(sums.select(F.lit(1 - n).alias("level"), "lang", F.col("context").alias("gram"), F.ln(gamma).alias("value")))
-        else:
-            out = out.unionByName(sums.select(F.lit(0).alias("level"), "lang", F.lit(0).cast("long").alias("gram"), F.ln(gamma / F.lit(float(1 << SYMBOL_BITS))).alias("value")))
+        weight = F.ln(gamma) if n > 1 else F.ln(gamma / F.lit(float(VOCABULARY)))
+        out = out.unionByName(sums.select(F.lit(1 - n).alias("level"), "lang", F.col("c_high").alias("high"), F.col("c_low").alias("low"), weight.alias("value")))
     return out
 
 
-def _bits(level: int) -> int:
-    return TOP_BITS if level == ORDER else LOW_BITS
+def _keys(level: int, lang: str, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the grams of a level and language."""
+    seed = np.uint64((zlib.crc32(lang.encode()) << 8) + level + 16) ^ (np.uint64(zlib.adler32(lang.encode())) << np.uint64(40))
+    return mix(mix(mix(np.array([seed]))[0] ^ high.astype(np.uint64)) ^ low.astype(np.uint64))
 
 
-def _slots(level: int, lang: str, grams: np.ndarray) -> np.ndarray:
-    seed = np.uint64((zlib.crc32(lang.encode()) << 8) + level + 16)
-    return (mix(grams.astype(np.uint64) ^ mix(np.array([seed]))[0]) >> np.uint64(64 - _bits(level))).astype(np.uint32)
+def _shard(symbol: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of grams by their last but one character, the last of contexts."""
+    return (mix(symbol.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
-def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        level, lang, gram = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
-        slot = np.zeros(len(level), np.int64)
+        level, lang, high, low = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
+        key = np.zeros(len(level), np.uint64)
         for lv in np.unique(level):
             for lg in set(lang[level == lv]):
                 rows = (level == lv) & (lang == lg)
-                slot[rows] = _slots(int(lv), lg, gram[rows])
-        yield pa.RecordBatch.from_arrays([pa.array(level), batch.column(1), pa.array(slot), pa.array(np.exp(batch.column(4).to_numpy(zero_copy_only=False)))], names=["level", "part", "slot", "p"])
+                key[rows] = _keys(int(lv), lg, high[rows], low[rows])
+        # what a character's grams share; unigrams and the level below are in every shard
+        symbol = np.where(level > 1, low >> np.int64(SYMBOL_BITS), low) & np.int64(SYMBOL_MASK)
+        symbol = np.where((level == 0) | (level == 1), -1, symbol)
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(key.view(np.int64)), pa.array(symbol), batch.column(5).cast(pa.float32())], names=["part", "key", "symbol", "value"])
 
 
 @dataclass
 class HashedModel:
-    """Sorted arrays of occupied slots and their log values, one pair per level."""
-
-    slots: dict[int, np.ndarray]
-    values: dict[int, np.ndarray]
-    _direct: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self) -> dict:
-        return {"slots": self.slots, "values": self.values, "_direct": {}}
-
-    def _look_up(self, level: int, slots: np.ndarray) -> np.ndarray:
-        """Values of slots, NaN where a slot is empty; by direct address."""
-        if level not in self._direct:
-            direct = np.full(1 << _bits(level), np.nan, np.float32)
-            if level in self.slots:
-                direct[self.slots[level]] = self.values[level]
-            self._direct[level] = direct
-        return self._direct[level][slots]
-
-    def log_p(self, lang: str, grams: np.ndarray) -> np.ndarray:
-        """log p(last symbol | those before it), backing off where unseen."""
-        out = self._look_up(ORDER, _slots(ORDER, lang, grams)).astype(np.float64)
+    """Sorted 64-bit hashes of grams and contexts, and their log values."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def _look_up(self, level: int, lang: str, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Values of grams, NaN where there is none."""
+        if not len(self.keys):
+            return np.full(len(high), np.nan)
+        wanted = _keys(level, lang, high, low)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.values[at].astype(np.float64), np.nan)
+
+    def log_p(self, lang: str, grams: Grams) -> np.ndarray:
+        """log p(last symbol | those before it) of each distinct gram, backing off where unseen."""
+        out = self._look_up(ORDER, lang, *grams.packed())
         open_ = np.flatnonzero(np.isnan(out))
         weight = np.zeros(len(open_))
         for n in range(ORDER - 1, -1, -1):
             if not len(open_):
                 break
-            held = grams[open_]
-            context = (held >> np.int64(SYMBOL_BITS)) & np.int64((1 << (SYMBOL_BITS * n)) - 1)
+            held = Grams(grams.symbols[open_], grams.where, grams.owner)
             if n:
-                gamma = self._look_up(-n, _slots(-n, lang, context))
+                gamma = self._look_up(-n, lang, *held.packed(n, context=True))
                 weight += np.where(np.isnan(gamma), 0.0, gamma)
-                got = self._look_up(n, _slots(n, lang, held & np.int64((1 << (SYMBOL_BITS * n)) - 1)))
+                got = self._look_up(n, lang, *held.packed(n))
             else:
-                got = self._look_up(0, _slots(0, lang, np.zeros(len(held), np.int64)))
-                got = np.where(np.isnan(got), -np.log(1 << SYMBOL_BITS), got)
+                nothing = np.zeros(len(open_), np.int64)
+                got = self._look_up(0, lang, nothing, nothing)
+                got = np.where(np.isnan(got), -np.log(VOCABULARY), got)
             seen = ~np.isnan(got)
             out[open_[seen]] = weight[seen] + got[seen]
             open_, weight = open_[~seen], weight[~seen]
@@ -311,31 +371,46 @@ class HashedModel:
 WHOLE = "*"
 
 
-def fit(docs: DataFrame, whole: bool = False) -> dict[str, HashedModel]:
-    """Count, smooth and hash the models; what reaches the driver is bounded.
+class Model:
+    """The models of the halves (and of all texts), as one saved table of hashed grams."""
 
-    One model for each half and, with ``whole``, one for all texts. At most
-    2**22 + 9 * 2**20 slots of each exist, whatever the corpus; grams that share
-    a slot share their mean probability.
-    """
+    def __init__(self, rows: DataFrame, names: tuple[str, ...], shards: int) -> None:
+        self.rows, self.names, self.shards = rows, names, shards
+
+    def shard(self, k: int) -> Broadcast:
+        """{name: HashedModel} of one shard, broadcast; at most about SHARD_GRAMS grams of each."""
+        own = F.col("symbol").isin(-1) if self.shards > 1 else F.lit(True)
+        if self.shards > 1:
+            own = own | (F.col("shard") == k)
+        models = {}
+        for name in self.names:  # one at a time: the driver never holds them as rows together
+            got = self.rows.filter((F.col("part") == name) & own).select("key", "value").toArrow()
+            key = got.column(0).to_numpy().view(np.uint64)
+            order = np.argsort(key)
+            models[name] = HashedModel(key[order], got.column(1).to_numpy()[order])
+        return self.rows.sparkSession.sparkContext.broadcast(models)
+
+
+def fit(docs: DataFrame, whole: bool = False, shard_grams: int = SHARD_GRAMS) -> Model:
+    """Count, smooth and hash the models, one of each half and, with ``whole``, one of all texts."""
     top = saved(count_grams(docs), "kn-counts5")
     if whole:
-        both = top.groupBy(F.concat(F.lit(WHOLE), F.substr("lang", F.lit(2))).alias("lang"), "gram").agg(F.sum("n").alias("n"))
+        both = top.groupBy(F.concat(F.lit(WHOLE), F.substr("lang", F.lit(2))).alias("lang"), "high", "low").agg(F.sum("n").alias("n"))
         top = saved(top.unionByName(both), "kn-counts5-all")
-    rows = kneser_ney(top).select("level", F.substring("lang", 1, 1).alias("part"), F.substr("lang", F.lit(2)).alias("lang"), "gram", "value")
-    rows = rows.mapInArrow(_slot_batches, "level int, part string, slot long, p double")
-    rows = rows.groupBy("level", "part", "slot").agg(F.avg("p").alias("p")).select("level", "part", "slot", F.ln("p").cast("float").alias("value"))
-    rows = saved(rows.repartitionByRange("part", "level", "slot"), "kn-model")
-    models = {}
-    for name in ("0", "1", WHOLE) if whole else ("0", "1"):
-        slots, values = {}, {}
-        for level in range(1 - ORDER, ORDER + 1):  # one at a time: the driver never holds them as rows together
-            got = rows.filter((F.col("part") == name) & (F.col("level") == level)).select(F.col("slot").cast("int"), "value").toArrow()
-            slot = got.column(0).to_numpy()
-            order = np.argsort(slot)
-            slots[level], values[level] = slot[order].astype(np.uint32), got.column(1).to_numpy()[order]
-        models[name] = HashedModel(slots, values)
-    return models
+    rows = kneser_ney(top).select("level", F.substring("lang", 1, 1).alias("part"), F.substr("lang", F.lit(2)).alias("lang"), "high", "low", "value")
+    rows = saved(rows.mapInArrow(_key_batches, "part string, key long, symbol long, value float"), "kn-model")
+    most = rows.groupBy("part").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    shards = 1
+    if most > shard_grams:
+        # a shard holds whole characters: the fewest shards of which none is too large, as far as characters allow
+        sizes = {r[0]: r[1] for r in rows.filter("symbol >= 0").groupBy("part", "symbol").agg(F.count("*").alias("n")).groupBy("symbol").agg(F.max("n")).collect()}  # one number a character
+        names, counts = np.array(list(sizes)), np.array(list(sizes.values()))
+        shards = -(-most // shard_grams)
+        while np.bincount(_shard(names, shards), counts).max() > max(shard_grams, counts.max()):
+            shards += 1
+        places = docs.sparkSession.createDataFrame([(int(x), int(k)) for x, k in zip(names, _shard(names, shards))], "symbol long, shard long")
+        rows = rows.join(F.broadcast(places), "symbol", "left")
+    return Model(rows, ("0", "1", WHOLE) if whole else ("0", "1"), shards)
 
 
 # ---------------------------------------------------------------- scoring
@@ -344,7 +419,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _LOGS = ("log_perplexity", "unseen_perplexity")
 
 
-def score(docs: DataFrame, model: Broadcast, prefix: str = "") -> DataFrame:
+def score(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """``docs`` with the base counts, base_failed, log_perplexity and unseen_perplexity.
 
     ``log_perplexity`` (per character) is by the model of all texts, where there is
@@ -354,30 +429,50 @@ def score(docs: DataFrame, model: Broadcast, prefix: str = "") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     half = spare_name(docs.columns, "half")
-    docs = docs.withColumn(half, half_of(F.col("text")))
+    sums = [spare_name(docs.columns, x) for x in ("sum_all", "sum_unseen", "sum_seen")]
+    docs = docs.withColumns({half: half_of(F.col("text")), **{x: F.lit(0.0) for x in sums}})
+    for k in range(model.shards):
+        docs = _summed(docs, model.shard(k), half, sums, k, model.shards)
+        if model.shards > 1:
+            docs = saved(docs, "kn-sums")
+    at = docs.columns.index("text")
+    fields = [T.StructField(prefix + c, T.LongType()) for c in _COUNTS] + [T.StructField(prefix + "base_failed", T.BooleanType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.array([base_counts(t) for t in texts_of(batch.column(at))], np.int64).reshape(-1, len(_COUNTS))
+            failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
+            yield with_columns(batch, [*((prefix + c, pa.array(counts[:, k])) for k, c in enumerate(_COUNTS)), (prefix + "base_failed", pa.array(failed))])
+
+    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    logs = {prefix + c: F.when(F.col(sums[2]) > 0, -F.col(x) / F.col(sums[2])) for c, x in zip(_LOGS, sums)}
+    if WHOLE not in model.names:
+        logs[prefix + _LOGS[0]] = F.lit(None).cast("double")
+    return out.withColumns(logs).drop(half, *sums)
+
+
+def _summed(docs: DataFrame, model: Broadcast, half: str, sums: list[str], shard: int, shards: int) -> DataFrame:
+    """``docs`` with the log probabilities of the characters of one shard, and their number, added to ``sums``."""
     at = {c: docs.columns.index(c) for c in ("text", "lang", half)}
-    fields = [T.StructField(prefix + c, T.LongType()) for c in _COUNTS]
-    fields += [T.StructField(prefix + "base_failed", T.BooleanType()), *(T.StructField(prefix + c, T.DoubleType()) for c in _LOGS)]
+    places = [docs.columns.index(x) for x in sums]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = model.value
         for batch in batches:
             texts, langs = texts_of(batch.column(at["text"])), batch.column(at["lang"]).to_pylist()
-            counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(_COUNTS))
-            models, total, seen = model.value, np.zeros((2, len(texts))), np.zeros(len(texts))
+            total = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in places]).copy()
             for (lang, half_no), rows in _by_language(langs, batch.column(at[half]).to_pylist()).items():
                 where = np.array(rows)
-                for owner, grams in _windows([texts[i] for i in rows]):
+                for grams in _windows([texts[i] for i in rows]):
+                    mine = np.ones(len(grams.symbols)) if shards == 1 else (_shard(grams.symbols[:, ORDER - 2], shards) == shard).astype(float)
                     for k, by in enumerate((models.get(WHOLE), models[str(1 - half_no)])):
                         if by is not None:
-                            total[k, where] += np.bincount(owner, by.log_p(lang, grams), len(rows))
-                    seen[where] += np.bincount(owner, minlength=len(rows))
-            failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
-            value = -total / np.maximum(seen, 1)
-            new = [(prefix + c, pa.array(counts[:, k])) for k, c in enumerate(_COUNTS)]
-            logs = [(prefix + c, pa.array(value[k], mask=(seen == 0) | (k == 0 and WHOLE not in models))) for k, c in enumerate(_LOGS)]
-            yield with_columns(batch, [*new, (prefix + "base_failed", pa.array(failed)), *logs])
+                            total[k, where] += np.bincount(grams.owner, (by.log_p(lang, grams) * mine)[grams.where], len(rows))
+                    total[2, where] += np.bincount(grams.owner, mine[grams.where], len(rows))
+            columns = [pa.array(total[places.index(k)]) if k in places else batch.column(k) for k in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields])).drop(half)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def bands(scored: DataFrame, prefix: str = "") -> DataFrame:
@@ -405,17 +500,15 @@ def judge(scored: DataFrame, limits: DataFrame, prefix: str = "") -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, perplexity, band and verdict."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "lang")
-    model = spark.sparkContext.broadcast(fit(docs, whole=True))
-    scored = saved(score(docs, model).drop("text"), "kn-scored")
+    scored = saved(score(docs, fit(docs, whole=True)).drop("text"), "kn-scored")
     out = judge(scored, bands(scored))
     return out.select("doc_id", *_COUNTS, "base_failed", F.exp("log_perplexity").alias("perplexity"), F.exp("unseen_perplexity").alias("perplexity_unseen"), F.exp("band_low").alias("perplexity_low"), F.exp("band_high").alias("perplexity_high"), "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that the rules reject."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("text", "lang")))
+    model = fit(docs.select("text", "lang"))
     names = docs.columns
     prefix = spare_name(names, "q_") if any(c.startswith("q_") for c in names) else "q_"
     scored = score(docs, model, prefix)
