@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,7 +107,8 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
 class Grams:
     """The distinct n-grams of some texts: characters (rows x ORDER), and where they are.
 
-    ``where`` numbers the gram and ``owner`` the text of each character of the texts.
+    ``where`` numbers the gram and ``owner`` the text of each character of the texts;
+    of grams that were only counted, ``where`` is how often each occurs.
     """
 
     symbols: np.ndarray
@@ -125,7 +127,7 @@ class Grams:
         return words[0], words[1]
 
 
-def _windows(texts: list[str]) -> Iterator[Grams]:
+def _windows(texts: list[str], counted: bool = False) -> Iterator[Grams]:
     """The grams of passes over the texts, every character predicted exactly once.
 
     A text is preceded by ORDER - 1 begin symbols, a further window of a long text by
@@ -139,10 +141,10 @@ def _windows(texts: list[str]) -> Iterator[Grams]:
             before = low[at - pad : at] if at else "\x01" * pad
             pieces.append((i, before + low[at : at + (1 << 20)]))
     for group in grouped([p for _, p in pieces]):
-        yield from _grams([pieces[g] for g in group])
+        yield from _grams([pieces[g] for g in group], counted)
 
 
-def _grams(pieces: list[tuple[int, str]]) -> Iterator[Grams]:
+def _grams(pieces: list[tuple[int, str]], counted: bool) -> Iterator[Grams]:
     pad = ORDER - 1
     points = np.frombuffer("".join(p for _, p in pieces).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     rank = np.zeros(0x110000, np.int32)
@@ -152,7 +154,7 @@ def _grams(pieces: list[tuple[int, str]]) -> Iterator[Grams]:
     if base > 6000:  # base ** ORDER has to fit into 63 bits: fewer characters at once
         for i, piece in pieces:
             for at in range(pad, len(piece), 2048):
-                yield from _grams([(i, piece[at - pad : at + 2048])])
+                yield from _grams([(i, piece[at - pad : at + 2048])], counted)
         return
     rank[alphabet] = np.arange(base)
     local = rank[points].astype(np.int64)
@@ -164,7 +166,10 @@ def _grams(pieces: list[tuple[int, str]]) -> Iterator[Grams]:
     inside = np.ones(len(local), dtype=bool)
     for k in range(pad):
         inside[starts + k] = False
-    distinct, where = np.unique(key[inside[pad:]], return_inverse=True)
+    if counted:
+        distinct, where = np.unique(key[inside[pad:]], return_counts=True)
+    else:
+        where, distinct = pd.factorize(key[inside[pad:]])  # by a hash table: no sort
     symbols = np.zeros((len(distinct), ORDER), np.int64)
     for k in range(ORDER - 1, -1, -1):
         symbols[:, k] = alphabet[distinct % base]
@@ -199,8 +204,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         texts, langs = texts_of(batch.column(1)), batch.column(0).to_pylist()
         for key, rows in _by_language(langs, batch.column(2).to_pylist()).items():
             parts = held.setdefault(key, [])
-            for found in _windows([texts[i] for i in rows]):
-                parts.append(np.column_stack([*found.packed(), np.bincount(found.where, minlength=len(found.symbols))]))
+            for found in _windows([texts[i] for i in rows], counted=True):
+                parts.append(np.column_stack([*found.packed(), found.where]))
                 fresh += len(parts[-1])
         if fresh > HELD_GRAMS:
             held = {key: [_merge(parts)] for key, parts in held.items()}
