@@ -175,6 +175,36 @@ def test_language_on_odd_rows(docs, none):
     assert langid.identify(none).count() == 0
 
 
+def test_languages_equal_brute_force_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(k, "".join(rng.choice(list("abcdefgh" if k % 3 else "efghxyz"), 30)) + " " + str(k % 7), f"l{k % 7}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df).collect()}
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 3)
+    blocks = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df).collect()}
+    counts, documents = defaultdict(Counter), Counter()
+
+    def grams(t):
+        found = Counter()
+        for _, bucket, count in langid._buckets([t]):
+            found.update(dict(zip(bucket.tolist(), count.tolist())))
+        return found
+
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(grams(t))
+            documents[lang] += 1
+    for i, t, _ in rows:
+        joint = {}
+        for lang, own in counts.items():
+            rest = sum(own.values()) + langid.SMOOTHING * langid.BUCKETS
+            joint[lang] = math.log(documents[lang] / sum(documents.values())) + sum(n * math.log((own[b] + langid.SMOOTHING) / rest) for b, n in grams(t).items())
+        best = max(sorted(joint), key=joint.get)
+        score = 1 / sum(math.exp(v - joint[best]) for v in joint.values())
+        for got in (whole, blocks):
+            assert got[i][0] == best and got[i][1] == pytest.approx(score, abs=1e-3)
+
+
 def test_language_stage_rejects_texts_that_fit_no_language(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").drop("quality")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

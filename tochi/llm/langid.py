@@ -2,8 +2,8 @@
 
 Spark counts hashed n-grams of the training documents per language; the matrix of
 log probabilities (BUCKETS x languages) is broadcast and a batch is scored as a
-sparse matrix in numpy. It is bounded: BUCKETS is fixed, and more than
-MAX_LANGUAGES labels are refused as not being language codes.
+sparse matrix in numpy. BUCKETS is fixed; of more than BLOCK_LANGUAGES labels, a
+block of them at a time is broadcast and the texts are scored block after block.
 
 Definitions for odd input: a null text, or one without a letter, is ``und`` with
 score 0; so is every text where nothing was learned. Null languages and null
@@ -27,7 +27,8 @@ from tochi.llm.common import grouped, mix, saved, small_batches, spare_name, tab
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
-MAX_LANGUAGES = 512
+#: Languages of one block: its matrix takes 64 MB.
+BLOCK_LANGUAGES = 256
 SMOOTHING = 0.5
 #: A document may fit its language worse than the median by this many interquartile
 #: ranges, times sqrt(1 + FIT_CHARS / n) for n characters. Set on the labels of sf0.1:
@@ -74,6 +75,15 @@ def _buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     documents: dict[str, int] = {}
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        for lang, total in sums.items():
+            used = np.flatnonzero(total)
+            bucket = np.append(used, -1)  # bucket -1 carries the number of documents
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(np.append(total[used], documents[lang]))], names=["lang", "bucket", "n"])
+        sums.clear()
+        documents.clear()
+
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
         by: dict[str, list[str]] = {}
@@ -81,41 +91,55 @@ def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             by.setdefault(lang, []).append(text)
         for lang, own in by.items():
             if lang not in sums:
-                if len(sums) >= MAX_LANGUAGES:
-                    raise ValueError(f"more than {MAX_LANGUAGES} languages: column lang does not hold language codes")
+                if len(sums) >= BLOCK_LANGUAGES:
+                    yield from emit()
                 sums[lang] = np.zeros(BUCKETS, np.int64)
             documents[lang] = documents.get(lang, 0) + len(own)
             for _, bucket, count in _buckets(own):
                 np.add.at(sums[lang], bucket, count)
-    for lang, total in sums.items():
-        used = np.flatnonzero(total)
-        bucket = np.append(used, -1)  # bucket -1 carries the number of documents
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(np.append(total[used], documents[lang]))], names=["lang", "bucket", "n"])
+    yield from emit()
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log probabilities BUCKETS x languages, log priors)."""
-    small_batches(docs.sparkSession)
+#: Languages in code-point order, log probabilities BUCKETS x languages, and log priors.
+Block = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def train(docs: DataFrame) -> list[Broadcast]:
+    """The model as blocks of at most BLOCK_LANGUAGES languages, each broadcast."""
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.mapInArrow(_train_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = sorted(r[0] for r in counts.filter("bucket = -1").select("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: column lang does not hold language codes")
-    got = counts.toArrow()
-    column = {x: k for k, x in enumerate(names)}
-    where = np.array([column[x] for x in got.column(0).to_pylist()], np.int64)
-    bucket, n = got.column(1).to_numpy(), got.column(2).to_numpy()
-    seen = np.zeros((BUCKETS, len(names)))
-    inner = bucket >= 0
-    seen[bucket[inner], where[inner]] = n[inner]
-    documents = np.zeros(len(names))
-    documents[where[~inner]] = n[~inner]
-    log_p = np.log((seen + SMOOTHING) / (seen.sum(axis=0) + SMOOTHING * BUCKETS))
-    return names, log_p.astype(np.float32), np.log(documents / max(documents.sum(), 1))
-
-
-def predict(docs: DataFrame, model: Broadcast, prefix: str = "") -> DataFrame:
+    counts = saved(rows.mapInArrow(_train_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "li-counts")
+    documents = dict(sorted(tuple(r) for r in counts.filter("bucket = -1").select("lang", "n").collect()))  # one number a language
+    everything = sum(documents.values())
+    blocks = []
+    for at in range(0, max(len(documents), 1), BLOCK_LANGUAGES):
+        names = list(documents)[at : at + BLOCK_LANGUAGES]
+        column = {x: k for k, x in enumerate(names)}
+        seen = np.zeros((BUCKETS, len(names)))
+        if names:
+            got = counts.filter((F.col("bucket") >= 0) & F.col("lang").between(names[0], names[-1])).toArrow()
+            seen[got.column(1).to_numpy(), np.array([column[x] for x in got.column(0).to_pylist()], np.int64)] = got.column(2).to_numpy()
+        log_p = np.log((seen + SMOOTHING) / (seen.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
+        prior = np.log(np.array([documents[x] for x in names]) / max(everything, 1))
+        blocks.append(spark.sparkContext.broadcast((names, log_p, prior)))
+    return blocks
+
+
+def _log_joint(texts: list[str], block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(log prior + log likelihood, texts x languages; n-grams of each text)."""
+    names, log_p, prior = block
+    total, grams = np.tile(prior, (len(texts), 1)), np.zeros(len(texts))
+    for row, bucket, count in _buckets(texts) if names else ():
+        grams += np.bincount(row, count, len(texts))
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        part = np.add.reduceat(log_p[bucket] * count[:, None].astype(np.float64), first, axis=0)
+        np.add.at(total, row[first], part)
+    return total, grams
+
+
+def predict(docs: DataFrame, model: list[Broadcast], prefix: str = "") -> DataFrame:
     """``docs`` with lang_pred, score and fit.
 
     ``score`` is the posterior of the prediction, ``fit`` the mean log probability of
@@ -123,45 +147,51 @@ def predict(docs: DataFrame, model: Broadcast, prefix: str = "") -> DataFrame:
     its fit is not. ``fit`` is null where lang_pred is ``und``.
     """
     small_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    fields = [T.StructField(prefix + "lang_pred", T.StringType()), T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "fit", T.DoubleType())]
+    names = docs.columns
+    best, most, total, fit = (spare_name(names, "state_" + x) for x in ("best", "most", "total", "fit"))
+    nothing = F.lit(None).cast("double")
+    docs = docs.withColumns({best: F.lit(None).cast("string"), most: nothing, total: nothing, fit: nothing})
+    for block in model:
+        docs = _best_of(docs, block, (best, most, total, fit))
+        if len(model) > 1:
+            docs = saved(docs, "li-best")
+    out = {prefix + "lang_pred": F.coalesce(best, F.lit("und")), prefix + "score": F.coalesce(F.exp(F.col(most) - F.col(total)), F.lit(0.0)), prefix + "fit": F.col(fit)}
+    return docs.select(*names, *(c.alias(k) for k, c in out.items()))
+
+
+def _best_of(docs: DataFrame, block: Broadcast, state: tuple[str, ...]) -> DataFrame:
+    """``docs`` with the state carried on: best language, its log joint, that of all languages, its fit."""
+    at, places = docs.columns.index("text"), [docs.columns.index(x) for x in state]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, log_p, prior = model.value
+        names, _, prior = block.value
         for batch in batches:
             texts = texts_of(batch.column(at))
-            total = np.tile(prior, (len(texts), 1)) if names else np.zeros((len(texts), 0))
-            grams = np.zeros(len(texts))
-            if names:
-                for row, bucket, count in _buckets(texts):
-                    grams += np.bincount(row, count, len(texts))
-                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    part = np.add.reduceat(log_p[bucket] * count[:, None].astype(np.float64), first, axis=0)
-                    np.add.at(total, row[first], part)
-            preds, scores, fits = [], [], []
-            for text, line, n in zip(texts, total, grams):
+            joint, grams = _log_joint(texts, block.value)
+            rows = [list(r) for r in zip(*(batch.column(k).to_pylist() for k in places))]
+            for text, line, n, row in zip(texts, joint, grams, rows):
                 if not len(line) or not _letter.search(text):
-                    preds.append("und")
-                    scores.append(0.0)
-                    fits.append(None)
-                else:
-                    best = int(np.argmax(line))
-                    preds.append(names[best])
-                    scores.append(float(1 / np.exp(line - line[best]).sum()))
-                    fits.append(float((line[best] - prior[best]) / n))
-            yield with_columns(batch, [(prefix + "lang_pred", pa.array(preds, pa.string())), (prefix + "score", pa.array(scores, pa.float64())), (prefix + "fit", pa.array(fits, pa.float64()))])
+                    continue
+                k = int(np.argmax(line))
+                own = line[k] + np.log(np.exp(line - line[k]).sum())
+                row[2] = float(own if row[2] is None else np.logaddexp(row[2], own))
+                if row[1] is None or line[k] > row[1]:  # of equals the first in code-point order stays
+                    row[0], row[1], row[3] = names[k], float(line[k]), float((line[k] - prior[k]) / n)
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.float64())
+            new = {p: pa.array([r[j] for r in rows], kinds[j]) for j, p in enumerate(places)}
+            yield pa.RecordBatch.from_arrays([new.get(k, batch.column(k)) for k in range(batch.num_columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text", "lang")))
+    model = train(docs.select("doc_id", "text", "lang"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     return predict(rows, model).drop("text", "fit")
 
 
-def fit_limits(docs: DataFrame, model: Broadcast, prefix: str = "") -> DataFrame:
+def fit_limits(docs: DataFrame, model: list[Broadcast], prefix: str = "") -> DataFrame:
     """(fit_lang, fit_mid, fit_unit): median and quartile range of fit by language told.
 
     Taken over the held-out documents, which training has not seen; what is shuffled
@@ -181,7 +211,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     and those whose fit is far below their language's; a language of which no document
     was held out has no limit.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text", "lang")))
+    model = train(docs.select("doc_id", "text", "lang"))
     names = docs.columns
     prefix = spare_name([c[:3] for c in names], "li_")
     limits = saved(fit_limits(docs, model, prefix), "li-limits")
