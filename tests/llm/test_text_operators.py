@@ -332,6 +332,64 @@ def test_wrapper_induction(spark):
     assert webpages.main_text(df.filter("false")).count() == 0
 
 
+def test_copies_are_no_template_and_rare_texts_stay(spark):
+    def page(k):
+        body = "".join(f"<p>copied {j}</p>" for j in range(4)) if k < 85 else "".join(f"<p>own {k} {j}</p>" for j in range(4))
+        return f"<div><p>Notice</p></div><div>{body}</div>"
+
+    def marked(k):
+        return f"<div>x {k}</div><article><p>Read more every day</p><p>story {k}</p></article>"
+
+    rows = [(k, "http://a.example/x", page(k)) for k in range(100)] + [(200 + k, "http://b.example/x", marked(k)) for k in range(12)]
+    got = {r.page_id: r.text for r in webpages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join(f"copied {j}" for j in range(4)) for k in range(85))
+    assert all(got[k] == "\n".join(f"own {k} {j}" for j in range(4)) for k in range(85, 100))
+    assert all(got[200 + k] == f"story {k}" for k in range(12))
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 3000 + "<p>text</p><nav>menu</nav>" + "</div>" * 3000
+    a = webpages.Aligner(deep)
+    runs = list(webpages._runs(a.align(deep)))
+    assert [(r.text[0], r.chrome) for r in runs] == [("text", False), ("menu", True)] and all(r.slot >= 0 for r in runs)
+    other = list(webpages._runs(a.align("<div>" * 2999 + "<p>else</p>")))
+    assert [r.text[0] for r in other] == ["else"]
+    long = list(webpages._runs(webpages.parse("<p>a b</i></p>" * 50_000)))
+    assert len(long) == 50_000
+
+
+def test_alignment_equals_brute_force():
+    from functools import lru_cache
+
+    rng = np.random.default_rng(4)
+
+    def html(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "t"
+        return "".join(f"<{t}>{html(depth - 1)}</{t}>" for t in rng.choice(["div", "ul", "section"], rng.integers(1, 4)))
+
+    def best(a, b):  # by definition: every order-keeping pairing of the children
+        if a.tag != b.tag:
+            return 0
+        x, y = a.children, b.children
+
+        @lru_cache(None)
+        def pairing(i, j):
+            if i == len(x) or j == len(y):
+                return 0
+            return max(pairing(i + 1, j), pairing(i, j + 1), best(x[i], y[j]) + pairing(i + 1, j + 1) if x[i].tag == y[j].tag else 0)
+
+        return 1 + pairing(0, 0)
+
+    for _ in range(150):
+        a = webpages.Aligner(html(4))
+        tree = a.tree(html(4))
+        assert a._size(tree, a.pivot) == best(tree, a.pivot)
+        a._match(tree, a.pivot)
+        slots = [r.slot for r in webpages._runs(tree) if r.slot >= 0]
+        assert slots == sorted(set(slots))
+
+
 def test_tree_matching_size():
     a = webpages.Aligner("<div><p>x</p><ul><li>1</li><li>2</li></ul></div>")
     tree = a.tree("<div><h2>t</h2><p>y</p><ul><li>1</li></ul></div>")

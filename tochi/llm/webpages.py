@@ -1,26 +1,27 @@
 """Main text of web pages by wrapper induction.
 
 One page of each host is its pivot. Every other page of the host is parsed to a
-tree and aligned with the pivot by simple tree matching (Yang, 1991). Spark counts,
-over all pages of the host, the different texts found at each slot of the pivot: a
-slot with few texts on many pages belongs to the template, a varying one and what
-the pivot lacks are content. Elements that say by tag, class or id what they are
-(menus, adverts, forms, comments, ...) are never content.
+tree and aligned with the pivot by simple tree matching (Yang, 1991). Spark counts, at
+each slot of the pivot and over the different pages of the host, how many hold a text:
+a text that recurs at its slot on many of them is a constant node, which belongs to the
+template and goes; what varies there, and what the pivot lacks, is content and stays.
+Pages whose article is the same count once, so copies of one article make no template.
 
-Two rules keep content where constancy misleads: a host with few pages proves
-nothing, and text inside <article> or <main> stays even if it is constant, since
-copies of one article make its slots constant. Where a page has such an element,
-what stands outside it is not the article.
+Tags and class words are a prior. Elements that say by tag, class or id what they are
+(menus, adverts, forms, comments, ...) are never content, and where a page has an
+<article> or <main>, what stands outside it is not the article. Inside it a text is
+template only if nearly all articles of the host have it at that slot.
 
 Definitions for odd input: null html is an empty page with an empty text; a null or
-odd url is the host ``''``; repeated pages each give a row; elements nested deeper
-than MAX_DEPTH are read as if their tags were not there, with all their text.
+odd url is the host ``''``; repeated pages each give a row; elements may be nested to
+any depth, and a page may be of any length.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,17 +31,17 @@ from pyspark.sql import types as T
 
 from tochi.llm.common import saved, small_batches, table
 
-#: A slot is template if at least this many pages fill it ...
-LEAST_PAGES = 5
-#: ... with at most this share of different texts.
-TEMPLATE_SHARE = 0.2
+#: A text is template at a slot if at least this many different pages have it there,
+#: and at least this share of those that fill the slot.
+LEAST_PAGES, TEMPLATE_SHARE = 5, 0.2
+#: The same inside <article> or <main>, over different articles.
+LEAST_ARTICLES, ARTICLE_SHARE = 10, 0.9
 #: The pivot of a host is the page whose length is nearest to this.
 PIVOT_CHARS = 4000
-MAX_DEPTH = 150
 #: Pivots or wrappers of all hosts are broadcast up to this many bytes; beyond,
 #: they are joined with salted hosts.
 BROADCAST_BYTES = 32 << 20
-SALTS = 32
+SALT_PAGES = 2000
 
 # Names of HTML elements and the class words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +49,8 @@ RAW = frozenset("script style textarea title noscript template iframe svg math".
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("head nav header footer aside form script style textarea title noscript template iframe svg math button select option dialog menu object canvas audio video".split())
 CLASS_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words of a class that says what is beside an element, not what it is.
+BESIDE = frozenset("with without has no not".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -75,7 +78,8 @@ def _is_furniture(tag: str, attributes: str, inside: bool) -> bool:
     if tag in ("html", "body") or "=" not in attributes:
         return False
     for m in _names.finditer(attributes):
-        words = set(_word.findall((m[1] or m[2] or m[3] or "").lower())) & CLASS_WORDS
+        tokens = [set(_word.findall(t)) for t in (m[1] or m[2] or m[3] or "").lower().split()]
+        words = set().union(*(t for t in tokens if not t & BESIDE)) & CLASS_WORDS
         if words - {"header"} or words and not inside:
             return True
     return False
@@ -85,6 +89,7 @@ def parse(page: str) -> Node:
     """The tree of a page; text between block borders is one run."""
     root = Node("root", False, False)
     stack = [root]
+    open_ = Counter()  # tags of the stack, so that a stray end tag costs no search
     at, n = 0, len(page)
 
     def add(raw: str) -> None:
@@ -97,6 +102,7 @@ def parse(page: str) -> Node:
         top.children[-1].text.append(raw)
 
     def close(to: int) -> None:
+        open_.subtract(x.tag for x in stack[to:])
         del stack[to:]
 
     while at < n:
@@ -119,7 +125,7 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -136,10 +142,10 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(Node("hr", stack[-1].chrome, stack[-1].inside))
             continue
         chrome = _is_furniture(tag, m[3], stack[-1].inside)
-        if tag in INLINE and not chrome or len(stack) > MAX_DEPTH:
+        if tag in INLINE and not chrome:
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_["p"] > 0 else ():
                 if stack[k].tag == "p":
                     close(k)
                     break
@@ -157,31 +163,38 @@ def parse(page: str) -> Node:
         top.children.append(node)
         if not m[3].endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
-def _finish(node: Node, shapes: dict) -> None:
+def _finish(root: Node, shapes: dict) -> None:
     """Drop empty runs, decode the others, and intern the shape of each subtree."""
-    kept = []
-    for child in node.children:
-        if child.tag == "#":
-            child.text = [" ".join(references.unescape("".join(child.text)).split())]
-            if not child.text[0]:
-                continue
-            child.shape = shapes.setdefault("#", len(shapes))
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if c.tag != "#"]
+    for node in reversed(order):  # children before their parents
+        kept = []
+        for child in node.children:
+            if child.tag == "#":
+                child.text = [" ".join(references.unescape("".join(child.text)).split())]
+                if not child.text[0]:
+                    continue
+                child.shape = shapes.setdefault("#", len(shapes))
+            kept.append(child)
+        node.children = kept
+        node.shape = shapes.setdefault((node.tag, *[c.shape for c in kept]), len(shapes))
+
+
+def _runs(root: Node) -> Iterator[Node]:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "#":
+            yield node
         else:
-            _finish(child, shapes)
-        kept.append(child)
-    node.children = kept
-    node.shape = shapes.setdefault((node.tag, *[c.shape for c in kept]), len(shapes))
-
-
-def _runs(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if child.tag == "#":
-            yield child
-        else:
-            yield from _runs(child)
+            todo += reversed(node.children)
 
 
 class Aligner:
@@ -207,17 +220,27 @@ class Aligner:
         self._match(root, self.pivot)
         return root
 
-    def _size(self, a: Node, b: Node) -> int:
-        """Nodes in the largest top-down order-keeping matching."""
+    def _known(self, a: Node, b: Node) -> int | None:
+        """The size of a pair's matching if it needs no look at the children, or was found before."""
         if a.tag != b.tag:
             return 0
         if not a.children or not b.children:
             return 1
-        key = (a.shape, b.shape)
-        found = self.sizes.get(key)
-        if found is None:
-            found = self.sizes[key] = 1 + self._grid(a, b)[-1][-1]
-        return found
+        return self.sizes.get((a.shape, b.shape))
+
+    def _size(self, a: Node, b: Node) -> int:
+        """Nodes in the largest top-down order-keeping matching."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if self._known(x, y) is None:
+                open_ = [(c, d) for c in x.children for d in y.children if self._known(c, d) is None]
+                if open_:
+                    todo += open_
+                    continue
+                self.sizes[x.shape, y.shape] = 1 + self._grid(x, y)[-1][-1]
+            todo.pop()
+        return self._known(a, b)
 
     def _grid(self, a: Node, b: Node) -> list[list[int]]:
         rows = [[0] * (len(b.children) + 1)]
@@ -225,30 +248,36 @@ class Aligner:
             last, row = rows[-1], [0]
             for j, y in enumerate(b.children):
                 best = last[j + 1] if last[j + 1] >= row[j] else row[j]
-                if x.tag == y.tag and (both := last[j] + self._size(x, y)) > best:
+                if x.tag == y.tag and (both := last[j] + self._known(x, y)) > best:
                     best = both
                 row.append(best)
             rows.append(row)
         return rows
 
     def _match(self, a: Node, b: Node) -> None:
-        if a.tag == "#":
-            a.slot = b.slot
-            return
-        if a.shape == b.shape:
-            for x, y in zip(a.children, b.children):
-                self._match(x, y)
-            return
-        rows = self._grid(a, b)
-        i, j = len(a.children), len(b.children)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                self._match(a.children[i], b.children[j])
+        self._size(a, b)
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if a.tag == "#":
+                a.slot = b.slot
+                continue
+            if a.shape == b.shape:
+                todo += zip(a.children, b.children)
+                continue
+            for x in a.children:
+                for y in b.children:
+                    self._size(x, y)
+            rows = self._grid(a, b)
+            i, j = len(a.children), len(b.children)
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    todo.append((a.children[i], b.children[j]))
 
 
 _BLOCKS = T.ArrayType(T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("inside", T.BooleanType()), T.StructField("text", T.StringType())]))
@@ -277,32 +306,52 @@ def host_of(url: Column) -> Column:
 
 
 def by_host(rows: DataFrame, facts: DataFrame, size: Column) -> DataFrame:
-    """``rows`` left-joined with one fact row per host: broadcast if small, else salted."""
+    """``rows`` left-joined with one fact row per host: broadcast if small, else dealt by salts.
+
+    A host has a salt for every SALT_PAGES of its pages, so a large one is many tasks.
+    """
     facts = saved(facts, "hosts")
     total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     if total <= BROADCAST_BYTES:
         return rows.join(F.broadcast(facts), "host", "left")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(SALTS)).cast("int"))
-    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = F.ceil(F.col("host_pages") / SALT_PAGES)
+    large = F.broadcast(saved(facts.filter(salts > 1).select("host", salts.alias("_salts")), "hosts-large"))
+    salted = rows.join(large, "host", "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns[:2]), F.coalesce("_salts", F.lit(1).cast("long")))).drop("_salts")
+    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     return salted.join(spread, ["host", "_salt"], "left").drop("_salt")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def template_texts(blocks: DataFrame) -> DataFrame:
+    """(host, slot, text_hash) of the texts that belong to a host's template; see the module."""
+    landmark = F.exists("blocks", lambda b: b["inside"])
+    rows = blocks.withColumn("own", F.filter("blocks", lambda b: b["inside"] | ~landmark)).filter(F.size("own") > 0)
+    body = F.xxhash64(F.transform("own", lambda b: b["text"]))
+    pages = rows.groupBy("host", body.alias("body")).agg(F.first(F.transform("own", lambda b: F.struct(b["slot"].alias("slot"), b["inside"].alias("inside"), F.xxhash64(b["text"]).alias("text_hash")))).alias("own"))
+    places = pages.select("host", "body", F.explode(F.array_distinct("own")).alias("b")).select("host", "body", "b.*").filter("slot >= 0")
+    texts = saved(places.groupBy("host", "slot", "inside", "text_hash").agg(F.count("*").alias("n")), "web-texts")
+    fill = texts.groupBy("host", "slot", "inside").agg(F.sum("n").alias("pages"))
+    often = texts.filter(F.col("n") >= LEAST_PAGES)
+    enough = F.when(F.col("inside"), (F.col("n") >= LEAST_ARTICLES) & (F.col("n") >= ARTICLE_SHARE * F.col("pages"))).otherwise(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    return often.join(fill, ["host", "slot", "inside"]).filter(enough).select("host", "slot", "text_hash")
+
+
+def main_text(pages: DataFrame, landmarks: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every page; without ``landmarks`` <article> and <main> say nothing."""
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     near = F.abs(F.length("html") - PIVOT_CHARS)
-    pivots = pages.filter(F.length("html") > 0).groupBy("host").agg(F.min_by("html", F.struct(near.alias("d"), F.xxhash64("html").alias("h"))).alias("pivot"))
+    pivots = pages.filter(F.length("html") > 0).groupBy("host").agg(F.min_by("html", F.struct(near.alias("d"), F.xxhash64("html").alias("h"))).alias("pivot"), F.count("*").alias("host_pages"))
     joined = by_host(pages, pivots, F.length("pivot") * 4).select("page_id", "url", "host", "pivot", "html")
     blocks = joined.mapInArrow(_align_batches, T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", pages.schema["url"].dataType), T.StructField("host", T.StringType()), T.StructField("blocks", _BLOCKS)]))
+    if not landmarks:
+        blocks = blocks.withColumn("blocks", F.transform("blocks", lambda b: b.withField("inside", F.lit(False))))
     blocks = saved(blocks, "web-blocks")
-    slots = blocks.select("host", F.explode("blocks").alias("b")).filter("b.slot >= 0 and not b.inside")
-    texts = slots.groupBy("host", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("text")).agg(F.count("*").alias("n"))
-    fill = texts.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.count("*").alias("texts"))
-    wrappers = fill.filter((F.col("pages") >= LEAST_PAGES) & (F.col("texts") <= TEMPLATE_SHARE * F.col("pages"))).groupBy("host").agg(F.collect_set("slot").alias("template"))
-    out = by_host(blocks, wrappers, F.size("template") * 4 + 64)
+    wrappers = template_texts(blocks).groupBy("host").agg(F.collect_set(F.struct("slot", "text_hash")).alias("template")).join(pivots.select("host", "host_pages"), "host")
+    out = by_host(blocks, wrappers, F.size("template") * 16 + 64)
     landmark = F.exists("blocks", lambda b: b["inside"])
-    chosen = F.filter("blocks", lambda b: b["inside"] | (~landmark & ~F.array_contains(F.coalesce(F.col("template"), F.array().cast("array<int>")), b["slot"])))
+    known = F.coalesce(F.col("template"), F.array().cast("array<struct<slot:int,text_hash:bigint>>"))
+    constant = lambda b: F.array_contains(known, F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("text_hash")))
+    chosen = F.filter("blocks", lambda b: (b["inside"] | ~landmark) & ~constant(b))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
