@@ -250,6 +250,30 @@ def test_license_texts(spark, docs):
     assert licenses.scan(docs).count() == len(TEXTS)
 
 
+@pytest.mark.parametrize("holder", ["", "Copyright (c) 2020 Someone\n", "Copyright Jane Doe 2020\nAll rights reserved.\n", "  © 1999-2020, A. Body\n\n", "(c) 2001 X. All rights reserved\n"])
+def test_license_copies(spark, holder):
+    import os
+    import textwrap
+
+    texts = [(name, text) for name, text in licenses.KNOWN if len(text) > 200]
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("LGPL-2.1", "LGPL-2.1")):
+        if os.path.exists(f"/usr/share/common-licenses/{file}"):
+            with open(f"/usr/share/common-licenses/{file}", encoding="utf-8") as f:
+                texts.append((name, f.read()))
+    rows, want = [], []
+    for name, text in texts:
+        own = text.replace("copyright holder", "copyright owner").replace("authorized", "authorised").replace('"', "''").upper()
+        rows += [holder + text, holder + own]
+        want += [name] * 2
+        if len(text) < 5000:
+            rows.append(holder + "\n".join(textwrap.fill(x, 60) for x in text.split("\n")))
+            want.append(name)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+    assert {r.license for r in licenses.scan(spark.createDataFrame([(0, rows[0] + " not"), (1, "Copyright law is old.")], "doc_id long, text string")).collect()} == {None}
+
+
 def test_chat_on_odd_rows(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "x"), (None, 1, "ann", "y"), (2, 1, "system", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

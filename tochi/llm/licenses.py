@@ -24,6 +24,25 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CONDITIONS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+
+
+def _bsd(clauses: int, numbered: bool) -> str:
+    lines = [f"{k + 1}. {x}" if numbered else f"* {x}" for k, x in enumerate(_BSD_CONDITIONS[:clauses])]
+    return "\n".join([_BSD_START, *lines, _BSD_END])
+
+
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", "MIT License\n" + _MIT),
@@ -44,6 +63,39 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((f"BSD-{n}-Clause", title + _bsd(n, numbered)) for n in (2, 3) for numbered in (True, False) for title in ("", f"BSD {n}-Clause License\n")),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n" + _ZLIB),
+)
+
+# Digests of the canonical forms of long licences as their stewards
+# publish them, and of the terms alone where an appendix follows them.
+KNOWN_DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "d03e86ac7a1ff3f8d928e1d6027bfd17"),
+    ("Apache-2.0", "2f973fce6821968caa77d834b80cee7c"),
+    ("Apache-2.0", "a90697331248535821cbca3716b02146"),
+    ("Artistic-1.0-Perl", "01297679267ad921516667ccd889865e"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", "49ffacd2fea52c0c124f0d16bc990c74"),
+    ("GFDL-1.3", "2d7ce083c264cf7f093acc742260e501"),
+    ("GPL-1.0", "738cc3b112640d95d4cd79a58967ecea"),
+    ("GPL-1.0", "dbf3c47f5a8f127e58d08cabc1ebb916"),
+    ("GPL-1.0", "21fa8693acc5194a648fe02e11f65a72"),
+    ("GPL-2.0", "5e39ace6e62f5a7fe9c17b4da986ad8c"),
+    ("GPL-2.0", "68380dbeadb093b94ecf563db7312db7"),
+    ("GPL-2.0", "f2c06efe640b4a281cbe5337cdde80ab"),
+    ("GPL-3.0", "b79359b5e391fd47146ff34ae3db7ec0"),
+    ("GPL-3.0", "444f95dc767ede978b60cfb20fbd0bca"),
+    ("GPL-3.0", "17e434cc6db7003444b088cb4cc81e91"),
+    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a"),
+    ("LGPL-2.0", "c396ba2f94537628797123bc12cd2d6e"),
+    ("LGPL-2.0", "97832943be1e344d51af5aee1b658e4f"),
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4"),
+    ("LGPL-2.1", "3054b3781b1af43f906dc753acad15ee"),
+    ("LGPL-2.1", "eaf6afb73fc860a002bfbccbe6f07ce7"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "4ed6600fcf5321eb9dcd2181cde18632"),
+    ("MPL-2.0", "7d4b8b0889da3c01eff3fe431102e6d6"),
 )
 
 # Spellings that licence matching treats as equal.
@@ -61,8 +113,9 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("https:", "http:"),
 )
 
-#: A line that names a holder: a copyright sign, or the word with a sign or year.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$"
+#: A line that names a holder: it begins with a copyright sign, or with the word and
+#: has a sign right behind it or a year; or it says that all rights are reserved.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©)[^\n]*|copyright[ \t][^\n]*[0-9]{4}[^\n]*|\(c\)[ \t]*[0-9]{4}[^\n]*|©[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
 #: Runs of what is neither letter, digit nor line feed.
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
@@ -79,7 +132,8 @@ def canonical_lines(text: Column) -> Column:
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(digest, license) of the fixed list above, a few dozen rows."""
     rows = spark.createDataFrame(list(KNOWN), "license string, text string")
-    return rows.select(F.md5(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest"), "license").distinct()
+    texts = rows.select(F.md5(F.array_join(canonical_lines(F.col("text")), " ")).alias("digest"), "license")
+    return texts.unionByName(spark.createDataFrame(list(KNOWN_DIGESTS), "license string, digest string")).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -118,7 +172,8 @@ def _sql_form(text: str) -> str:
 
 def _sql_known() -> str:
     rows = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in KNOWN)
-    return f"SELECT DISTINCT md5(array_to_string({_sql_form('text')}, ' ')) AS digest, license FROM (VALUES {rows}) AS k(license, text)"
+    digests = ", ".join(f"('{name}', '{digest}')" for name, digest in KNOWN_DIGESTS)
+    return f"SELECT md5(array_to_string({_sql_form('text')}, ' ')) AS digest, license FROM (VALUES {rows}) AS k(license, text) UNION SELECT digest, license FROM (VALUES {digests}) AS d(license, digest)"
 
 
 ORACLE_SQL = f"""

@@ -33,7 +33,7 @@ from tochi.llm.common import saved, small_batches, table
 
 #: A text is template at a slot if at least this many different pages have it there,
 #: and at least this share of those that fill the slot.
-LEAST_PAGES, TEMPLATE_SHARE = 5, 0.2
+LEAST_PAGES, TEMPLATE_SHARE = 5, 0.5
 #: The same inside <article> or <main>, over different articles.
 LEAST_ARTICLES, ARTICLE_SHARE = 10, 0.9
 #: The pivot of a host is the page whose length is nearest to this.
