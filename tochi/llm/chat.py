@@ -13,8 +13,8 @@ blocks, so a conversation with a large share of all turns is dealt over many tas
 Definitions for odd input: turns order by (turn, role, text), nulls last; a null role
 is the participant ``unknown``; a null text is empty; a null conv_id is one
 conversation of its own; repeated rows are turns of their own; a conversation of
-system turns alone has no participant and no row. Marks inside texts are broken by a
-space so they cannot be taken for turns.
+system turns alone has no participant and no row. Marks inside texts, and marks and
+line ends inside names, are broken by a space so they cannot be taken for turns.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ def rotate(turns: DataFrame) -> DataFrame:
     rows = base.join(people, F.col("conv_id").eqNullSafe(F.col("in_conv"))).drop("in_conv")
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    head = F.concat(F.lit(OPEN), role, F.when(role == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(F.lit("")), F.lit("\n"))
+    named = F.replace(F.translate(F.col("speaker"), "\n\r", "  "), F.lit("<|"), F.lit("< |"))
+    head = F.concat(F.lit(OPEN), role, F.when(role == "user", F.concat(F.lit(" name="), named)).otherwise(F.lit("")), F.lit("\n"))
     rows = rows.withColumns({"role": role, "name": F.when(role == "user", F.col("speaker")), "head": F.length(head), "rendered": F.concat(head, F.col("words"), F.lit(CLOSE + "\n"))})
     rows = rows.withColumn("size", F.length("rendered").cast("long"))
 
@@ -81,7 +82,7 @@ people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM base WHERE speak
 spoken AS (
   SELECT b.*, p.perspective, CASE WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM base b JOIN people p ON b.conv_id IS NOT DISTINCT FROM p.conv_id),
-headed AS (SELECT *, '{OPEN}' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM spoken),
+headed AS (SELECT *, '{OPEN}' || role || CASE WHEN role = 'user' THEN ' name=' || replace(translate(speaker, chr(10) || chr(13), '  '), '<|', '< |') ELSE '' END || chr(10) AS head FROM spoken),
 made AS (SELECT *, head || words || '{CLOSE}' || chr(10) AS rendered FROM headed),
 placed AS (
   SELECT *, row_number() OVER w AS seq, coalesce(sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start

@@ -58,7 +58,7 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, most: int = BROADCAST_FACTS) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], weight: str, most: int = BROADCAST_FACTS) -> DataFrame:
     """``rows`` left-joined with saved ``facts``, one row a key; no key meets in one task.
 
     ``weight`` is the column of facts with the number of rows a key has, or a number in
@@ -68,11 +68,13 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, most: i
     n, total = facts.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
     if n <= most:
         return rows.join(F.broadcast(facts), key, "left")
+    keys = [key] if isinstance(key, str) else key
     heavy = F.col(weight) > total // most
-    found = [c for c in facts.columns if c != key]
+    found = [c for c in facts.columns if c not in keys]
+    known = F.col(keys[0]).isNotNull()
     marked = rows.join(F.broadcast(facts.filter(heavy).withColumn("_hot", F.lit(True))), key, "left")
-    light = marked.filter(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot", *found).join(facts.filter(~heavy), key, "left")
-    return light.unionByName(marked.filter(F.col("_hot").isNotNull() | F.col(key).isNull()).drop("_hot"))
+    light = marked.filter(F.col("_hot").isNull() & known).drop("_hot", *found).join(facts.filter(~heavy), key, "left")
+    return light.unionByName(marked.filter(F.col("_hot").isNotNull() | ~known).drop("_hot"))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tochi.llm.common import mix, saved, small_batches, table
+from tochi.llm.common import mix, saved, small_batches, table, with_facts
 from tochi.llm.graph import components
 
 COSINE = 0.98
@@ -80,8 +80,14 @@ def _hashed(points: np.ndarray) -> np.ndarray:
     return key
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, exactly, so that their squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def cells(vectors: np.ndarray) -> np.ndarray:
     """rows x TABLES x (1 + BLOCKS * PROBES) cell hashes, the own cell first."""
+    vectors = scaled(vectors)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     planes = _projections(vectors.shape[1])
     steps = minimal_vectors()
@@ -134,7 +140,7 @@ def _cosine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         dims = x.value_lengths().to_numpy()
         for dim in np.unique(dims[same]):
             rows = np.flatnonzero(same & (dims == dim))
-            p, q = (v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim) for v in (x, y))
+            p, q = (scaled(v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)) for v in (x, y))
             dot = (p * q).sum(axis=1)
             good[rows] = dot / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))) >= COSINE
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
@@ -172,8 +178,8 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     groups = groups.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
     tops = groups.groupBy("component").agg(F.min("head").alias("top"))
     groups = groups.join(tops, "component").join(counts.withColumnRenamed("a", "c"), "c", "left")
-    groups = groups.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.col("top.id").alias("top_id"), F.lit(True).alias("placed"))
-    out = rows.select("vec_id", "k1", "k2").join(groups, ["k1", "k2"], "left")
+    groups = groups.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.col("top.id").alias("top_id"), F.lit(True).alias("placed"), "copies")
+    out = with_facts(rows.select("vec_id", "k1", "k2"), saved(groups, "e8-facts"), ["k1", "k2"], "copies")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("placed"), F.col("top_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
