@@ -368,6 +368,8 @@ def test_near_duplicates_equal_brute_force(spark, docs, none):
     kept = minhash.keep_first(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
     assert Counter(r.doc_id for r in kept.collect())[9] == 1
+    less = [r.doc_id for r in minhash.keep_first(docs, blank_alone=False).collect()]
+    assert len(less) == kept.count() - 2 and 5 in less and not {6, 7} & set(less)  # null, empty and blank are one
     assert minhash.near_duplicates(none).count() == 0
     real = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
     assert Counter((r.doc_id, r.class_id) for r in minhash.query(spark, SF).collect()) == brute_classes(real)

@@ -214,8 +214,8 @@ def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(sets), ODD_BITS), axis=1).view(np.int64)
 
 
-def sketched(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    """``docs`` with set_hash (null without words), n_shingles, bands and odd.
+def sketched(docs: DataFrame, names: dict[str, str], blank: int | None = None) -> DataFrame:
+    """``docs`` with set_hash (``blank`` without words), n_shingles, bands and odd.
 
     names: what these columns are to be called.
     """
@@ -233,7 +233,7 @@ def sketched(docs: DataFrame, names: dict[str, str]) -> DataFrame:
                 hashes, bands, odd = [], [], []
                 for s, key, bit in zip(sets, band_keys(marks), odd_sketches(sets)):
                     if not len(s):
-                        hashes.append(None)
+                        hashes.append(blank)
                         bands.append(None)
                         odd.append(None)
                         continue
@@ -428,13 +428,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classify(rows, _texts(docs)).drop("row")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, the first, of each near-duplicate class."""
+def keep_first(docs: DataFrame, blank_alone: bool = True) -> DataFrame:
+    """``docs`` with one document, the first, of each near-duplicate class.
+
+    Texts without a word are like no other, or with ``blank_alone`` false copies of one
+    another, as where a stage before has emptied texts that repeat.
+    """
     names = docs.columns
     prefix = spare_name([c[:3] for c in names], "mh_")
     own = {x: prefix + x for x in _NAMES}
     row = prefix + "row"
-    rows = saved(sketched(docs, own).withColumn(row, F.monotonically_increasing_id()), "mh-rows")
+    rows = saved(sketched(docs, own, None if blank_alone else 0).withColumn(row, F.monotonically_increasing_id()), "mh-rows")
     plain = rows.select(F.col(row).alias("row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"), *(F.col(v).alias(k) for k, v in own.items()))
     dropped = saved(classify(plain, _texts(rows)).filter(~F.col("kept")).select(F.col("row").alias(row)), "mh-dropped")
     return rows.join(few(dropped), row, "left_anti").select(*names)
