@@ -50,8 +50,9 @@ HELD_GRAMS = 2_000_000
 #: Half-width of a language's band in interquartile ranges of log perplexity, for
 #: long texts; a text of n characters has a band sqrt(1 + BAND_CHARS / n) as wide,
 #: since the mean of few characters spreads more. Set on the labels of sf0.1: of the
-#: documents that pass the base rules it rejects 144 of 301 of quality 0 and 60 of
-#: 3,302 of quality 1 (a width of 1.5: 190 and 129; 2.5: 92 and 42; 6: none and 5).
+#: documents that pass the base rules it rejects 128 of 301 of quality 0 and 64 of
+#: 3,302 of quality 1 (with an earlier model a width of 1.5: 190 and 129; 2: 144 and
+#: 60; 2.5: 92 and 42; 6: none and 5).
 BAND_WIDTH = 2.0
 BAND_CHARS = 1000
 #: Log perplexities are quantised to this many steps per unit for the quartiles.
