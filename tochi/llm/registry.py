@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tochi.llm import chat, embeddings, langid, licenses, lines, minhash, packing, pieces, quality, webpages
+from tochi.llm import alignment, chat, embeddings, langid, licenses, lines, minhash, packing, phrases, pieces, quality, warc, webpages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_chat_formatting": chat.query,
         "op10_embedding_near_dedup": embeddings.query,
+        "op11_warc": warc.query,
+        "op12_phrase_collocations": phrases.query,
+        "op13_tokenizer_alignment": alignment.query,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": licenses.ORACLE_SQL,
         "op3_line_dedup": lines.ORACLE_SQL,
         "op9_chat_formatting": chat.ORACLE_SQL,
+        "op11_warc": warc.ORACLE_SQL,
+        "op12_phrase_collocations": phrases.ORACLE_SQL,
     }
