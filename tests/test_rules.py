@@ -134,5 +134,5 @@ def test_nearest_station_far_off_and_over_the_date_line(spark):
     stations_df = spark.createDataFrame([("s1", "a", "r", 35.0, 139.0, 1), ("s2", "b", "r", 0.0, -179.9, 2)], "station_id string, station_name string, region string, lat double, lon double, position int")
     asked = spark.createDataFrame([(1, 35.01, 139.01), (2, 50.0, 139.0), (3, 0.0, 179.9), (4, -60.0, 20.0), (5, None, 1.0)], "request_id int, lat double, lon double")
     got = {r.request_id: (r.station_id, r.km) for r in stations.nearest_station(asked, stations_df).collect()}
-    assert {k: v[0] for k, v in got.items()} == {1: "s1", 2: "s1", 3: "s2", 4: "s2"}
+    assert {k: v[0] for k, v in got.items()} == {1: "s1", 2: "s1", 3: "s2", 4: "s2", 5: None}
     assert got[3][1] == pytest.approx(22.24, abs=0.01)

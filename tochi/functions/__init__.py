@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tochi.schema import EARTH_RADIUS_KM, WALK_METRES_PER_MINUTE
 
 WIDE_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
+#: White space as Unicode has it, separators of text files among it.
+WHITE = r"[\s\x0B\x1C-\x1F\x85\pZ]"
 # Era prefixes and the year before their first.
 ERAS = (("昭和", 1925), ("平成", 1988), ("令和", 2018))
 
@@ -66,9 +68,9 @@ def walking_minutes(text: Column) -> Column:
 
 
 def station_key(name: Column) -> Column:
-    """Canonical key of a station name: before any bracket, small kana as large, trimmed."""
-    plain = F.translate(name, "（）ヶヵ", "()ケカ")
-    return F.trim(F.substring_index(plain, "(", 1))
+    """Canonical key of a station name: before any bracket, small kana as large, without white space of any script around."""
+    plain = F.substring_index(F.translate(name, "（）ヶヵ", "()ケカ"), "(", 1)
+    return F.regexp_replace(plain, f"^{WHITE}+|{WHITE}+$", "")
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -81,7 +83,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def walk_from_km(km: Column) -> Column:
     """Whole minutes on foot, at least one."""
-    return F.greatest(F.lit(1), F.ceil(F.round(km * 1000 / WALK_METRES_PER_MINUTE, 6))).cast("long")
+    return F.when(km.isNotNull(), F.greatest(F.lit(1), F.ceil(F.round(km * 1000 / WALK_METRES_PER_MINUTE, 6))).cast("long"))
 
 
 def half_up(x: Column) -> Column:

@@ -6,6 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tochi.sources.log import Log
+
+#: Columns of the logs of events and models; keys are event_id and model_key.
+EVENTS = "event_id string, experiment_id bigint, status string, mae double, rmse double, mape double, event_order bigint"
+MODELS = "model_key string, region string, model_id bigint, experiment_id bigint, mae double, model_path string, became_latest boolean"
+
+
+def started(experiments: DataFrame) -> DataFrame:
+    """The first event of each experiment (experiment_id), for the log."""
+    return _event(experiments, "running", F.lit(0))
+
+
+def completed(results: DataFrame) -> DataFrame:
+    """The last event of experiments that ended well (experiment_id, mae, rmse, mape)."""
+    return _event(results, "success", F.lit(1))
+
+
+def failed(experiments: DataFrame) -> DataFrame:
+    """The last event of experiments that ended otherwise; the log keeps them."""
+    return _event(experiments, "failed", F.lit(1))
+
+
+def _event(rows: DataFrame, status: str, order) -> DataFrame:
+    have = set(rows.columns)
+    errors = [(F.col(c) if c in have else F.lit(None).cast("double")).alias(c) for c in ("mae", "rmse", "mape")]
+    return rows.select(F.concat_ws(":", "experiment_id", F.lit(status)).alias("event_id"), "experiment_id", F.lit(status).alias("status"), *errors, order.cast("long").alias("event_order"))
+
+
+def register_models(log: Log, candidates: DataFrame) -> int:
+    """Append ``candidates`` (model_key, region, model_id, mae, ...) and return the commit.
+
+    Which of them became latest is decided at the commit, by the latest model that the log
+    holds then: a model that another writer registered meanwhile has to be beaten too.
+    """
+
+    def decide(have: DataFrame, new: DataFrame) -> DataFrame:
+        held = have.filter("became_latest").groupBy("region").agg(F.max_by("mae", F.struct("commit", "model_id")).alias("held")).withColumn("_known", F.lit(True))
+        before = Window.partitionBy("region").orderBy("model_id").rowsBetween(Window.unboundedPreceding, -1)
+        best = F.least(F.min("mae").over(before), F.col("held"))
+        first = F.col("_known").isNull() & (F.row_number().over(Window.partitionBy("region").orderBy("model_id")) == 1)
+        won = first | (F.col("mae") < best) | (best.isNull() & F.col("mae").isNotNull())
+        return new.drop("became_latest").join(held, "region", "left").withColumn("became_latest", F.coalesce(won, F.lit(False))).drop("held", "_known")
+
+    return log.append(candidates, decide)
+
+
+def registered(models: DataFrame) -> DataFrame:
+    """Rows of the log of models with is_latest, one model a region."""
+    last = F.max(F.when(F.col("became_latest"), F.struct("commit", "model_id"))).over(Window.partitionBy("region"))
+    return models.withColumn("is_latest", F.coalesce(F.struct("commit", "model_id") == last, F.lit(False)))
+
 
 def experiment_state(events: DataFrame) -> DataFrame:
     """(experiment_id, status, mae): the last event of each; failed runs stay."""

@@ -55,6 +55,21 @@ def forecast(requests: DataFrame, history: DataFrame, latest: int, score: Callab
     return band(rows)
 
 
+def with_regional_tables(scored: DataFrame, stations: DataFrame, documents: DataFrame, history: DataFrame, latest: int) -> DataFrame:
+    """Scored requests with what their region's tables say: station_id, trend, mae and the band.
+
+    stations: the dictionary's rows of the feature station; an unknown name has id 0.
+    documents: the regions' metadata. history: prices of stations by year; a station
+    without a trend up to ``latest`` has none. Requests are joined to small tables only,
+    which Spark broadcasts by their size.
+    """
+    ids = stations.select("region", F.col("value").alias("station"), F.col("id").alias("station_id"))
+    errors = documents.select("region", "mae")
+    out = scored.join(ids, ["region", "station"], "left").join(errors, "region", "left")
+    out = out.join(trend(history, ["region", "station"], latest), ["region", "station"], "left")
+    return band(out.withColumn("station_id", F.coalesce("station_id", F.lit(0))))
+
+
 def missing_years(points: DataFrame, history: DataFrame) -> DataFrame:
     """The points (region, station, year, ...) whose year the history lacks."""
     return points.join(history.select("region", "station", "year"), ["region", "station", "year"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,48 +12,92 @@ from tochi.tables import BROADCAST_ROWS, materialized
 
 #: Sides of grid cells in degrees, ever coarser; each divides 360. A hit nearer than one
 #: cell's height and width is nearer than anything outside the 3 x 3 cells around.
-CELLS = (0.1, 0.5, 2.0, 10.0, 60.0, 360.0)
+CELLS = (0.004, 0.02, 0.1, 0.5, 2.0, 10.0, 60.0, 360.0)
+#: The side that a search begins with, but for places with more stations around than this.
+FIRST, DENSE = 0.1, 200
+#: Requests of one cell beyond which it is dealt out by salts, where stations are shuffled.
+HOT_CELL = 100_000
 KM_PER_DEGREE = 111.0
-_SHIFT = 1 << 20
+
+
+def _row(lat: Column, side: float) -> Column:
+    return F.floor(lat / side).cast("int")
+
+
+def _column(lon: Column, side: float) -> Column:
+    return F.pmod(F.floor(lon / side).cast("int"), F.lit(round(360 / side)))
+
+
+def _around(stations: DataFrame, side: float) -> DataFrame:
+    """Each station in the cells around it: position, s_lat, s_lon, cy, cx; a cell once, however few columns there are."""
+    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    columns = F.array_distinct(F.transform(steps, lambda k: F.pmod(F.floor(F.col("lon") / side).cast("int") + k, F.lit(round(360 / side)))))
+    near = stations.select("position", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), _row(F.col("lat"), side).alias("y"), columns.alias("columns"))
+    near = near.withColumn("cy", F.explode(F.transform(steps, lambda k: F.col("y") + k)))
+    return near.select("position", "s_lat", "s_lon", "cy", F.explode("columns").alias("cx"))
 
 
 def _in_grid(asked: DataFrame, stations: DataFrame, side: float) -> DataFrame:
-    """(request_id, lat, lon, best): the best packed (distance, position) in the 3 x 3 cells around."""
-    around = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
-    row = lambda c: F.floor(F.col(c) / side).cast("int")
-    column = lambda x: F.pmod(F.floor(x / side).cast("int"), F.lit(round(360 / side)))
-    near = stations.select("position", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).withColumn("dy", around).withColumn("dx", around)
-    near = near.select("position", "s_lat", "s_lon", (row("s_lat") + F.col("dy")).alias("cy"), column(F.col("s_lon") + F.col("dx") * side).alias("cx"))
+    """(request_id, lat, lon, best): the least (km, position) in the 3 x 3 cells around, null if there is none."""
+    near = _around(stations, side)
+    asked = asked.select("request_id", "lat", "lon", _row(F.col("lat"), side).alias("cy"), _column(F.col("lon"), side).alias("cx"))
+    keys = ["cy", "cx"]
     if near.count() <= BROADCAST_ROWS:
         near = F.broadcast(near)
+    else:  # a cell with many requests meets its stations in several tasks
+        hot = materialized(asked.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_CELL).select(*keys, F.ceil(F.col("n") / HOT_CELL).alias("salts")), "hot-cells")
+        salts = F.coalesce("salts", F.lit(1).cast("long"))
+        asked = asked.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64("request_id"), salts)).drop("salts")
+        near = near.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+        keys = [*keys, "salt"]
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-    packed = F.round(km * 1_000_000).cast("long") * _SHIFT + F.col("position")
-    asked = asked.select("request_id", "lat", "lon", row("lat").alias("cy"), column(F.col("lon")).alias("cx"))
-    return asked.join(near, ["cy", "cx"], "left").groupBy("request_id", "lat", "lon").agg(F.min(packed).alias("best"))
+    best = F.min(F.when(F.col("position").isNotNull(), F.struct(km.alias("km"), "position")))
+    return asked.join(near, keys, "left").groupBy("request_id", "lat", "lon").agg(best.alias("best"))
+
+
+def _first_sides(asked: DataFrame, stations: DataFrame) -> DataFrame:
+    """``asked`` with ``side``: where the search of each request begins, by the stations around its place."""
+    start = F.lit(FIRST)
+    for k in range(CELLS.index(FIRST), 0, -1):  # from FIRST down: a dense cell is looked at in its finer cells
+        side, finer = CELLS[k], CELLS[k - 1]
+        dense = _around(stations, side).groupBy("cy", "cx").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE).select("cy", "cx", F.lit(True).alias("dense"))
+        dense = materialized(dense, "dense-cells")
+        if dense.isEmpty():
+            break
+        if dense.count() <= BROADCAST_ROWS:
+            dense = F.broadcast(dense)
+        asked = asked.withColumns({"cy": _row(F.col("lat"), side), "cx": _column(F.col("lon"), side)}).join(dense, ["cy", "cx"], "left")
+        asked = asked.withColumn(f"_s{k}", F.when(F.col("dense"), F.lit(finer))).drop("cy", "cx", "dense")
+        start = F.coalesce(F.when(start == side, F.col(f"_s{k}")), start)
+    return asked.select("request_id", "lat", "lon", start.alias("side"))
 
 
 def nearest_station(requests: DataFrame, stations: DataFrame) -> DataFrame:
-    """``requests`` (request_id, lat, lon) with the station nearest to each.
+    """``requests`` (request_id, lat, lon), each with the station nearest to it.
 
-    stations: station_id, station_name, region, lat, lon, position (order, < 2**20;
-    the least wins a tie). A grid join looks at the 3 x 3 cells around each request;
-    requests with no or too far a hit look again in coarser cells, the last of which
-    hold the whole earth. A request without coordinates has no row.
+    stations: station_id, station_name, region, lat, lon, position (the least of equally
+    near ones wins; it may be any number). A grid join looks at the 3 x 3 cells around each
+    request, in finer cells where stations are dense; requests with no or too far a hit look
+    again in coarser cells, the last of which hold the whole earth. A request without
+    coordinates, or with no station anywhere, has a row whose other columns are null.
     """
-    rest = requests.filter("lat is not null and lon is not null").select("request_id", "lat", "lon")
-    found: DataFrame | None = None
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    stations = stations.filter("lat is not null and lon is not null")
+    todo = materialized(_first_sides(requests.filter(placed).select("request_id", "lat", "lon"), stations), "asked")
+    rest, found = todo.limit(0).drop("side"), requests.filter(~placed).select("request_id", F.lit(None).cast("struct<km:double,position:bigint>").alias("best"))
     for side in CELLS:
-        hits = materialized(_in_grid(rest, stations, side), "hits")
+        asked = rest.unionByName(todo.filter(F.col("side") == side).drop("side"))
+        if asked.isEmpty():
+            continue
+        hits = materialized(_in_grid(asked, stations.withColumn("position", F.col("position").cast("long")), side), "hits")
         safe_km = side * KM_PER_DEGREE * F.cos(F.radians(F.least(F.abs(F.col("lat")) + side, F.lit(90.0))))
-        sure = F.lit(side == CELLS[-1]) | F.coalesce(F.floor(F.col("best") / _SHIFT) / 1_000_000 < safe_km, F.lit(False))
-        done = hits.filter(sure & F.col("best").isNotNull())
-        found = done if found is None else found.unionByName(done)
+        sure = F.lit(side == CELLS[-1]) | F.coalesce(F.col("best.km") < safe_km, F.lit(False))
+        found = found.unionByName(hits.filter(sure).select("request_id", "best"))
         rest = hits.filter(~sure).select("request_id", "lat", "lon")
-        if rest.isEmpty():
-            break
-    found = found.select("request_id", F.pmod("best", F.lit(_SHIFT)).alias("position"), (F.floor(F.col("best") / _SHIFT) / 1_000_000).alias("km"))
-    found = found.join(stations.select("position", "station_id", "station_name", F.col("region").alias("station_region")), "position")
-    return found.select("request_id", "station_id", "station_name", "station_region", "km", walk_from_km(F.col("km")).alias("walk_minutes"))
+    found = found.select("request_id", "best.position", "best.km")
+    known = stations.select(F.col("position").cast("long").alias("position"), "station_id", "station_name", F.col("region").alias("station_region"))
+    out = found.join(known, "position", "left")
+    return out.select("request_id", "station_id", "station_name", "station_region", "km", walk_from_km(F.col("km")).alias("walk_minutes"))
 
 
 def first_rows(feed: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -45,11 +45,11 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_re
 """
 
 POSITIONS = """
-SELECT o_orderkey AS request_id, 35 + CAST(o_orderkey * 53 % 997 AS DOUBLE) / 997 AS lat, 139 + CAST(o_orderkey * 29 % 991 AS DOUBLE) / 991 AS lon FROM {orders}
+SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 41 > 0 THEN 35 + CAST(o_orderkey * 53 % 997 AS DOUBLE) / 997 END AS lat, 139 + CAST(o_orderkey * 29 % 991 AS DOUBLE) / 991 AS lon FROM {orders}
 """
 
 FEED = """
-SELECT CASE WHEN s_suppkey % 4 = 0 THEN concat(s_name, '（東）') WHEN s_suppkey % 4 = 1 THEN concat(' ', s_name, '(西)') ELSE s_name END AS name,
+SELECT CASE WHEN s_suppkey % 4 = 0 THEN concat('　', s_name, '　（東）') WHEN s_suppkey % 4 = 1 THEN concat(' ', s_name, '(西)') ELSE s_name END AS name,
   r_name AS region, r_name AS prefecture, concat('line', CAST(p.n AS STRING)) AS line,
   CAST(139 + CAST(s_suppkey * 91 % 1000 AS DOUBLE) / 1000 AS STRING) AS x, CAST(35 + CAST(s_suppkey * 37 % 1000 AS DOUBLE) / 1000 AS STRING) AS y,
   CAST(s_suppkey * 3 + p.n AS BIGINT) AS feed_order

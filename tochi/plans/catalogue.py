@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
+import zipfile
 from collections.abc import Callable
 from functools import reduce
+from urllib.parse import unquote
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tochi import functions as R
 from tochi import sources
-from tochi.operators import cleaning, features, history, normalize, registry, scoring, stations, training
+from tochi.operators import cleaning, features, forest, history, metadata, normalize, registry, scoring, stations, training
 from tochi.plans import bindings as B
 from tochi.schema import CATEGORIES
+from tochi.sources import archives, stores
 from tochi.tables import materialized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,7 +196,7 @@ def n12(spark, sf):
     return normalize.with_region(B.spark_view(spark, sf, f"SELECT n_name, {_PREFS} AS prefecture FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey")).select("n_name", "prefecture", "region")
 
 
-_KEY = "trim(split_part(translate({x}, '（）ヶヵ', '()ケカ'), '(', 1))"
+_KEY = f"regexp_replace(split_part(translate({{x}}, '（）ヶヵ', '()ケカ'), '(', 1), '^{R.WHITE}+|{R.WHITE}+$', '', 'g')"
 
 
 @query("n13_station_key", f"WITH feed AS ({B.duck_view(B.FEED)}) SELECT name, {_KEY.format(x='name')} AS station_key, count(*) AS n FROM feed GROUP BY ALL")
@@ -285,8 +290,8 @@ def c07(spark, sf):
 _KM = "round(2 * 6371.0 * atan2(sqrt(h), sqrt(1 - h)), 6)"
 _NEAR = f"""WITH st AS ({B.duck_view(B.STATIONS)}), po AS ({B.duck_view(B.POSITIONS)}),
 pair AS (SELECT request_id, position, station_id, station_name, region, pow(sin(radians(st.lat - po.lat) / 2), 2) + cos(radians(po.lat)) * cos(radians(st.lat)) * pow(sin(radians(st.lon - po.lon) / 2), 2) AS h FROM po, st),
-best AS (SELECT request_id, min(CAST(round({_KM} * 1000000) AS BIGINT) * 1048576 + position) AS best FROM pair GROUP BY request_id),
-near AS (SELECT b.request_id, st.station_id, st.station_name, st.region AS station_region, (b.best // 1048576) / 1000000 AS km FROM best b JOIN st ON st.position = b.best % 1048576)"""
+best AS (SELECT request_id, min(struct_pack(km := {_KM}, position := position)) AS best FROM pair GROUP BY request_id),
+near AS (SELECT po.request_id, st.station_id, st.station_name, st.region AS station_region, b.best.km AS km FROM po LEFT JOIN best b ON b.request_id = po.request_id AND po.lat IS NOT NULL LEFT JOIN st ON st.position = b.best.position)"""
 
 
 @query("j03_nearest_station", f"{_NEAR} SELECT request_id, station_id, station_name, station_region, km FROM near")
@@ -294,7 +299,7 @@ def j03(spark, sf):
     return stations.nearest_station(B.spark_view(spark, sf, B.POSITIONS), B.spark_view(spark, sf, B.STATIONS)).drop("walk_minutes")
 
 
-@query("j04_walk_minutes", f"{_NEAR} SELECT request_id, CAST(greatest(1, ceil(round(km * 1000 / 60, 6))) AS BIGINT) AS walk_minutes FROM near")
+@query("j04_walk_minutes", f"{_NEAR} SELECT request_id, CASE WHEN km IS NOT NULL THEN CAST(greatest(1, ceil(round(km * 1000 / 60, 6))) AS BIGINT) END AS walk_minutes FROM near")
 def j04(spark, sf):
     return stations.nearest_station(B.spark_view(spark, sf, B.POSITIONS), B.spark_view(spark, sf, B.STATIONS)).select("request_id", "walk_minutes")
 
@@ -582,20 +587,29 @@ def k03(spark, sf):
     return sources.read_dictionary(spark, path)
 
 
-@query("r06_landing_layout", f"{_RAW} SELECT raw_prefecture AS region, CAST(nullif(regexp_extract(raw_period, '[0-9]{{4}}'), '') AS INTEGER) AS year, count(*) AS n FROM raw WHERE raw_prefecture = 'ASIA' AND raw_period <> '' GROUP BY ALL")
+_QUARTER = "CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber % 4 + 1 AS INTEGER) END"
+
+
+@query("r06_landing_layout", f"{_RAW} SELECT raw_prefecture AS region, {_year('raw_period')} AS year, {_QUARTER} AS quarter, count(*) AS n, count(nullif(raw_price, '')) AS priced FROM raw WHERE raw_prefecture IN ('ASIA', 'EUROPE') AND {_year('raw_period')} >= 1997 GROUP BY ALL")
 def r06(spark, sf):
+    """Files laid out by region and year, half of them by quarter too, read for two regions and some years."""
     path = sources.scratch(spark, "landing")
-    rows = _raw(spark, sf).withColumns({"region": F.col("raw_prefecture"), "year": R.transaction_year(F.col("raw_period"))})
-    rows.select("raw_price", "region", "year").write.partitionBy("region", "year").csv(path)
-    back = spark.read.schema("raw_price string, region string, year int").csv(path)
-    return back.filter("region = 'ASIA' and year is not null").groupBy("region", "year").agg(F.count("*").alias("n"))
+    rows = _raw(spark, sf).select("raw_price", F.col("raw_prefecture").alias("region"), R.transaction_year(F.col("raw_period")).alias("year"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") % 4 + 1).cast("int").alias("quarter")).filter("year is not null")
+    rows.filter("quarter is null").drop("quarter").write.partitionBy("region", "year").csv(path)
+    rows.filter("quarter is not null").write.mode("append").partitionBy("region", "year", "quarter").csv(path)
+    back = sources.read_landed(spark, path, "raw_price string", ["ASIA", "EUROPE"], list(range(1997, 2030)))
+    return back.groupBy("region", "year", "quarter").agg(F.count("*").alias("n"), F.count("raw_price").alias("priced"))
+
+
+def _record(district: str) -> Column:
+    """A row as the API names its fields."""
+    return F.struct(F.col("raw_price").alias("TradePrice"), F.col("raw_area").alias("Area"), F.col("raw_period").alias("period"), F.col("raw_built").alias("BuildingYear"), F.col("raw_walk").alias("TimeToNearestStation"), F.col("raw_prefecture").alias("Prefecture"), F.col("raw_municipality").alias("Municipality"), F.col("raw_station").alias("NearestStation"), F.lit(district).alias("DistrictName"), F.col("raw_layout").alias("FloorPlan"), F.col("raw_structure").alias("Structure"))
 
 
 def _wrapped(spark, sf) -> str:
     """API payloads of all rows: one file a supplier and wrapper, in five shapes."""
     path = sources.scratch(spark, "api")
-    record = F.struct(F.col("raw_price").alias("TradePrice"), F.col("raw_area").alias("Area"), F.col("raw_period").alias("period"), F.col("raw_built").alias("BuildingYear"), F.col("raw_walk").alias("TimeToNearestStation"), F.col("raw_prefecture").alias("Prefecture"), F.col("raw_municipality").alias("Municipality"), F.col("raw_station").alias("NearestStation"), F.lit("district").alias("DistrictName"), F.col("raw_layout").alias("FloorPlan"), F.col("raw_structure").alias("Structure"))
-    body = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(record)), ","), F.lit(',"not a record"]'))
+    body = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(_record("district"))), ","), F.lit(',"not a record"]'))
     shape = F.element_at(F.array(*[F.lit(x) for x in ("", "data", "Data", "items", "results")]), (F.col("l_suppkey") % 5 + 1).cast("int"))
     files = _raw(spark, sf).groupBy("l_suppkey", "l_linenumber").agg(body.alias("body"))
     text = F.when(shape == "", F.col("body")).otherwise(F.concat(F.lit('{"'), shape, F.lit('":'), F.col("body"), F.lit("}")))
@@ -623,14 +637,65 @@ def _landed(spark, sf, encoding: str) -> str:
     return path
 
 
-@query("r01_r05_mixed_csv")
+def _renamed(spark, source: str, target: str, suffix: str) -> None:
+    """The files below a folder in another one, by numbers and with a suffix."""
+    for k, (path, _) in enumerate(stores.files(spark, [source])):
+        stores.move(spark, path, f"{target}/{k:06d}{suffix}")
+    stores.remove(spark, source)
+
+
+def _zipped(df: DataFrame, path: str) -> None:
+    """Rows as archives of one CSV member each, a task an archive: a landing folder of bulk downloads."""
+    names = df.columns
+
+    def run(batches):
+        from pyarrow import fs
+
+        task = TaskContext.get().partitionId()
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{task:05d}.zip", compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("readme.txt", "not a table")
+            with archive.open("rows.CSV", "w") as member:
+                first = True
+                for batch in batches:
+                    member.write(batch.to_csv(index=False, header=first).encode(archives.JAPANESE if task % 2 else "utf-8"))
+                    first = False
+                if first:
+                    member.write((",".join(names) + "\n").encode())
+        yield pd.DataFrame({"task": [task]})
+
+    df.mapInPandas(run, "task int").write.format("noop").mode("overwrite").save()
+
+
+_LAYOUT = "coalesce(nullif(raw_layout, ''), 'unknown')"
+
+
+@query("r01_r05_mixed_csv", f"{_RAW} SELECT {_LAYOUT} AS room_layout, 2 * count(*) AS n, 2 * count({_num('raw_price')}) AS priced FROM raw WHERE raw_kind = '中古マンション等' GROUP BY ALL")
 def r01(spark, sf):
     paths = [_landed(spark, sf, "UTF-8"), _landed(spark, sf, sources.JAPANESE)]
     df = normalize.require(sources.read_transactions(spark, paths))
     return df.groupBy("room_layout").agg(F.count("*").alias("n"), F.count("price").alias("priced"))
 
 
-@query("r02_transcode")
+@query("r03_r05_mixed_folder", f"{_RAW}, p AS ({_PARSED.replace('{keys}', 'l_linenumber')}), u AS (SELECT * FROM p WHERE raw_kind = '中古マンション等' OR l_linenumber > 3) SELECT coalesce(prefecture, '') AS prefecture, coalesce(station, 'district') AS station, count(*) AS n, count(price) AS priced, count(age) AS aged, sum(area) AS area, sum(station_distance) AS walk FROM u GROUP BY ALL")
+def r03(spark, sf):
+    """One folder with plain files in two encodings, archives, and payloads of the API below it."""
+    root = sources.scratch(spark, "mixed")
+    raw = _raw(spark, sf)
+    with sources._JapaneseCharsets(spark):
+        _csv_view(raw.filter("l_linenumber = 1")).write.option("header", True).option("encoding", sources.JAPANESE).csv(f"{root}/japanese")
+    _csv_view(raw.filter("l_linenumber = 2")).write.option("header", True).csv(f"{root}/plain")
+    _zipped(_csv_view(raw.filter("l_linenumber = 3")), f"{root}/archives")
+    body = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(_record("district"))), ","), F.lit("]"))
+    lists = raw.filter("l_linenumber > 3").groupBy("l_suppkey", F.pmod(F.xxhash64("l_orderkey"), F.lit(8)).alias("k")).agg(body.alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/text")
+    _renamed(spark, f"{root}/text", f"{root}/api", ".json")
+    df = normalize.require(sources.read_transactions(spark, [root]))
+    return df.groupBy(F.coalesce("prefecture", F.lit("")).alias("prefecture"), F.coalesce("station", F.lit("district")).alias("station")).agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.count("age").alias("aged"), F.sum("area").alias("area"), F.sum("station_distance").alias("walk"))
+
+
+@query("r02_transcode", f"{_RAW} SELECT raw_kind AS kind, count(*) AS n FROM raw GROUP BY ALL")
 def r02(spark, sf):
     target = sources.scratch(spark, "utf8")
     sources.transcode_to_utf8(spark, [_landed(spark, sf, sources.JAPANESE)], target)
@@ -656,51 +721,97 @@ def _of(rows, region):
 
 
 def _trained(spark, sf):
+    """(rows, models, root): a model a region, saved below root."""
     rows, sizes = _regional(spark, sf)
-    return rows, sizes, {r: training.train(_of(rows, r).filter("is_train"), sizes[r]) for r in sizes}
+    models = training.train_regions({r: _of(rows, r).filter("is_train") for r in sizes}, sizes)
+    root = sources.scratch(spark, "models")
+    training.save_regions(models, root)
+    return rows, models, root
+
 
+def _scored(rows, root):
+    """The rows of all regions by the saved trees of their region, in one scan."""
+    spark = rows.sparkSession
+    return forest.score(rows, forest.saved_nodes(spark, root), training.INPUTS, forest.saved_depth(spark, root))
 
-def _scored(rows, sizes, models):
-    """The rows of all regions, each through its region's model with its region's sizes."""
-    return reduce(DataFrame.unionByName, [training.score({r: models[r]}, rows, sizes[r]) for r in sizes])
+
+#: The regions that have training rows, and so a model.
+_REGIONAL = f"{_CLEAN}, fitted AS (SELECT * FROM clean WHERE region IN (SELECT region FROM clean WHERE transaction_year >= {START} AND transaction_year < {TEST}))"
 
 
 @query("m01_m06_train_and_score")
 def m01(spark, sf):
-    rows, sizes, models = _trained(spark, sf)
-    return history.metrics(_scored(rows.filter("is_test"), sizes, models), ["region"])
+    rows, _, root = _trained(spark, sf)
+    return history.metrics(_scored(rows.filter("is_test"), root), ["region"])
+
+
+@query("m01_m06_against_the_mean", f"{_REGIONAL} SELECT region, count(*) AS n, true AS no_worse FROM fitted WHERE transaction_year = {TEST} GROUP BY region")
+def m01_mean(spark, sf):
+    """Test rows of each region, and whether the trees err no more than the mean of the training rows."""
+    rows, _, root = _trained(spark, sf)
+    means = history.mean_model(rows.filter("is_train")).withColumnRenamed("prediction", "mean")
+    scored = _scored(rows.filter("is_test"), root).join(means, "region")
+    trees, mean = (F.avg(F.abs(F.col("price") - F.col(c))) for c in ("prediction", "mean"))
+    return scored.groupBy("region").agg(F.count("*").alias("n"), (trees <= mean).alias("no_worse"))
+
+
+def _importance(spark, sf):
+    return reduce(DataFrame.unionByName, [training.feature_importance(spark, m, r) for r, m in _trained(spark, sf)[1].items()])
 
 
 @query("m05_o03_feature_importance")
 def m05(spark, sf):
-    models = _trained(spark, sf)[2]
-    parts = [training.feature_importance(spark, m, r).orderBy(F.desc("importance"), "feature").limit(5) for r, m in models.items()]  # the report's top five
-    return reduce(DataFrame.unionByName, parts)
+    nth = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("importance"), "feature"))  # nine rows a region
+    return _importance(spark, sf).withColumn("nth", nth).filter("nth <= 5").drop("nth")  # the report's top five
 
 
-@query("m02_m04_tune_and_deploy")
-def m02(spark, sf):
+@query("m05_o03_importance_sums", f"{_REGIONAL} SELECT DISTINCT region, {len(training.INPUTS)}::BIGINT AS features, 1.0::DOUBLE AS total, 0::BIGINT AS negative FROM fitted")
+def m05_sums(spark, sf):
+    """How many features each model weighs, the sum of their importances, and how many are negative."""
+    return _importance(spark, sf).groupBy("region").agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+def _tuned(spark, sf):
+    """(trials, deployed): the trials of all regions, and region and trees of the models deployed by the best."""
     rows, sizes = _regional(spark, sf)
-    parts = []
-    for r in sizes:
-        split = _of(rows, r).filter("is_train").withColumns({"is_fit": F.col("transaction_year") < VALIDATION, "is_valid": F.col("transaction_year") == VALIDATION})
-        best, trials = training.tune(split, sizes[r])
-        deployed = training.train(cleaning.deployment_window(_of(rows, r), START, TEST), sizes[r], **best)
-        parts.append(trials.withColumns({"deployed_trees": F.lit(len(deployed.stages[-1].trees)), "region": F.lit(r)}))
-    return reduce(DataFrame.unionByName, parts)
+    splits = {r: _of(rows, r).filter("is_train").withColumns({"is_fit": F.col("transaction_year") < VALIDATION, "is_valid": F.col("transaction_year") == VALIDATION}) for r in sizes}
+    best, trials = training.tune_regions(splits, sizes)
+    models = training.train_regions({r: cleaning.deployment_window(_of(rows, r), START, TEST) for r in sizes}, sizes, best)
+    return trials, spark.createDataFrame([(r, len(m.stages[-1].trees)) for r, m in models.items()], "region string, deployed_trees int")
+
+
+@query("m02_m04_tune_and_deploy", f"{_REGIONAL} SELECT region, {training.TRIALS}::BIGINT AS trials, {training.TRIALS}::BIGINT AS penalised, true AS best_deployed FROM (SELECT DISTINCT region FROM fitted)")
+def m02(spark, sf):
+    """Trials of each region, those whose score holds the penalty, and whether the deployed model has the trees of the best."""
+    trials, deployed = _tuned(spark, sf)
+    right = F.abs(F.col("score") - F.col("validation_mae") - F.col("best_iteration") * 250.0) < 1e-6
+    found = trials.groupBy("region").agg(F.count("*").alias("trials"), F.count_if(right).alias("penalised"), F.min_by("best_iteration", F.struct("score", "trial")).alias("wanted"))
+    return found.join(F.broadcast(deployed), "region").select("region", "trials", "penalised", (F.col("wanted") == F.col("deployed_trees")).alias("best_deployed"))
+
+
+@query("k06_saved_models", f"{_REGIONAL} SELECT region, count(*) AS n, 0::BIGINT AS different FROM fitted WHERE transaction_year = {TEST} GROUP BY region")
+def k06(spark, sf):
+    """Test rows scored by the saved trees, and how many a model read back scores differently."""
+    rows, _, root = _trained(spark, sf)
+    sizes = training.sizes_by_region(_dictionary(spark, sf))
+    test = rows.filter("is_test").select("region", *KEYS, *training.INPUTS)
+    read = {unquote(n.removeprefix("region=")): training.PipelineModel.load(f"{root}/{n}") for n in stores.names(spark, root)}
+    own = reduce(DataFrame.unionByName, [m.transform(training.nominal(_of(test, r), sizes[r])).select("region", *KEYS, F.col("prediction").alias("own")) for r, m in read.items()])
+    both = _scored(test, root).join(own, ["region", *KEYS])
+    return both.groupBy("region").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("prediction") - F.col("own")) > 1e-9 * F.abs(F.col("own"))).alias("different"))
 
 
 @query("k04_k06_metadata_and_model")
 def k04(spark, sf):
-    rows, sizes, models = _trained(spark, sf)
-    run, path = uuid.uuid4().hex, sources.scratch(spark, "model")
-    for r, model in models.items():
-        model.write().overwrite().save(f"{path}/{r}_{run}/model")
-    counts = rows.groupBy("region").agg(F.count("*").alias("records"), F.count_if("is_train").alias("train"), F.count_if("is_test").alias("test"))
-    errors = history.metrics(_scored(rows.filter("is_test"), sizes, models), ["region"])
-    doc = counts.join(errors, "region").select("region", F.struct("records", "train", "test").alias("rows"), F.struct("mae", "rmse", "mape").alias("metrics"))
-    sources.write_json(doc, f"{path}/metadata")
-    return spark.read.schema(doc.schema).json(f"{path}/metadata").select("region", "rows.records", "rows.train", "rows.test", F.round("metrics.mae", 1).alias("mae"))
+    rows, models, root = _trained(spark, sf)
+    marked = rows.withColumn("timed", F.lit(True))
+    errors = history.metrics(_scored(rows.filter("is_test"), root), ["region"])
+    importance = reduce(DataFrame.unionByName, [training.feature_importance(spark, m, r) for r, m in models.items()])
+    docs = metadata.documents(metadata.split_counts(marked, START, TEST).join(errors, "region"), "2001-12-31", START, TEST, TEST, {"seed": 42}, {"enabled": False, "n_trials": training.TRIALS}, importance)
+    path = sources.scratch(spark, "metadata")
+    metadata.write_metadata(docs, path)
+    counts = rows.groupBy("region").agg(F.count("*").alias("records"))
+    return metadata.read_metadata(spark, path).join(counts, "region").select("region", "records", F.col("evaluation.trainCount").alias("train"), F.col("evaluation.testCount").alias("test"), F.round("mae", 1).alias("mae"))
 
 
 @query("x01_x02_feature_providers", f"{_CLEAN}, m AS (SELECT station, {_mean('price')} AS station_price FROM clean GROUP BY station) SELECT station, transaction_year, count(*) AS n, floor(any_value(station_price) * 100 + 0.5) / 100 AS station_price FROM clean JOIN m USING (station) GROUP BY ALL")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
+import re
+from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tochi.operators.normalize import normalize_api, normalize_csv
+from tochi.sources import archives, stores
+from tochi.sources.archives import read_zipped_csv as read_zipped_csv
+from tochi.tables import BROADCAST_ROWS
 from tochi.tables import scratch as scratch
 
 WRAPPERS = ("data", "Data", "items", "results")
@@ -29,15 +30,14 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def classify_encoding(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Paths by encoding: UTF-8 (a byte-order mark is fine) where valid, else Japanese.
+def classify_encoding(spark: SparkSession, paths: list[str], range_bytes: int = archives.RANGE_BYTES) -> dict[str, list[str]]:
+    """Files by encoding: UTF-8 (a byte-order mark is fine) where valid, else Japanese.
 
-    What reaches the driver is one flag a file.
+    Files are tested by byte ranges; what reaches the driver is one flag a file.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", F.expr("is_valid_utf8(content)").alias("ok")).collect()
     out: dict[str, list[str]] = {}
-    for r in files:
-        out.setdefault("UTF-8" if r["ok"] else JAPANESE, []).append(r["path"])
+    for r in archives.encodings(spark, paths, range_bytes).orderBy("path").collect():
+        out.setdefault("UTF-8" if r["is_utf8"] else JAPANESE, []).append(r["path"])
     return out
 
 
@@ -80,30 +80,6 @@ def transcode_to_utf8(spark: SparkSession, paths: list[str], target: str) -> Non
     read_transaction_csv(spark, paths).write.mode("overwrite").option("header", True).csv(target)
 
 
-def read_zipped_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The first CSV member of each archive; one archive is one task's work."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
-                    if not names:
-                        raise ValueError(f"no CSV member in {path}")
-                    raw = archive.read(names[0])
-                try:
-                    text = raw.decode("utf-8-sig")
-                except UnicodeDecodeError:
-                    text = raw.decode("cp932")
-                table = pd.read_csv(io.StringIO(text), dtype=str, keep_default_na=False)
-                yield pd.DataFrame({"row": [{k: (v or None) for k, v in r.items()} for r in table.to_dict("records")]})
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    rows = files.mapInPandas(members, "row map<string,string>")
-    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("row"))).distinct().collect())  # the header
-    return rows.select(*[F.try_element_at("row", F.lit(n)).alias(n) for n in names])
-
-
 def read_api_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of API payloads as ``record`` (a map of strings), whatever wraps them."""
     payload = spark.read.option("wholetext", True).text(paths).select(F.parse_json("value").alias("v"))
@@ -114,11 +90,18 @@ def read_api_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     return records.select(F.from_json(F.to_json("r"), "map<string,string>").alias("record"))
 
 
+def by_suffix(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The files of all paths, folders expanded: zip and json by their suffix, all others as csv."""
+    out: dict[str, list[str]] = {}
+    for path, _ in stores.files(spark, paths):
+        suffix = path.lower().rsplit(".", 1)[-1]
+        out.setdefault(suffix if suffix in ("zip", "json") else "csv", []).append(path)
+    return out
+
+
 def read_transactions(spark: SparkSession, paths: list[str], missing_building_year: str = "drop") -> DataFrame:
-    """Mixed inputs by suffix, each normalised, in one table."""
-    by: dict[str, list[str]] = {}
-    for p in paths:
-        by.setdefault(p.lower().rsplit(".", 1)[-1] if p.lower().endswith((".zip", ".json")) else "csv", []).append(p)
+    """Files and folders of mixed inputs by suffix, each normalised, in one table."""
+    by = by_suffix(spark, paths)
     frames = []
     if "csv" in by:
         frames.append(normalize_csv(read_transaction_csv(spark, by["csv"]), missing_building_year))
@@ -129,6 +112,41 @@ def read_transactions(spark: SparkSession, paths: list[str], missing_building_ye
     return union_all(frames)
 
 
+def landed(spark: SparkSession, root: str, regions: list[str] | None = None, years: list[int] | None = None, quarters: list[int] | None = None) -> DataFrame:
+    """(region, year, quarter, path) of the files below ``root``, laid out as region/year/ or region/year/quarter/.
+
+    Only the folders asked for are listed. A quarter is null where the layout has none;
+    asking for quarters leaves such files out. Levels may be named (``year=2020``, ``q1``).
+    """
+    number = lambda name: int(digits) if (digits := re.sub(r"\D", "", name)) else None
+    plain = lambda name: unquote(name.split("=", 1)[-1])
+    rows = []
+    for region in stores.names(spark, root):
+        if regions is not None and plain(region) not in regions:
+            continue
+        for year in stores.names(spark, f"{root}/{region}"):
+            if years is not None and number(plain(year)) not in years:
+                continue
+            at = f"{root}/{region}/{year}"
+            for name, is_folder in stores.entries(spark, at):
+                quarter = number(plain(name)) if is_folder else None
+                if quarters is None or quarter in quarters:
+                    rows += [(plain(region), number(plain(year)), quarter, path) for path, _ in stores.files(spark, [f"{at}/{name}"])]
+    return spark.createDataFrame(rows, "region string, year int, quarter int, path string")
+
+
+def read_landed(spark: SparkSession, root: str, schema: str, regions: list[str] | None = None, years: list[int] | None = None, quarters: list[int] | None = None, **options: object) -> DataFrame:
+    """CSV files of a landing folder with region, year and quarter by their place; see ``landed``."""
+    found = landed(spark, root, regions, years, quarters)
+    paths = [r["path"] for r in found.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, region string, year int, quarter int")
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    rows = spark.read.schema(schema).options(**options).csv(paths).withColumn("_at", plain(F.col("_metadata.file_path")))
+    places = found.select(plain(F.col("path")).alias("_at"), "region", "year", "quarter")
+    return rows.join(F.broadcast(places) if len(paths) <= BROADCAST_ROWS else places, "_at").drop("_at")
+
+
 def write_processed(df: DataFrame, path: str) -> None:
     """Cleaned rows as Parquet by region; only the regions written are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region").parquet(path)
@@ -154,8 +172,9 @@ def dictionary_documents(dictionary: DataFrame) -> DataFrame:
     return values.groupBy("region").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.to_json("ids").alias("ids"))))).alias("features")).withColumn("unknownId", F.lit(0))
 
 
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(region, feature, value, id) of written documents."""
-    docs = spark.read.schema("features map<string,string>, unknownId int, region string").json(path)
-    rows = docs.select("region", F.explode("features").alias("feature", "ids"))
+def read_dictionary(spark: SparkSession, path: str | list[str], region: Column | None = None) -> DataFrame:
+    """(region, feature, value, id) of written documents; ``region`` says it where no folder does."""
+    kind = "features map<string,string>, unknownId int"
+    docs = spark.read.schema(kind if region is not None else f"{kind}, region string").json(path)
+    rows = docs.select(F.col("region") if region is None else region, F.explode("features").alias("feature", "ids"))
     return rows.select("region", "feature", F.explode(F.from_json("ids", "map<string,int>")).alias("value", "id"))
