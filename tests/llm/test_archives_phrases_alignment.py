@@ -166,6 +166,15 @@ def test_collocations_are_those_of_a_count_by_hand(spark, monkeypatch, spacing,
     assert sorted(got) == _collocations(rows)
 
 
+@pytest.mark.parametrize(("top", "rare", "most"), [(5, 64 * 30, 10**6), (2, 40, 7), (3, 10**9, 2), (1, 0, 10**6), (2000, 64 * 30, 5)])
+def test_floors_and_shuffled_parts_lose_no_phrase(spark, monkeypatch, top, rare, most):
+    monkeypatch.setattr(phrases, "RARE", rare)
+    monkeypatch.setattr(phrases, "FEW_LANGS", 1 if rare == 40 else 50)
+    rows = _odd_texts()
+    docs = spark.createDataFrame([(k, t, g, "c", 3) for k, (t, g) in enumerate(rows)], DOCS)
+    assert sorted(tuple(r) for r in phrases.collocations(docs, top=top, most=most).collect()) == _collocations(rows, top)
+
+
 def test_chunks_own_every_word_once():
     words = phrases.Words([t.encode() for t, _ in _odd_texts() if t])
     first, own, size = phrases.chunks_of(words)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go when the job that made them has ended.
+
+    Spark keeps them until the driver collects its garbage; what ``saved`` has written does
+    not need them. The session's setting is as before afterwards.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def with_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], weight: str, most: int = BROADCAST_FACTS) -> DataFrame:
     """``rows`` left-joined with saved ``facts``, one row a key; no key meets in one task.
 

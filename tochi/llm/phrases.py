@@ -8,7 +8,7 @@ form a dictionary with the frequency of each, and repeated passages, copies and
 pieces are in it once. All counts are taken inside the distinct chunks, weighted.
 
 Phrases rarer than the bound are nearly all there are, so the dictionary is passed three
-times: (1) words, by their text; (2) pairs of frequent words, by a 64-bit hash, whose
+times: (1) words, by their text; (2) pairs of frequent words, by a hash, whose
 frequent ones are marked in a bitmap; (3) phrases whose words and pairs are all marked,
 by their text. Bitmaps only let phrases pass and have a fixed size, whatever the corpus;
 every count is of texts and exact. Each pass adds up within a batch before it shuffles.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tochi.llm.common import discard, mix, saved, small_batches, table, texts_of, with_facts
+from tochi.llm.common import BROADCAST_FACTS, discard, mix, saved, small_batches, table, texts_of, tidied
 
 #: The contract's figures: words of a phrase, its least count, the share of its count that
 #: a longer phrase must have to displace it (in hundredths), scale of scores, rows a lang.
@@ -38,6 +38,12 @@ LONGEST, LEAST, DISPLACED, SCALE, TOP = 4, 30, 80, 2_000_000, 2000
 OVERLAP, SPACING, LONGEST_CHUNK = LONGEST - 1, 16, 128
 #: Bits of a bitmap: 16 for each key, within these bounds (2 to 32 MB).
 FEWEST_BITS, MOST_BITS = 1 << 24, 1 << 28
+#: Parts up to this count are rare: phrases made of them are scored first.
+RARE = 64 * LEAST
+#: Langs whose floors are written into the plan.
+FEW_LANGS = 50
+#: Bytes of a batch that one pass over the dictionary adds up; bits of a pair's key.
+MERGED_BYTES, KEY_BITS = 4 << 20, 40
 #: Parts of a lang whose best rows are found apart before they meet.
 SALTS = 16
 
@@ -172,6 +178,20 @@ def marked(keys: DataFrame) -> bytes:
     return words.tobytes()
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about MERGED_BYTES, so that more equal keys meet before they are shuffled."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= MERGED_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _parts(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Words of a batch of the dictionary, lang code, weight and number of phrase starts left of each; langs."""
     words = Words([c.encode("utf-8", "replace") for c in batch.column(1).to_pylist()])
@@ -194,7 +214,7 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     """lang, phrase and f of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _merged(batches):
             words, lang, weight, _, langs = _parts(batch)
             own = weight > 0
             if not own.any():
@@ -230,9 +250,9 @@ def word_keys(counts: DataFrame) -> DataFrame:
 
 
 def _pair_keys(h: np.ndarray) -> np.ndarray:
-    """The bitmap key of each word with the next."""
+    """The bitmap key of each word with the next; more bits than a bitmap has are not moved."""
     with np.errstate(over="ignore"):
-        return mix(h[:-1] * np.uint64(3) + h[1:])
+        return mix(h[:-1] * np.uint64(3) + h[1:]) & np.uint64((1 << KEY_BITS) - 1)
 
 
 def pair_keys(chunks: DataFrame, known) -> DataFrame:
@@ -240,7 +260,7 @@ def pair_keys(chunks: DataFrame, known) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = Bitmap(known.value)
-        for batch in batches:
+        for batch in _merged(batches):
             words, lang, weight, text, langs = _parts(batch)
             if len(words) < 2:
                 continue
@@ -258,7 +278,7 @@ def phrase_counts(chunks: DataFrame, known, pairs) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_passes, pair_passes = Bitmap(known.value), Bitmap(pairs.value)
-        for batch in batches:
+        for batch in _merged(batches):
             words, lang, weight, text, langs = _parts(batch)
             if len(words) < 2:
                 continue
@@ -292,41 +312,104 @@ def _piece(phrase: Column, first: Column, words: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), first, words), " ")
 
 
-def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n and score of the best phrases of each lang."""
-    spark = docs.sparkSession
-    chunks = saved(dictionary(docs), "phrase-chunks")
-    totals = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("freq")).alias("n"))
-    words = saved(word_counts(chunks).filter(F.col("f") >= LEAST), "phrase-words")
-    known = spark.sparkContext.broadcast(marked(word_keys(words)))
-    frequent = saved(pair_keys(chunks, known).filter(F.col("f") >= LEAST).select("key"), "phrase-pairs")
-    pairs = spark.sparkContext.broadcast(marked(frequent))
-    found = saved(phrase_counts(chunks, known, pairs).filter(F.col("f") >= LEAST), "phrase-found")
-    known.unpersist()
-    pairs.unpersist()
-    totals = saved(totals, "phrase-totals")
-    discard(chunks, frequent)
-
-    # every part of a frequent phrase is at least as frequent, so all parts are in one table
-    counts = saved(words.select("lang", "phrase", "f").unionByName(found.select("lang", "phrase", "f")), "phrase-counts")
-    cuts = found.select("lang", "phrase", "words", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.withColumns({"first": _piece(F.col("phrase"), F.lit(1), F.col("k")), "rest": _piece(F.col("phrase"), F.col("k") + 1, F.col("words") - F.col("k"))})
-    cuts = with_facts(cuts, counts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"], "l")
-    cuts = with_facts(cuts, counts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"], "r")
-    wide = lambda c: F.col(c).cast("decimal(20,0)")
+def _wide(c: str) -> Column:
+    return F.col(c).cast("decimal(20,0)")
+
+
+def _cuts(found: DataFrame) -> DataFrame:
+    """A row for each cut of each phrase: k, and the parts ``first`` and ``rest``."""
+    names = ["lang", "phrase", "words", F.col("f").alias("a")]
+    two = found.filter("words = 2").select(*names, F.lit(1).alias("k"))
+    more = found.filter("words > 2").select(*names, F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
+    return two.unionByName(more).withColumns({"first": _piece(F.col("phrase"), F.lit(1), F.col("k")), "rest": _piece(F.col("phrase"), F.col("k") + 1, F.col("words") - F.col("k"))})
+
+
+def _with_part(cuts: DataFrame, counts: DataFrame, part: str, name: str, wanted: Column, most: int) -> DataFrame:
+    """``cuts`` with the count of their ``part`` as ``name``, as far as ``wanted`` holds then.
+
+    The join itself applies ``wanted``. Few counts are broadcast whole; of many, the
+    heaviest are, and only cuts without a heavy part are shuffled.
+    """
+    facts = counts.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_part"), F.col("f").alias(name))
+    same = (F.col("lang") == F.col("_lang")) & (F.col(part) == F.col("_part"))
+    n, total = facts.agg(F.count("*"), F.coalesce(F.sum(name), F.lit(0))).first()
+    if n <= most:
+        return cuts.join(F.broadcast(facts), same & wanted).drop("_lang", "_part")
+    heavy = F.col(name) > total // most
+    top = F.broadcast(facts.filter(heavy))
+    by_top = cuts.join(top, same & wanted)
+    light = cuts.join(top.select("_lang", "_part"), same, "left_anti").join(facts.filter(~heavy), same & wanted)
+    return by_top.unionByName(light).drop("_lang", "_part")
+
+
+def _scored(cuts: DataFrame, counts: DataFrame, left: Column, right: Column, most: int) -> DataFrame:
+    """lang, phrase, a, score, k, l and r of phrases all of whose cuts pass ``left`` and ``right``."""
+    cuts = _with_part(_with_part(cuts, counts, "first", "l", left, most), counts, "rest", "r", right, most)
     score = F.expr(f"(cast(a as decimal(20,0)) * {SCALE}) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
-    scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best")).select("lang", "phrase", "a", "best.*")
+    best = cuts.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best"), F.count("*").alias("cuts"))
+    return best.filter("cuts = words - 1").select("lang", "phrase", "a", "best.*")
+
 
-    # the highest count of a longer phrase around each phrase
-    inner = found.filter("words > 2").select("lang", "f", "phrase", "words", F.explode(F.expr("flatten(transform(sequence(2, words - 1), m -> transform(sequence(1, words - m + 1), i -> struct(i, m))))")).alias("s"))
-    inner = inner.select("lang", _piece(F.col("phrase"), F.col("s.i"), F.col("s.m")).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    displaced = F.coalesce(wide("longer") * 100 >= wide("a") * DISPLACED, F.lit(False))
-    kept = scored.join(inner, ["lang", "phrase"], "left").filter(~displaced)
+def _longer(found: DataFrame) -> DataFrame:
+    """lang, phrase and longer: the highest count of a phrase one word longer around it.
 
+    A phrase two words longer needs no look: the one between them is at least as frequent.
+    """
+    ends = F.array(_piece(F.col("phrase"), F.lit(1), F.col("words") - 1), _piece(F.col("phrase"), F.lit(2), F.col("words") - 1))
+    return found.filter("words > 2").select("lang", "f", F.explode(ends).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+
+
+def _ranked(scored: DataFrame, longer: DataFrame, top: int) -> DataFrame:
+    """The first ``top`` phrases of each lang that no longer one displaces, with their rank."""
+    around = longer.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), "longer")
+    displaced = (F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_phrase")) & (_wide("longer") * 100 >= _wide("a") * DISPLACED)
+    kept = scored.join(around, displaced, "left_anti")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     best = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+
+
+def _with_floor(cuts: DataFrame, floors: DataFrame) -> DataFrame:
+    """``cuts`` with the floor of their lang, 0 if it has none: by a literal if langs are few."""
+    few = floors.limit(FEW_LANGS + 1).collect()
+    if len(few) > FEW_LANGS:
+        return cuts.join(floors, "lang", "left").withColumn("floor", F.coalesce("floor", F.lit(0).cast("long")))
+    floor = F.lit(0).cast("long")
+    for lang, score in few:
+        floor = F.when(F.col("lang") == lang, F.lit(score).cast("long")).otherwise(floor)
+    return cuts.withColumn("floor", floor)
+
+
+def collocations(docs: DataFrame, top: int = TOP, most: int = BROADCAST_FACTS) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n and score of the best phrases of each lang.
+
+    Frequent pairs of frequent words are many and score low. So phrases of rare parts are
+    scored first; the score of the ``top``-th of them is a floor of its lang, and a phrase
+    goes as soon as one of its parts is so frequent that no score up to the floor is left.
+    """
+    spark = docs.sparkSession
+    with tidied(spark):
+        chunks = saved(dictionary(docs), "phrase-chunks")
+        words = saved(word_counts(chunks).filter(F.col("f") >= LEAST), "phrase-words")
+        known = spark.sparkContext.broadcast(marked(word_keys(words)))
+        frequent = saved(pair_keys(chunks, known).filter(F.col("f") >= LEAST).select("key"), "phrase-pairs")
+        pairs = spark.sparkContext.broadcast(marked(frequent))
+        found = saved(phrase_counts(chunks, known, pairs).filter(F.col("f") >= LEAST), "phrase-found")
+        known.unpersist()
+        pairs.unpersist()
+        totals = saved(chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("freq")).alias("n")), "phrase-totals")
+        discard(chunks, frequent)
+
+        # every part of a frequent phrase is at least as frequent, so all parts are in one table
+        counts = saved(words.select("lang", "phrase", "f").unionByName(found.select("lang", "phrase", "f")), "phrase-counts")
+        longer = saved(_longer(found), "phrase-longer")
+        rare = [F.col(c) <= RARE for c in ("l", "r")]
+        first = saved(_ranked(_scored(_cuts(found), counts, *rare, most), longer, top), "phrase-first")
+    cuts = _with_floor(_cuts(found), first.filter(F.col("rank") == top).select("lang", F.col("score").alias("floor")))
+    # a cut scores at most SCALE * a / (l + a), since r is at least a
+    reaches = [_wide("a") * SCALE >= _wide("floor") * (_wide("l") + _wide(c)) for c in ("a", "r")]
+    ranked = _ranked(_scored(cuts, counts, *reaches, most), longer, top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
