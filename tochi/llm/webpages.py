@@ -20,10 +20,12 @@ any depth, and a page may be of any length.
 from __future__ import annotations
 
 import html as references
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,34 +230,77 @@ class Aligner:
             return 1
         return self.sizes.get((a.shape, b.shape))
 
+    def _unknown(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """A pair of children for each two shapes whose matching has not been sized yet."""
+        xs, ys = ({c.shape: c for c in n.children}.values() for n in (a, b))
+        return [(x, y) for x in xs for y in ys if self._known(x, y) is None]
+
     def _size(self, a: Node, b: Node) -> int:
         """Nodes in the largest top-down order-keeping matching."""
         todo = [(a, b)]
         while todo:
             x, y = todo[-1]
             if self._known(x, y) is None:
-                open_ = [(c, d) for c in x.children for d in y.children if self._known(c, d) is None]
+                open_ = self._unknown(x, y)
                 if open_:
                     todo += open_
                     continue
-                self.sizes[x.shape, y.shape] = 1 + self._grid(x, y)[-1][-1]
+                row, _ = self._first_row(x, y)
+                weights = self._weights(x, y)
+                for child in x.children:
+                    row = self._next_row(row, weights[child.shape])
+                self.sizes[x.shape, y.shape] = 1 + int(row[-1])
             todo.pop()
         return self._known(a, b)
 
-    def _grid(self, a: Node, b: Node) -> list[list[int]]:
-        rows = [[0] * (len(b.children) + 1)]
+    def _first_row(self, a: Node, b: Node) -> tuple[np.ndarray, int]:
+        """Row 0 of the grid of a pair's children, and the distance of rows that are kept for the way back."""
+        return np.zeros(len(b.children) + 1, np.int64), math.isqrt(len(a.children)) + 1
+
+    def _weights(self, a: Node, b: Node) -> dict[object, np.ndarray]:
+        """By shape of a's children, the sizes of their matchings with all of b's."""
+        found: dict[object, np.ndarray] = {}
         for x in a.children:
-            last, row = rows[-1], [0]
-            for j, y in enumerate(b.children):
-                best = last[j + 1] if last[j + 1] >= row[j] else row[j]
-                if x.tag == y.tag and (both := last[j] + self._known(x, y)) > best:
-                    best = both
-                row.append(best)
-            rows.append(row)
-        return rows
+            if x.shape not in found:
+                own = {y.shape: self._known(x, y) for y in {c.shape: c for c in b.children}.values()}
+                found[x.shape] = np.array([own[y.shape] for y in b.children], np.int64)
+        return found
+
+    @staticmethod
+    def _next_row(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The grid's next row: best without this child, with it, or as to the left."""
+        return np.append(0, np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights)))
+
+    def _pairs(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
+        """The matched children of a pair, last first.
+
+        Every so many rows of the grid are kept and those between computed again on the
+        way back, so wide nodes take memory by the square root of their width.
+        """
+        weights = self._weights(a, b)
+        row, step = self._first_row(a, b)
+        kept = [row]
+        for k, x in enumerate(a.children, 1):
+            row = self._next_row(row, weights[x.shape])
+            if k % step == 0:
+                kept.append(row)
+        i, j = len(a.children), len(b.children)
+        while i and j:
+            base = (i - 1) // step * step
+            rows = [kept[base // step]]
+            for x in a.children[base:i]:
+                rows.append(self._next_row(rows[-1], weights[x.shape]))
+            while i > base and j:
+                here, above = rows[i - base], rows[i - base - 1]
+                if here[j] == above[j]:
+                    i -= 1
+                elif here[j] == here[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield a.children[i], b.children[j]
 
     def _match(self, a: Node, b: Node) -> None:
-        self._size(a, b)
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
@@ -265,19 +310,9 @@ class Aligner:
             if a.shape == b.shape:
                 todo += zip(a.children, b.children)
                 continue
-            for x in a.children:
-                for y in b.children:
-                    self._size(x, y)
-            rows = self._grid(a, b)
-            i, j = len(a.children), len(b.children)
-            while i and j:
-                if rows[i][j] == rows[i - 1][j]:
-                    i -= 1
-                elif rows[i][j] == rows[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    todo.append((a.children[i], b.children[j]))
+            for x, y in self._unknown(a, b):
+                self._size(x, y)
+            todo += self._pairs(a, b)
 
 
 _BLOCKS = T.ArrayType(T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("inside", T.BooleanType()), T.StructField("text", T.StringType())]))
