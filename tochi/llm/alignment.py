@@ -10,8 +10,10 @@ the text into groups, and each is a link of the two tokens that end there.
 
 Neither tokenizer has a token across the border before a lone space, or a lone line feed,
 that stands between other characters (for B this is checked when the model is loaded).
-So a text is cut there into chunks, a worker aligns each distinct chunk once, and joins
-the results by position. The table is emptied when full, which changes no result.
+So a text is cut there into chunks, a worker keeps a table of distinct chunks, and joins
+results by position. When half of the table is full, what was not met since the last
+time goes, which changes no result. A point or comma behind a letter at the end of a
+chunk is a token of its own for both (for B this is checked too) and needs no other look.
 
 Counts of id pairs over the corpus are sums of the pairs of each document; a frequent pair
 is in nearly all documents, so sums are formed in each task first, and pairs go back to
@@ -26,10 +28,13 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +45,14 @@ from pyspark.sql import types as T
 from tochi.llm.common import saved, small_batches, table, texts_of, with_facts
 
 MARK = "▁"
-#: Distinct chunks in a worker's table, and the longest that is kept there.
-HELD_CHUNKS, LONG_CHUNK = 200_000, 200
+#: Distinct chunks in half of a worker's table, and the longest that is kept there.
+HELD_CHUNKS, LONG_CHUNK = 300_000, 200
+#: New chunks that go through the libraries in one row.
+ROW_CHUNKS = 20_000
 
 _irregular = re.compile(r"[^\S \n]|[ \n][ \n]|[ \n]\Z")
 _border = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_span = attrgetter("id", "begin", "end")
 _byte_piece = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -65,6 +73,15 @@ def ends_of(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
     return ends
 
 
+def _ends_of_row(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``ends_of`` on arrays, for tokens that spell their text."""
+    decoded = np.cumsum(sizes)
+    clean = (spans[:, 0] == np.append(0, decoded[:-1])) & (spans[:, 1] > spans[:, 0]) & (np.append(spans[1:, 0], spans[-1, 1]) == spans[:, 1])
+    last = np.maximum.accumulate(np.where(clean, np.arange(len(sizes)), -1))  # the last clean cut up to each token
+    cut, counted = np.append(spans[:, 1], 0)[last], np.append(decoded, 0)[last]
+    return cut + decoded - counted
+
+
 class Aligner:
     """Groups of texts by their distinct chunks."""
 
@@ -78,14 +95,27 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         letters = byte_alphabet()
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        own = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.a_bytes = [own.get(i, b"") for i in range(max(own) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = self.b.id_to_piece(list(range(self.b.vocab_size())))
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
             raise ValueError("a piece of this model crosses a border of chunks")
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _byte_piece.match(p)) else p.replace(MARK, " ").encode() for p in pieces]
         self.lone_mark = self.b.piece_to_id(MARK)
-        self.held: dict[str, tuple] = {}
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in parts]) for parts in (self.a_bytes, self.b_bytes))
+        #: how an id is written behind another one of its side, as the first of A, and as the first of B
+        self.ids = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [f"{c}{i}".encode() for c in ",;|" for i in range(self.ids)]
+        #: marks that are a token of their own behind a letter at the end of a chunk, as such chunks are held
+        self.marks = {}
+        for c in ".,":
+            a, b = self.a.encode(c, add_special_tokens=False).ids, self.b.piece_to_id(c)
+            if len(a) == 1 and b != self.b.unk_id() and not any(x == c and y.isalpha() for p in pieces for y, x in zip(p, p[1:])):
+                self.marks[c] = (f";{a[0]}|{b}".encode(), np.array([a[0] * len(self.b_bytes) + b], np.int64).tobytes())
+        #: chunks met since the table was last full, and those of the time before
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
     def keys(self, text: str) -> list[str]:
         """Chunks of space + text; a chunk of a space and a word is named by the word alone."""
@@ -126,8 +156,10 @@ class Aligner:
 
     def learn(self, keys: list[str]) -> dict[str, tuple]:
         """What is held of each distinct chunk: numbers of A and B, written groups, linked pairs; None if not spelled."""
-        found = {}
-        for key, (_, a_ids, a_ends, b_ids, b_ends, spelled) in zip(keys, self.tokens(keys)):
+        plain = [k for k in keys if k[0] != " " and len(k.split()) == 1 and not k[-1].isspace()]
+        found = self._learn_row(plain) if plain else {}
+        rest = [k for k in keys if k not in found]
+        for key, (_, a_ids, a_ends, b_ids, b_ends, spelled) in zip(rest, self.tokens(rest)):
             if not spelled:
                 found[key] = None
                 continue
@@ -137,27 +169,88 @@ class Aligner:
             found[key] = (len(a_ids), len(b_ids), written.encode(), pairs.tobytes())
         return found
 
+    def _learn_row(self, keys: list[str]) -> dict[str, tuple]:
+        """``learn`` of chunks without white space inside, by one call of each library on all of them in a row.
+
+        Their borders are borders of both tokenizers, so they do not change each other's tokens.
+        Nothing is returned if a token does not spell its part of the row.
+        """
+        keys = sorted(keys, key=lambda k: k[0] == "\n")  # so that the row begins with a space
+        if keys[0][0] == "\n":
+            return {}
+        chunks = [k if k[0] == "\n" else " " + k for k in keys]
+        text = "".join(chunks)
+        raw = text.encode()
+        a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
+        b = np.fromiter(chain.from_iterable(map(_span, b)), np.int64).reshape(-1, 3)
+        a_ids, b_ids = a.ids, b[:, 0].tolist()
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
+            return {}
+        a_spans = np.fromiter(chain.from_iterable(a.offsets), np.int64).reshape(-1, 2)
+        b_spans = b[:, 1:] + 1
+        b_spans[0, 0] = 0  # the space that the model adds is the row's own
+        if len(raw) > len(text):  # characters to bytes
+            starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            a_spans = np.append(starts, len(raw))[a_spans]
+        a_ids, b_ids = np.array(a_ids), np.array(b_ids)
+        a_ends, b_ends = _ends_of_row(a_spans, self.a_sizes[a_ids]), _ends_of_row(b_spans, self.b_sizes[b_ids])
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        pairs = (a_ids[np.flatnonzero(np.isin(a_ends, both, assume_unique=True))] * len(self.b_bytes) + b_ids[np.flatnonzero(np.isin(b_ends, both, assume_unique=True))]).astype(np.int64)
+        # tokens of a group: those of A, then those of B; each is written behind its separator
+        order = np.argsort(np.concatenate([a_group * 2, b_group * 2 + 1]), kind="stable")
+        first = np.concatenate([np.diff(a_group, prepend=-1) != 0, np.diff(b_group, prepend=-1) != 0])
+        sign = np.where(first, np.repeat([1, 2], [len(a_ids), len(b_ids)]), 0)[order]
+        written = list(map(self.names.__getitem__, (sign * self.ids + np.concatenate([a_ids, b_ids])[order]).tolist()))
+        stops = np.cumsum([len(c.encode()) for c in chunks]) if len(raw) > len(text) else np.cumsum([len(c) for c in chunks])
+        n_a, n_b, n_groups = (np.searchsorted(x, stops, side="right") for x in (a_ends, b_ends, both))
+        found, at_a, at_b, at_g = {}, 0, 0, 0
+        packed = pairs.tobytes()
+        for key, to_a, to_b, to_g in zip(keys, n_a.tolist(), n_b.tolist(), n_groups.tolist()):
+            found[key] = (to_a - at_a, to_b - at_b, b"".join(written[at_a + at_b : to_a + to_b])[1:], packed[8 * at_g : 8 * to_g])
+            at_a, at_b, at_g = to_a, to_b, to_g
+        return found
+
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, bytes, bytes]]:
         """Numbers of tokens of A and B, written groups and linked pairs of each text."""
         own = [self.keys(t) if t else [] for t in texts]
-        held = self.held
-        new = list({k for keys in own for k in keys if k not in held})
-        found: dict[str, tuple] = {}
-        for at in range(0, len(new), 5000):
-            found |= self.learn(new[at : at + 5000])
-        both = held if not new else {}
-        if new:  # a view of both tables for this batch
-            both = {k: held[k] if k in held else found[k] for keys in own for k in set(keys)}
+        young, old = self.young, self.old
+        both: dict[str, tuple] = {}
+
+        def known(key: str) -> bool:
+            if key not in young:
+                if key not in old:
+                    return False
+                young[key] = old[key]
+            both[key] = young[key]
+            return True
+
+        new = {k for k in set(chain.from_iterable(own)) if not known(k)}
+        ended = [k for k in new if k[-1] in self.marks and k[-2:-1].isalpha()]
+        new.difference_update(ended)
+        new.update(b for b in {k[:-1] for k in ended} if not known(b))
+        learnt = list(new)
+        for at in range(0, len(learnt), ROW_CHUNKS):
+            found = self.learn(learnt[at : at + ROW_CHUNKS])
+            both |= found
+            young.update((k, v) for k, v in found.items() if len(k) <= LONG_CHUNK)
+        for key in ended:
+            base = both[key[:-1]]
+            if base is not None:
+                written, pair = self.marks[key[-1]]
+                base = (base[0] + 1, base[1] + 1, base[2] + written, base[3] + pair)
+            both[key] = base
+            if len(key) <= LONG_CHUNK:
+                young[key] = base
+        if len(young) > HELD_CHUNKS:
+            self.young, self.old = {}, young
         for keys in own:
             parts = [both[k] for k in keys]
             if None in parts or not parts:
                 yield 0, 0, b"", b""
             else:
-                yield sum([p[0] for p in parts]), sum([p[1] for p in parts]), b";".join([p[2] for p in parts]), b"".join([p[3] for p in parts])
-        short = {k: v for k, v in found.items() if len(k) <= LONG_CHUNK}
-        if len(held) + len(short) > HELD_CHUNKS:
-            held.clear()
-        held.update(short)
+                a, b, written, pairs = zip(*parts)
+                yield sum(a), sum(b), b";".join(written), b"".join(pairs)
 
     def spans(self, text: str) -> list[tuple[int, list[int], list[int]]]:
         """(byte end in space + text, ids of A, ids of B) of each group of one text."""
@@ -200,6 +293,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(a_path, b_path)
+        gc.disable()  # no cycles are made, and the table is large to search for them
         for batch in batches:
             n_a, n_b, digests, pairs = [], [], [], []
             for a, b, written, linked in aligner.align(texts_of(batch.column(1))):
@@ -215,6 +309,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             pair, times = key[first] & ((1 << 40) - 1), np.diff(np.append(first, len(key)))
             arrays = [pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(links), pa.array(links), pa.array(digests, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pair, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=kind.fieldNames())
+        gc.enable()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id())
 
