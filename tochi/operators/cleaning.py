@@ -82,14 +82,19 @@ def time_holdout(df: DataFrame, start: int, test: int) -> DataFrame:
 def positional_holdout(df: DataFrame, order: list[str], by: str = "region", share: float = 0.2) -> DataFrame:
     """``df`` with is_train and is_test, the last max(1, share * n) rows of each region.
 
-    ``order`` must be a total order. Only counts of equal leading keys meet by region,
-    so the rows of one region are never sorted in one task: rows are numbered inside
-    blocks of the first key and blocks by running counts.
+    ``order`` must be a total order. Rows are numbered inside blocks of equal leading keys;
+    the blocks' sizes are laid out by key over many tasks and summed up inside a task and
+    over tasks, so neither rows nor keys of a region meet in one.
     """
     lead, rest = order[0], order[1:]
-    blocks = df.groupBy(by, lead).agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy(by).orderBy(lead)
-    blocks = blocks.select(F.col(by).alias("_by"), F.col(lead).alias("_lead"), (F.sum("_n").over(ahead) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(by)).alias("_total"))
+    counts = df.groupBy(F.col(by).alias("_by"), F.col(lead).alias("_lead")).agg(F.count("*").alias("_n"))
+    ranged = materialized(counts.repartitionByRange("_by", "_lead").withColumn("_part", F.spark_partition_id()), "blocks")
+    parts = ranged.groupBy("_by", "_part").agg(F.sum("_n").alias("_m"))
+    of = Window.partitionBy("_by")
+    parts = parts.select(F.col("_by").alias("_of"), F.col("_part").alias("_at"), (F.sum("_m").over(of.orderBy("_part")) - F.col("_m")).alias("_ahead"), F.sum("_m").over(of).alias("_total"))
+    inside = F.sum("_n").over(Window.partitionBy("_by", "_part").orderBy("_lead")) - F.col("_n")
+    placed = ranged.withColumn("_inside", inside).join(F.broadcast(parts), F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_at")))  # a row a region and task
+    blocks = placed.select("_by", "_lead", (F.col("_ahead") + F.col("_inside")).alias("_before"), "_total")
     nth = F.row_number().over(Window.partitionBy(by, lead).orderBy(*(rest or [lead])))
     out = df.withColumn("_nth", nth).join(blocks, F.col(by).eqNullSafe(F.col("_by")) & F.col(lead).eqNullSafe(F.col("_lead")))
     tested = F.greatest(F.lit(1), F.floor(F.col("_total") * share))

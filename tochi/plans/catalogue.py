@@ -43,13 +43,19 @@ def tx(spark: SparkSession, sf: str) -> DataFrame:
     return B.spark_view(spark, sf, B.TX)
 
 
-def clean(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned transactions; the joined rows are written once, so a query reads the facts once."""
-    return cleaning.remove_iqr_outliers(materialized(tx(spark, sf), "transactions"))
+def clean(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Cleaned transactions with region, price, area and ``columns`` (all if none are named).
+
+    The joined rows are written once, so a query reads the facts once, and only the columns it needs.
+    """
+    rows = tx(spark, sf)
+    if columns:
+        rows = rows.select(*dict.fromkeys(("region", "price", "area", *columns)))
+    return cleaning.remove_iqr_outliers(materialized(rows, "transactions"))
 
 
 def price_history(spark: SparkSession, sf: str) -> DataFrame:
-    return history.price_history(clean(spark, sf)).select("region", "station", "year", R.rounded(F.col("avg_price"), 2).alias("avg_price"))
+    return history.price_history(clean(spark, sf, "station", "transaction_year")).select("region", "station", "year", R.rounded(F.col("avg_price"), 2).alias("avg_price"))
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +72,7 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.build_category_dictionary(clean(spark, sf))
+    return cleaning.build_category_dictionary(clean(spark, sf, *CATEGORIES))
 
 
 def _experiments(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,8 +234,8 @@ def n15(spark, sf):
     return yes.select("request_id", F.lit(True).alias("accepted")).unionByName(no.select("request_id", F.lit(False).alias("accepted")))
 
 
-def _encoded(spark, sf):
-    rows = clean(spark, sf)
+def _encoded(spark, sf, *columns):
+    rows = clean(spark, sf, *columns)
     return cleaning.encode_categories(rows, cleaning.build_category_dictionary(rows))  # both read the written rows
 
 
@@ -247,7 +253,7 @@ def n16(spark, sf):
 
 @query("c01_remove_outliers", f"{_CLEAN} SELECT region, count(*) AS n, {_mean('price')} AS price, min(area) AS low, max(area) AS high FROM clean GROUP BY region")
 def c01(spark, sf):
-    return clean(spark, sf).groupBy("region").agg(F.count("*").alias("n"), R.exact_mean(F.col("price")).alias("price"), F.min("area").alias("low"), F.max("area").alias("high"))
+    return clean(spark, sf, "price").groupBy("region").agg(F.count("*").alias("n"), R.exact_mean(F.col("price")).alias("price"), F.min("area").alias("low"), F.max("area").alias("high"))
 
 
 @query("c02_category_dictionary", f"{_DICT} SELECT region, feature, value, id FROM dict")
@@ -257,12 +263,12 @@ def c02(spark, sf):
 
 @query("c03_encode_categories", f"{_DICT} SELECT t.region, l_orderkey, l_linenumber, l_partkey, l_suppkey, {_IDS} FROM clean t {_ID_JOINS}")
 def c03(spark, sf):
-    return _encoded(spark, sf).select("region", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[f"{c}_id" for c in CATEGORIES])
+    return _encoded(spark, sf, *CATEGORIES, *KEYS[:4]).select("region", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[f"{c}_id" for c in CATEGORIES])
 
 
 @query("c04_time_holdout", f"{_CLEAN} SELECT region, transaction_year >= {START} AND transaction_year < {TEST} AS is_train, transaction_year = {TEST} AS is_test, count(*) AS n FROM clean GROUP BY ALL")
 def c04(spark, sf):
-    return cleaning.time_holdout(clean(spark, sf), START, TEST).groupBy("region", "is_train", "is_test").agg(F.count("*").alias("n"))
+    return cleaning.time_holdout(clean(spark, sf, "transaction_year"), START, TEST).groupBy("region", "is_train", "is_test").agg(F.count("*").alias("n"))
 
 
 _ORDER = ", ".join(KEYS)
@@ -270,18 +276,18 @@ _ORDER = ", ".join(KEYS)
 
 @query("c05_positional_holdout", f"{_CLEAN}, o AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY {_ORDER}) AS r, count(*) OVER (PARTITION BY region) AS n FROM clean) SELECT region, {_ORDER}, r > n - greatest(1, floor(n * 0.2)) AS is_test FROM o")
 def c05(spark, sf):
-    return cleaning.positional_holdout(clean(spark, sf), KEYS).select("region", *KEYS, "is_test")
+    return cleaning.positional_holdout(clean(spark, sf, *KEYS), KEYS).select("region", *KEYS, "is_test")
 
 
 @query("c06_tuning_split", f"{_CLEAN} SELECT region, transaction_year < {VALIDATION} AS is_fit, transaction_year = {VALIDATION} AS is_valid, count(*) AS n FROM clean WHERE transaction_year >= {START} AND transaction_year < {TEST} GROUP BY ALL")
 def c06(spark, sf):
-    rows = cleaning.time_holdout(clean(spark, sf), START, TEST)
+    rows = cleaning.time_holdout(clean(spark, sf, "transaction_year", *KEYS), START, TEST)
     return cleaning.tuning_split(rows, VALIDATION, KEYS).groupBy("region", "is_fit", "is_valid").agg(F.count("*").alias("n"))
 
 
 @query("c07_deployment_window", f"{_CLEAN} SELECT region, transaction_year, count(*) AS n FROM clean WHERE transaction_year BETWEEN {START} AND {TEST} GROUP BY ALL")
 def c07(spark, sf):
-    return cleaning.deployment_window(clean(spark, sf), START, TEST).groupBy("region", "transaction_year").agg(F.count("*").alias("n"))
+    return cleaning.deployment_window(clean(spark, sf, "transaction_year"), START, TEST).groupBy("region", "transaction_year").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------ joins and stations
@@ -372,7 +378,7 @@ query("a02_price_history", f"{_HISTORY} SELECT region, station, year, floor(avg_
 
 def _history(spark, sf):
     """One row a region, station and year, written once since its readers read it several times."""
-    return materialized(history.price_history(clean(spark, sf)), "history")
+    return materialized(history.price_history(clean(spark, sf, "station", "transaction_year")), "history")
 
 
 @query("a03_region_history", f"{_TREND} SELECT region, year, floor(avg_price * 100 + 0.5) / 100 AS avg_price FROM rhist")
@@ -385,7 +391,7 @@ scored AS (SELECT t.*, prediction FROM clean t JOIN model USING (region) WHERE t
 
 
 def _baseline(spark, sf):
-    rows = cleaning.time_holdout(clean(spark, sf), START, TEST)
+    rows = cleaning.time_holdout(clean(spark, sf, "transaction_year"), START, TEST)
     model = history.mean_model(rows.filter("is_train")).select("region", R.rounded(F.col("prediction"), 2).alias("prediction"))
     return rows.filter("is_test").join(model, "region")
 
@@ -397,7 +403,7 @@ def a04(spark, sf):
 
 @query("a05_counts", f"{_CLEAN} SELECT region, count(*) AS records, count_if(transaction_year >= {START} AND transaction_year < {TEST}) AS train, count_if(transaction_year = {TEST}) AS test, count_if(transaction_year BETWEEN {START} AND {TEST}) AS deploy FROM clean GROUP BY region")
 def a05(spark, sf):
-    rows = cleaning.time_holdout(clean(spark, sf), START, TEST)
+    rows = cleaning.time_holdout(clean(spark, sf, "transaction_year"), START, TEST)
     return rows.groupBy("region").agg(F.count("*").alias("records"), F.count_if("is_train").alias("train"), F.count_if("is_test").alias("test"), F.count_if(F.col("transaction_year").between(START, TEST)).alias("deploy"))
 
 
@@ -409,7 +415,7 @@ def a06(spark, sf):
 
 @query("a07_mean_model", f"{_MODEL} SELECT region, prediction FROM model")
 def a07(spark, sf):
-    rows = cleaning.time_holdout(clean(spark, sf), START, TEST)
+    rows = cleaning.time_holdout(clean(spark, sf, "transaction_year"), START, TEST)
     return history.mean_model(rows.filter("is_train")).select("region", R.rounded(F.col("prediction"), 2).alias("prediction"))
 
 
@@ -509,7 +515,7 @@ def w07(spark, sf):
 
 @query("m13_expanding_folds", f"{_CLEAN}, folds AS (SELECT t.*, f.fold FROM clean t, (SELECT unnest([1999, 2000, 2001]) AS fold) f), fm AS (SELECT region, fold, floor({_mean('price')} * 100 + 0.5) / 100 AS prediction FROM folds WHERE transaction_year >= {START} AND transaction_year < fold GROUP BY ALL) SELECT region, fold, round(avg(abs(price - prediction)), 1) AS mae, count(*) AS n FROM folds JOIN fm USING (region, fold) WHERE transaction_year = fold GROUP BY ALL")
 def m13(spark, sf):
-    rows = cleaning.expanding_folds(clean(spark, sf), START, 1999, 2001)
+    rows = cleaning.expanding_folds(clean(spark, sf, "transaction_year"), START, 1999, 2001)
     models = rows.filter("is_train").groupBy("region", "fold").agg(R.rounded(R.exact_mean(F.col("price")), 2).alias("prediction"))
     test = rows.filter("is_test").join(models, ["region", "fold"])
     return test.groupBy("region", "fold").agg(F.round(F.avg(F.abs(F.col("price") - F.col("prediction"))), 1).alias("mae"), F.count("*").alias("n"))
@@ -709,7 +715,8 @@ def _regional(spark, sf):
     """Encoded rows with their holdout marks, written once by region, and the sizes of each region that has training rows."""
     marked = cleaning.time_holdout(_encoded(spark, sf), START, TEST)
     path = sources.scratch(spark, "regional")
-    marked.write.partitionBy("region").parquet(path)
+    # files of an even size within a region: a tree's levels are a short job each, with a task a file
+    marked.hint("rebalance", "region").write.partitionBy("region").parquet(path)
     rows = spark.read.schema(marked.schema).parquet(path)
     sizes = training.sizes_by_region(_dictionary(spark, sf))
     fitted = [r[0] for r in rows.filter(F.col("is_train") & F.col("region").isNotNull()).select("region").distinct().orderBy("region").collect()]

@@ -125,7 +125,7 @@ FROM c JOIN errors USING (region)""",
 )
 def k04_round_trip(spark, sf):
     """Every field of the document, written as JSON and read back; absent ones are null."""
-    rows = materialized(C.clean(spark, sf), "clean")
+    rows = materialized(C.clean(spark, sf, "transaction_year", "station", *C.CATEGORIES), "clean")
     path = sources.scratch(spark, "metadata")
     metadata.write_metadata(_documents(rows, stumps(rows.filter(_WHERE_TRAIN))), path)
     return metadata.read_metadata(spark, path).selectExpr(*[f"{e} AS {n}" for n, e in _FLAT.items()])
@@ -154,7 +154,7 @@ def k07(spark, sf):
 
     The second run makes no history, so that of the first stays.
     """
-    rows = materialized(C.clean(spark, sf), "clean")
+    rows = materialized(C.clean(spark, sf, "transaction_year", "station", *C.CATEGORIES), "clean")
     root = sources.scratch(spark, "published")
     log = Log(spark, f"{root}/log", registry.MODELS, "model_key")
     for run, test in _RUNS:
@@ -203,7 +203,7 @@ b AS (SELECT r.request_id, r.region, coalesce(d.id, 0) AS station_id, CASE WHEN
 @query("j07_m06_requests_by_region", f"{_J07} SELECT request_id, region, station_id, price AS prediction, floor(trend * 100 + 0.5) / 100 AS trend, round(CASE WHEN area > 0 THEN price / area ELSE 0 END, 4) AS unit_price, round(greatest(0, price - mae), 1) AS lower, round(price + mae, 1) AS upper FROM b")
 def j07_requests(spark, sf):
     """Requests joined to the model, dictionary, metadata and history of their region, in one scan of the requests."""
-    rows = materialized(C.clean(spark, sf), "clean")
+    rows = materialized(C.clean(spark, sf, "transaction_year", "station", *C.CATEGORIES), "clean")
     nodes = materialized(stumps(rows.filter(_WHERE_TRAIN)), "nodes")
     past = materialized(history.price_history(rows), "history")
     docs = materialized(_documents(rows, nodes), "documents")
