@@ -44,6 +44,8 @@ PIVOT_CHARS = 4000
 #: they are joined with salted hosts.
 BROADCAST_BYTES = 32 << 20
 SALT_PAGES = 2000
+#: Cells of a grid of children that is kept whole.
+SMALL_GRID = 4000
 
 # Names of HTML elements and the class words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -245,14 +247,30 @@ class Aligner:
                 if open_:
                     todo += open_
                     continue
-                row, _ = self._first_row(x, y)
-                weights = self._weights(x, y)
-                for child in x.children:
-                    row = self._next_row(row, weights[child.shape])
+                if len(x.children) * len(y.children) <= SMALL_GRID:
+                    row = self._grid(x, y)[-1]
+                else:
+                    row, _ = self._first_row(x, y)
+                    weights = self._weights(x, y)
+                    for child in x.children:
+                        row = self._next_row(row, weights[child.shape])
                 self.sizes[x.shape, y.shape] = 1 + int(row[-1])
             todo.pop()
         return self._known(a, b)
 
+    def _grid(self, a: Node, b: Node) -> list[list[int]]:
+        """All rows of a small grid."""
+        rows = [[0] * (len(b.children) + 1)]
+        for x in a.children:
+            last, row = rows[-1], [0]
+            for j, y in enumerate(b.children):
+                best = last[j + 1] if last[j + 1] >= row[j] else row[j]
+                if x.tag == y.tag and (both := last[j] + self._known(x, y)) > best:
+                    best = both
+                row.append(best)
+            rows.append(row)
+        return rows
+
     def _first_row(self, a: Node, b: Node) -> tuple[np.ndarray, int]:
         """Row 0 of the grid of a pair's children, and the distance of rows that are kept for the way back."""
         return np.zeros(len(b.children) + 1, np.int64), math.isqrt(len(a.children)) + 1
@@ -277,18 +295,19 @@ class Aligner:
         Every so many rows of the grid are kept and those between computed again on the
         way back, so wide nodes take memory by the square root of their width.
         """
-        weights = self._weights(a, b)
-        row, step = self._first_row(a, b)
-        kept = [row]
-        for k, x in enumerate(a.children, 1):
-            row = self._next_row(row, weights[x.shape])
-            if k % step == 0:
-                kept.append(row)
         i, j = len(a.children), len(b.children)
+        small = i * j <= SMALL_GRID
+        row, step = self._first_row(a, b)
+        if not small:
+            weights, kept = self._weights(a, b), [row]
+            for k, x in enumerate(a.children, 1):
+                row = self._next_row(row, weights[x.shape])
+                if k % step == 0:
+                    kept.append(row)
         while i and j:
-            base = (i - 1) // step * step
-            rows = [kept[base // step]]
-            for x in a.children[base:i]:
+            base = 0 if small else (i - 1) // step * step
+            rows = self._grid(a, b) if small else [kept[base // step]]
+            for x in () if small else a.children[base:i]:
                 rows.append(self._next_row(rows[-1], weights[x.shape]))
             while i > base and j:
                 here, above = rows[i - base], rows[i - base - 1]
