@@ -643,11 +643,21 @@ def _landed(spark, sf, encoding: str) -> str:
     return path
 
 
-def _renamed(spark, source: str, target: str, suffix: str) -> None:
-    """The files below a folder in another one, by numbers and with a suffix."""
-    for k, (path, _) in enumerate(stores.files(spark, [source])):
-        stores.move(spark, path, f"{target}/{k:06d}{suffix}")
-    stores.remove(spark, source)
+def _payloads(df: DataFrame, path: str) -> None:
+    """JSON records as payloads of the API, a list a batch of rows."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        task = TaskContext.get().partitionId()
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for k, batch in enumerate(batches):
+            with store.open_output_stream(f"{root}/{task:05d}-{k:05d}.json", compression=None) as out:
+                out.write(("[" + ",".join(batch["value"]) + "]").encode())
+        yield pd.DataFrame({"task": [task]})
+
+    df.mapInPandas(run, "task int").write.format("noop").mode("overwrite").save()
 
 
 def _zipped(df: DataFrame, path: str) -> None:
@@ -693,10 +703,7 @@ def r03(spark, sf):
         _csv_view(raw.filter("l_linenumber = 1")).write.option("header", True).option("encoding", sources.JAPANESE).csv(f"{root}/japanese")
     _csv_view(raw.filter("l_linenumber = 2")).write.option("header", True).csv(f"{root}/plain")
     _zipped(_csv_view(raw.filter("l_linenumber = 3")), f"{root}/archives")
-    body = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(_record("district"))), ","), F.lit("]"))
-    lists = raw.filter("l_linenumber > 3").groupBy("l_suppkey", F.pmod(F.xxhash64("l_orderkey"), F.lit(8)).alias("k")).agg(body.alias("value"))
-    lists.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/text")
-    _renamed(spark, f"{root}/text", f"{root}/api", ".json")
+    _payloads(raw.filter("l_linenumber > 3").select(F.to_json(_record("district")).alias("value")), f"{root}/api")
     df = normalize.require(sources.read_transactions(spark, [root]))
     return df.groupBy(F.coalesce("prefecture", F.lit("")).alias("prefecture"), F.coalesce("station", F.lit("district")).alias("station")).agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.count("age").alias("aged"), F.sum("area").alias("area"), F.sum("station_distance").alias("walk"))
 
