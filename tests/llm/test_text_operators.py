@@ -124,17 +124,30 @@ def test_band_rejects_labelled_junk_and_keeps_clean_texts(spark):
     assert np.mean([r.perplexity_unseen > r.perplexity for r in rows]) > 0.95  # a text adds to its own grams
 
 
-def test_shards_of_a_model_score_alike(spark):
+@pytest.mark.parametrize("held", [1, 2000, 10**9])
+def test_shards_of_a_model_score_alike(spark, held):
     texts = [sentence(k, 30) for k in range(8)] + ["".join(chr(0x4E00 + (k * 37 + j * j) % 9000) for j in range(9000)) for k in range(2)] + [None, "", "\U0001f600 \u1234\u1234"]
-    df = spark.createDataFrame([(k, t, "en" if k % 2 else None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    texts += ["".join("e" if j % 2 else chr(0x3400 + (k * 91 + j * j) % 6000) for j in range(20_000)) for k in range(2)]  # one character in half of the places
+    df = spark.createDataFrame([(k, t, "en" if k % 2 else None, k) for k, t in enumerate(texts)], "doc_id long, text string, lang string, q_n_words long")
     one, many = (quality.fit(df, whole=True, shard_grams=n) for n in (10**9, 4000))
-    assert one.shards == 1 and many.shards > 2
+    many.held_chars = held
+    filed = many.source()
+    assert one.shards == 1 and many.shards > 20
+    largest = max(sum(len(keys) for keys, _ in filed._parts(quality.WHOLE, k)) for k in range(many.shards))
+    assert largest < 1.2 * 4000  # no shard is larger, however many grams share a character
     a, b = ({r.doc_id: r for r in quality.score(df, m).collect()} for m in (one, many))
+    assert len(a) == len(b) == len(texts)
     for k in a:
         for c in ("log_perplexity", "unseen_perplexity"):
             assert a[k][c] == b[k][c] is None or a[k][c] == pytest.approx(b[k][c], rel=1e-9)
 
 
+def test_quality_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(k, sentence(k, 40), "en", k) for k in range(40)], "doc_id long, text string, lang string, q_n_words long")
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and kept.count() > 20 and all(r.q_n_words == r.doc_id for r in kept.collect())
+
+
 def test_band_rejects_on_both_sides(spark):
     rng = np.random.default_rng(11)
     plain = [sentence(k, 60) for k in range(240)]

@@ -5,9 +5,10 @@ every text in Spark; lower orders use continuation counts. Words of the corpora
 this runs on are open-ended, so word n-grams would move more bytes than the texts
 themselves, while character n-grams saturate and combine before the shuffle. The
 model is one sorted array of 64-bit hashes of all grams, found by bisection, beside
-their values; it grows with the corpus. Beyond SHARD_GRAMS it is cut into shards by
-the last but one character, which all the grams looked up for one character share,
-and the texts are scored shard after shard.
+their values; it grows with the corpus. Up to SHARD_GRAMS it is broadcast. Beyond, it is
+cut by the hashes into files of that size in the shared folder, however the grams are
+dealt over characters: a task gathers the grams of some texts, reads the files one after
+another, keeps what it asked for, and scores. Texts are read once and never rewritten.
 
 The band judges a text by a model that has not counted it: the texts are dealt into
 two halves by a hash of the text, so exact copies share one, and each is scored by
@@ -21,6 +22,7 @@ in windows; repeated rows are scored alike; further columns pass through.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,12 +30,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tochi.llm.common import grouped, mix, saved, small_batches, spare_name, table, texts_of, with_columns
+from tochi.llm.common import grouped, mix, saved, shared_dir, small_batches, spare_name, table, texts_of, with_columns
 
 ORDER = 5
 #: Bits of one character; an n-gram is two longs, its last three characters and those before.
@@ -41,8 +42,10 @@ SYMBOL_BITS = 21
 SYMBOL_MASK = (1 << SYMBOL_BITS) - 1
 #: The mass of characters that no text has is dealt over this many.
 VOCABULARY = 4096
-#: Grams of one shard of a model, 12 bytes each; a shard is broadcast at a time.
+#: Grams of one shard of a model, 12 bytes each; a task holds one at a time.
 SHARD_GRAMS = 8_000_000
+#: Characters whose grams a task gathers before it reads the shards once.
+HELD_CHARS = 16 << 20
 #: Languages whose discounts are broadcast.
 BROADCAST_LANGUAGES = 100_000
 #: Distinct n-grams a counting task holds before it emits what it has.
@@ -316,11 +319,6 @@ def _keys(level: int, lang: str, high: np.ndarray, low: np.ndarray) -> np.ndarra
     return mix(mix(mix(np.array([seed]))[0] ^ high.astype(np.uint64)) ^ low.astype(np.uint64))
 
 
-def _shard(symbol: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of grams by their last but one character, the last of contexts."""
-    return (mix(symbol.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-
-
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         level, lang, high, low = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
@@ -329,10 +327,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lg in set(lang[level == lv]):
                 rows = (level == lv) & (lang == lg)
                 key[rows] = _keys(int(lv), lg, high[rows], low[rows])
-        # what a character's grams share; unigrams and the level below are in every shard
-        symbol = np.where(level > 1, low >> np.int64(SYMBOL_BITS), low) & np.int64(SYMBOL_MASK)
-        symbol = np.where((level == 0) | (level == 1), -1, symbol)
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(key.view(np.int64)), pa.array(symbol), batch.column(5).cast(pa.float32())], names=["part", "key", "symbol", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(key.view(np.int64)), batch.column(5).cast(pa.float32())], names=["part", "key", "value"])
 
 
 @dataclass
@@ -377,24 +372,104 @@ class HashedModel:
 WHOLE = "*"
 
 
+@dataclass
+class Asked:
+    """Grams of some texts of one language and half; ``rows`` numbers the texts in their batch."""
+
+    lang: str
+    half: int
+    rows: np.ndarray
+    grams: Grams
+
+    def keys(self) -> np.ndarray:
+        """The hashes of all grams and contexts that a model may be asked for."""
+        nothing = np.zeros(1, np.int64)
+        found = [_keys(0, self.lang, nothing, nothing)]
+        for n in range(1, ORDER + 1):
+            found.append(np.unique(_keys(n, self.lang, *self.grams.packed(n))))
+            if n < ORDER:
+                found.append(np.unique(_keys(-n, self.lang, *self.grams.packed(n, context=True))))
+        return np.concatenate(found)
+
+    def asks(self, name: str) -> bool:
+        """Whether the model of that name scores these texts: all texts', or the other half's."""
+        return name in (WHOLE, str(1 - self.half))
+
+
+class Resident:
+    """Models that fit into one broadcast."""
+
+    held_chars = 0
+
+    def __init__(self, spark: SparkSession, models: dict[str, HashedModel]) -> None:
+        self.models = spark.sparkContext.broadcast(models)
+
+    def answers(self, asked: list[Asked]) -> dict[str, HashedModel]:
+        return self.models.value
+
+
+@dataclass
+class Filed:
+    """Models in files by shard; what is asked for is picked out of one shard after another."""
+
+    path: str
+    names: tuple[str, ...]
+    shards: int
+    held_chars: int
+
+    def answers(self, asked: list[Asked]) -> dict[str, HashedModel]:
+        """The models cut down to the grams that are asked for."""
+        out = {}
+        for name in self.names:
+            wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *(a.keys() for a in asked if a.asks(name))]))
+            shard, found = wanted.view(np.int64) % np.int64(self.shards), np.zeros(len(wanted), bool)
+            values = np.zeros(len(wanted), np.float32)
+            for k in np.unique(shard):
+                own = np.flatnonzero(shard == k)
+                for keys, held in self._parts(name, int(k)):
+                    at = np.minimum(np.searchsorted(wanted[own], keys), len(own) - 1)
+                    hit = wanted[own[at]] == keys
+                    found[own[at[hit]]], values[own[at[hit]]] = True, held[hit]
+            out[name] = HashedModel(wanted[found], values[found])
+        return out
+
+    def _parts(self, name: str, shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hashes and values of a shard, a row group of its files at a time."""
+        from pyarrow import fs, parquet
+
+        store, root = fs.FileSystem.from_uri(self.path)
+        folder = f"{root}/model={'all' if name == WHOLE else name}/shard={shard}"
+        for info in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with store.open_input_file(info.path) as file:
+                    for rows in parquet.ParquetFile(file).iter_batches(1 << 20, columns=["key", "value"]):
+                        yield rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+
+
 class Model:
     """The models of the halves (and of all texts), as one saved table of hashed grams."""
 
-    def __init__(self, rows: DataFrame, names: tuple[str, ...], shards: int) -> None:
-        self.rows, self.names, self.shards = rows, names, shards
-
-    def shard(self, k: int) -> Broadcast:
-        """{name: HashedModel} of one shard, broadcast; at most about SHARD_GRAMS grams of each."""
-        own = F.col("symbol").isin(-1) if self.shards > 1 else F.lit(True)
-        if self.shards > 1:
-            own = own | (F.col("shard") == k)
-        models = {}
-        for name in self.names:  # one at a time: the driver never holds them as rows together
-            got = self.rows.filter((F.col("part") == name) & own).select("key", "value").toArrow()
-            key = got.column(0).to_numpy().view(np.uint64)
-            order = np.argsort(key)
-            models[name] = HashedModel(key[order], got.column(1).to_numpy()[order])
-        return self.rows.sparkSession.sparkContext.broadcast(models)
+    def __init__(self, rows: DataFrame, names: tuple[str, ...], shards: int, held_chars: int = HELD_CHARS) -> None:
+        self.rows, self.names, self.shards, self.held_chars = rows, names, shards, held_chars
+
+    def source(self) -> Resident | Filed:
+        """What tasks look grams up in: a broadcast for one shard, files in the shared folder for more."""
+        spark = self.rows.sparkSession
+        if self.shards == 1:
+            models = {}
+            for name in self.names:  # one at a time: the driver never holds them as rows together
+                got = self.rows.filter(F.col("part") == name).select("key", "value").toArrow()
+                key = got.column(0).to_numpy().view(np.uint64)
+                order = np.argsort(key)
+                models[name] = HashedModel(key[order], got.column(1).to_numpy()[order])
+            return Resident(spark, models)
+        path = f"{shared_dir(spark)}/kn-shards-{uuid.uuid4().hex}"
+        model = F.when(F.col("part") == WHOLE, "all").otherwise(F.col("part"))
+        rows = self.rows.select("key", "value", model.alias("model"), F.pmod("key", F.lit(self.shards)).alias("shard"))
+        rows.repartition("model", "shard").sortWithinPartitions("model", "shard", "key").write.partitionBy("model", "shard").parquet(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        qualified = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        return Filed(re.sub("^file:/*", "file:///", qualified), self.names, self.shards, self.held_chars)
 
 
 def fit(docs: DataFrame, whole: bool = False, shard_grams: int = SHARD_GRAMS) -> Model:
@@ -404,19 +479,9 @@ def fit(docs: DataFrame, whole: bool = False, shard_grams: int = SHARD_GRAMS) ->
         both = top.groupBy(F.concat(F.lit(WHOLE), F.substr("lang", F.lit(2))).alias("lang"), "high", "low").agg(F.sum("n").alias("n"))
         top = saved(top.unionByName(both), "kn-counts5-all")
     rows = kneser_ney(top).select("level", F.substring("lang", 1, 1).alias("part"), F.substr("lang", F.lit(2)).alias("lang"), "high", "low", "value")
-    rows = saved(rows.mapInArrow(_key_batches, "part string, key long, symbol long, value float"), "kn-model")
+    rows = saved(rows.mapInArrow(_key_batches, "part string, key long, value float"), "kn-model")
     most = rows.groupBy("part").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    shards = 1
-    if most > shard_grams:
-        # a shard holds whole characters: the fewest shards of which none is too large, as far as characters allow
-        sizes = {r[0]: r[1] for r in rows.filter("symbol >= 0").groupBy("part", "symbol").agg(F.count("*").alias("n")).groupBy("symbol").agg(F.max("n")).collect()}  # one number a character
-        names, counts = np.array(list(sizes)), np.array(list(sizes.values()))
-        shards = -(-most // shard_grams)
-        while np.bincount(_shard(names, shards), counts).max() > max(shard_grams, counts.max()):
-            shards += 1
-        places = docs.sparkSession.createDataFrame([(int(x), int(k)) for x, k in zip(names, _shard(names, shards))], "symbol long, shard long")
-        rows = rows.join(F.broadcast(places), "symbol", "left")
-    return Model(rows, ("0", "1", WHOLE) if whole else ("0", "1"), shards)
+    return Model(rows, ("0", "1", WHOLE) if whole else ("0", "1"), max(1, -(-most // shard_grams)))
 
 
 # ---------------------------------------------------------------- scoring
@@ -435,50 +500,69 @@ def score(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     half = spare_name(docs.columns, "half")
-    sums = [spare_name(docs.columns, x) for x in ("sum_all", "sum_unseen", "sum_seen")]
-    docs = docs.withColumns({half: half_of(F.col("text")), **{x: F.lit(0.0) for x in sums}})
-    for k in range(model.shards):
-        docs = _summed(docs, model.shard(k), half, sums, k, model.shards)
-        if model.shards > 1:
-            docs = saved(docs, "kn-sums")
-    at = docs.columns.index("text")
-    fields = [T.StructField(prefix + c, T.LongType()) for c in _COUNTS] + [T.StructField(prefix + "base_failed", T.BooleanType())]
+    docs = docs.withColumn(half, half_of(F.col("text")))
+    at = [docs.columns.index(c) for c in ("text", "lang", half)]
+    source, whole = model.source(), WHOLE in model.names
+    logs = [prefix + c for c in _LOGS]
+    fields = [*(T.StructField(prefix + c, T.LongType()) for c in _COUNTS), T.StructField(prefix + "base_failed", T.BooleanType()), *(T.StructField(c, T.DoubleType()) for c in logs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = np.array([base_counts(t) for t in texts_of(batch.column(at))], np.int64).reshape(-1, len(_COUNTS))
-            failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
-            yield with_columns(batch, [*((prefix + c, pa.array(counts[:, k])) for k, c in enumerate(_COUNTS)), (prefix + "base_failed", pa.array(failed))])
-
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
-    logs = {prefix + c: F.when(F.col(sums[2]) > 0, -F.col(x) / F.col(sums[2])) for c, x in zip(_LOGS, sums)}
-    if WHOLE not in model.names:
-        logs[prefix + _LOGS[0]] = F.lit(None).cast("double")
-    return out.withColumns(logs).drop(half, *sums)
-
-
-def _summed(docs: DataFrame, model: Broadcast, half: str, sums: list[str], shard: int, shards: int) -> DataFrame:
-    """``docs`` with the log probabilities of the characters of one shard, and their number, added to ``sums``."""
-    at = {c: docs.columns.index(c) for c in ("text", "lang", half)}
-    places = [docs.columns.index(x) for x in sums]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = model.value
-        for batch in batches:
-            texts, langs = texts_of(batch.column(at["text"])), batch.column(at["lang"]).to_pylist()
-            total = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in places]).copy()
-            for (lang, half_no), rows in _by_language(langs, batch.column(at[half]).to_pylist()).items():
-                where = np.array(rows)
-                for grams in _windows([texts[i] for i in rows]):
-                    mine = np.ones(len(grams.symbols)) if shards == 1 else (_shard(grams.symbols[:, ORDER - 2], shards) == shard).astype(float)
-                    for k, by in enumerate((models.get(WHOLE), models[str(1 - half_no)])):
-                        if by is not None:
-                            total[k, where] += np.bincount(grams.owner, (by.log_p(lang, grams) * mine)[grams.where], len(rows))
-                    total[2, where] += np.bincount(grams.owner, mine[grams.where], len(rows))
-            columns = [pa.array(total[places.index(k)]) if k in places else batch.column(k) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+        for group in _gathered(batches, at[0], source.held_chars):
+            texts = [t for batch in group for t in texts_of(batch.column(at[0]))]
+            langs, halves = ([x for batch in group for x in batch.column(k).to_pylist()] for k in at[1:])
+            sums = _log_sums(texts, langs, halves, source)
+            begin = 0
+            for batch in group:
+                rows = slice(begin, begin + batch.num_rows)
+                begin = rows.stop
+                counts = np.array([base_counts(t) for t in texts[rows]], np.int64).reshape(-1, len(_COUNTS))
+                failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
+                none = sums[2, rows] == 0
+                means = (pa.array(-sums[k, rows] / np.maximum(sums[2, rows], 1), mask=none | (k == 0 and not whole)) for k in range(2))
+                yield with_columns(batch, [*((prefix + c, pa.array(counts[:, k])) for k, c in enumerate(_COUNTS)), (prefix + "base_failed", pa.array(failed)), *zip(logs, means)])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields])).drop(half)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], text: int, chars: int) -> Iterator[list[pa.RecordBatch]]:
+    """Consecutive batches with texts of at least ``chars`` bytes together."""
+    group: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.column(text).nbytes
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _log_sums(texts: list[str], langs: list[str | None], halves: list[int], source: Resident | Filed) -> np.ndarray:
+    """Of each text the log probability by the model of all texts and by that of the other half, and its characters."""
+    total = np.zeros((3, len(texts)))
+    asked: list[Asked] = []
+    held = 0
+
+    def answer() -> None:
+        models = source.answers(asked)
+        for a in asked:
+            for k, by in enumerate((models.get(WHOLE), models[str(1 - a.half)])):
+                if by is not None:
+                    total[k, a.rows] += np.bincount(a.grams.owner, by.log_p(a.lang, a.grams)[a.grams.where], len(a.rows))
+            total[2, a.rows] += np.bincount(a.grams.owner, minlength=len(a.rows))
+        asked.clear()
+
+    for (lang, half), rows in _by_language(langs, halves).items():
+        for grams in _windows([texts[i] for i in rows]):
+            asked.append(Asked(lang, half, np.array(rows), Grams(grams.symbols, grams.where.astype(np.int32), grams.owner.astype(np.int32))))
+            held += len(grams.owner)
+            if held >= source.held_chars:
+                answer()
+                held = 0
+    if asked:
+        answer()
+    return total
 
 
 def bands(scored: DataFrame, prefix: str = "") -> DataFrame:
@@ -516,7 +600,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that the rules reject."""
     model = fit(docs.select("text", "lang"))
     names = docs.columns
-    prefix = spare_name(names, "q_") if any(c.startswith("q_") for c in names) else "q_"
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in names):
+        prefix = "_" + prefix
     scored = score(docs, model, prefix)
     kept = judge(scored, saved(bands(scored, prefix), "kn-bands"), prefix)
     return kept.filter(F.col(prefix + "kept")).select(*names)
