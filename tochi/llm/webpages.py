@@ -1,11 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-One page of each host is its pivot. Every other page of the host is parsed to a
+The pages of a host are grouped by layout, the set of paths of their containers, and
+one page of each layout is its pivot. Every other page of the layout is parsed to a
 tree and aligned with the pivot by simple tree matching (Yang, 1991). Spark counts, at
-each slot of the pivot and over the different pages of the host, how many hold a text:
+each slot of the pivot and over the different pages of the layout, how many hold a text:
 a text that recurs at its slot on many of them is a constant node, which belongs to the
-template and goes; what varies there, and what the pivot lacks, is content and stays.
+template and goes; what varies there is content and stays. What the pivot lacks is
+placed by its path of tags and is template only if half of all different pages have it.
 Pages whose article is the same count once, so copies of one article make no template.
+Pages of rare layouts are aligned with the pivot of their host's most frequent one.
 
 Tags and class words are a prior. Elements that say by tag, class or id what they are
 (menus, adverts, forms, comments, ...) are never content, and where a page has an
@@ -13,7 +16,8 @@ Tags and class words are a prior. Elements that say by tag, class or id what the
 template only if nearly all articles of the host have it at that slot.
 
 Definitions for odd input: null html is an empty page with an empty text; a null or
-odd url is the host ``''``; repeated pages each give a row; elements may be nested to
+odd url is the host ``''``; fewer than SMALL_HOST different pages make no wrapper, which
+``wrapped`` tells, and keep what tags and class words leave; repeated pages each give a row; elements may be nested to
 any depth, and a page may be of any length.
 """
 
@@ -22,26 +26,32 @@ from __future__ import annotations
 import html as references
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tochi.llm.common import saved, small_batches, table
+from tochi.llm.common import saved, small_batches, table, with_facts
 
 #: A text is template at a slot if at least this many different pages have it there,
 #: and at least this share of those that fill the slot.
 LEAST_PAGES, TEMPLATE_SHARE = 5, 0.5
+#: Of fewer pages, at least this many, a text is template if all have it at its slot.
+SMALL_HOST = 3
 #: The same inside <article> or <main>, over different articles.
 LEAST_ARTICLES, ARTICLE_SHARE = 10, 0.9
-#: The pivot of a host is the page whose length is nearest to this.
+#: Pages that a layout needs for a pivot of its own, and the depth of its paths.
+LAYOUT_PAGES, LAYOUT_DEPTH = 10, 3
+#: The pivot of a layout is the page whose length is nearest to this.
 PIVOT_CHARS = 4000
-#: Pivots or wrappers of all hosts are broadcast up to this many bytes; beyond,
-#: they are joined with salted hosts.
+#: Pivots or wrappers of all layouts are broadcast up to this many bytes; beyond,
+#: they are joined with salted layouts.
 BROADCAST_BYTES = 32 << 20
 SALT_PAGES = 2000
 #: Cells of a grid of children that is kept whole.
@@ -61,6 +71,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^'\">]*(?:(?:\"[^\"]*\"|'[^']*')[^'\">]*)*)>", re.S)
 _names = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _word = re.compile(r"[a-z]+")
+_container = re.compile(r"<(/?)(article|aside|div|footer|form|header|main|nav|section|table)\b", re.I)
 
 
 class Node:
@@ -191,6 +202,38 @@ def _finish(root: Node, shapes: dict) -> None:
         node.shape = shapes.setdefault((node.tag, *[c.shape for c in kept]), len(shapes))
 
 
+def layout_of(page: str) -> int:
+    """A hash of the set of paths of containers, LAYOUT_DEPTH deep; never 0."""
+    paths: set[tuple[str, ...]] = set()
+    stack: list[str] = []
+    for m in _container.finditer(page):
+        tag = m[2].lower()
+        if not m[1]:
+            stack.append(tag)
+            if len(stack) <= LAYOUT_DEPTH:
+                paths.add(tuple(stack))
+        elif tag in stack[-8:]:  # an end tag out of order closes what was left open
+            while stack.pop() != tag:
+                pass
+    return 1 + zlib.crc32(" ".join(sorted("/".join(p) for p in paths)).encode())
+
+
+@F.pandas_udf(T.LongType())
+def _layout(pages: pd.Series) -> pd.Series:
+    return pages.fillna("").map(layout_of)
+
+
+def _place_rest(root: Node) -> None:
+    """Give the runs that the pivot lacks a negative slot by their path of tags."""
+    todo = [(root, 0)]
+    while todo:
+        node, path = todo.pop()
+        if node.tag != "#":
+            todo += [(c, zlib.crc32(c.tag.encode(), path)) for c in node.children]
+        elif node.slot < 0:
+            node.slot = -1 - path % (1 << 30)
+
+
 def _runs(root: Node) -> Iterator[Node]:
     todo = [root]
     while todo:
@@ -341,7 +384,7 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     aligners: dict[tuple[str, int], Aligner] = {}
     kind = pa.list_(pa.struct([("slot", pa.int32()), ("inside", pa.bool_()), ("text", pa.string())]))
     for batch in batches:
-        hosts, pivots, pages = (batch.column(k).to_pylist() for k in (2, 3, 4))
+        hosts, pivots, pages = (batch.column(k).to_pylist() for k in (2, 4, 5))
         out = []
         for host, pivot, page in zip(hosts, pivots, pages):
             key = (host, hash(pivot))
@@ -349,9 +392,11 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if len(aligners) >= 200:
                     aligners.clear()
                 aligners[key] = Aligner(pivot or "")
-            runs = [r for r in _runs(aligners[key].align(page or "")) if not r.chrome]
+            root = aligners[key].align(page or "")
+            _place_rest(root)
+            runs = [r for r in _runs(root) if not r.chrome]
             out.append([{"slot": r.slot, "inside": r.inside, "text": r.text[0]} for r in runs])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, kind)], names=["page_id", "url", "host", "blocks"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, kind)], names=["page_id", "url", *WRAPPER, "blocks"])
 
 
 def host_of(url: Column) -> Column:
@@ -359,55 +404,88 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def by_host(rows: DataFrame, facts: DataFrame, size: Column) -> DataFrame:
-    """``rows`` left-joined with one fact row per host: broadcast if small, else dealt by salts.
+#: What pages share a wrapper by.
+WRAPPER = ["host", "layout"]
 
-    A host has a salt for every SALT_PAGES of its pages, so a large one is many tasks.
+
+def by_layout(rows: DataFrame, facts: DataFrame, size: Column) -> DataFrame:
+    """``rows`` left-joined with one fact row per layout of a host: broadcast if small, else dealt by salts.
+
+    A layout has a salt for every SALT_PAGES of its pages, so a large one is many tasks.
     """
     facts = saved(facts, "hosts")
     total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     if total <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(facts), "host", "left")
-    salts = F.ceil(F.col("host_pages") / SALT_PAGES)
-    large = F.broadcast(saved(facts.filter(salts > 1).select("host", salts.alias("_salts")), "hosts-large"))
-    salted = rows.join(large, "host", "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns[:2]), F.coalesce("_salts", F.lit(1).cast("long")))).drop("_salts")
+        return rows.join(F.broadcast(facts), WRAPPER, "left")
+    salts = F.ceil(F.col("pages") / SALT_PAGES)
+    large = F.broadcast(saved(facts.filter(salts > 1).select(*WRAPPER, salts.alias("_salts")), "hosts-large"))
+    salted = rows.join(large, WRAPPER, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns[:2]), F.coalesce("_salts", F.lit(1).cast("long")))).drop("_salts")
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    return salted.join(spread, ["host", "_salt"], "left").drop("_salt")
+    return salted.join(spread, [*WRAPPER, "_salt"], "left").drop("_salt")
+
 
+def with_layout(pages: DataFrame) -> DataFrame:
+    """``pages`` (with host, html) with layout, 0 for the most frequent of a host and those too rare, and its ``main``.
 
-def template_texts(blocks: DataFrame) -> DataFrame:
-    """(host, slot, text_hash) of the texts that belong to a host's template; see the module."""
+    ``main`` is false on the pages of rare layouts: none of them is a pivot.
+    """
+    pages = pages.withColumn("found", _layout("html"))
+    sizes = saved(pages.groupBy("host", "found").agg(F.count("*").alias("n")), "web-layouts")
+    tops = sizes.groupBy("host").agg(F.max_by("found", F.struct("n", "found")).alias("top"), F.count("*").alias("layouts"))
+    first = F.col("found") == F.col("top")
+    chosen = sizes.join(tops.filter("layouts > 1"), "host").filter(first | (F.col("n") >= LAYOUT_PAGES))
+    chosen = saved(chosen.select("host", "found", "n", F.when(first, 0).otherwise(F.col("found")).cast("long").alias("layout")), "web-chosen")
+    placed = with_facts(pages, chosen, ["host", "found"], "n")
+    return placed.select(*(c for c in pages.columns if c != "found"), F.coalesce("layout", F.lit(0).cast("long")).alias("layout"), F.col("layout").isNotNull().alias("main"))
+
+
+def different_pages(blocks: DataFrame) -> DataFrame:
+    """(host, layout, body, own): a row for each different article of a layout, with its places."""
     landmark = F.exists("blocks", lambda b: b["inside"])
     rows = blocks.withColumn("own", F.filter("blocks", lambda b: b["inside"] | ~landmark)).filter(F.size("own") > 0)
     body = F.xxhash64(F.transform("own", lambda b: b["text"]))
-    pages = rows.groupBy("host", body.alias("body")).agg(F.first(F.transform("own", lambda b: F.struct(b["slot"].alias("slot"), b["inside"].alias("inside"), F.xxhash64(b["text"]).alias("text_hash")))).alias("own"))
-    places = pages.select("host", "body", F.explode(F.array_distinct("own")).alias("b")).select("host", "body", "b.*").filter("slot >= 0")
-    texts = saved(places.groupBy("host", "slot", "inside", "text_hash").agg(F.count("*").alias("n")), "web-texts")
-    fill = texts.groupBy("host", "slot", "inside").agg(F.sum("n").alias("pages"))
-    often = texts.filter(F.col("n") >= LEAST_PAGES)
-    enough = F.when(F.col("inside"), (F.col("n") >= LEAST_ARTICLES) & (F.col("n") >= ARTICLE_SHARE * F.col("pages"))).otherwise(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
-    return often.join(fill, ["host", "slot", "inside"]).filter(enough).select("host", "slot", "text_hash")
+    place = F.transform("own", lambda b: F.struct(b["slot"].alias("slot"), b["inside"].alias("inside"), F.xxhash64(b["text"]).alias("text_hash")))
+    return rows.groupBy(*WRAPPER, body.alias("body")).agg(F.first(place).alias("own"))
+
+
+def wrappers(blocks: DataFrame) -> DataFrame:
+    """(host, layout, different, template): the different pages of a layout, and the template's (slot, text_hash)."""
+    pages = saved(different_pages(blocks), "web-pages")
+    sizes = pages.groupBy(*WRAPPER).agg(F.count("*").alias("different"))
+    places = pages.select(*WRAPPER, "body", F.explode(F.array_distinct("own")).alias("b")).select(*WRAPPER, "body", "b.*")
+    texts = saved(places.groupBy(*WRAPPER, "slot", "inside", "text_hash").agg(F.count("*").alias("n")), "web-texts")
+    fill = texts.filter("slot >= 0").groupBy(*WRAPPER, "slot", "inside").agg(F.sum("n").alias("filled"))
+    often = texts.filter(F.col("n") >= SMALL_HOST).join(fill, [*WRAPPER, "slot", "inside"], "left").join(sizes, WRAPPER)
+    n, of = F.col("n"), F.coalesce("filled", "different")
+    inside = (n >= LEAST_ARTICLES) & (n >= ARTICLE_SHARE * of)
+    outside = (n >= LEAST_PAGES) & (n >= TEMPLATE_SHARE * of) | (n == F.col("different"))
+    template = often.filter(F.when(F.col("inside"), inside).otherwise(outside)).groupBy(*WRAPPER).agg(F.collect_set(F.struct("slot", "text_hash")).alias("template"))
+    return sizes.join(template, WRAPPER, "left")
 
 
 def main_text(pages: DataFrame, landmarks: bool = True) -> DataFrame:
-    """page_id, url, text and n_chars of every page; without ``landmarks`` <article> and <main> say nothing."""
+    """page_id, url, text, n_chars and wrapped of every page; without ``landmarks`` <article> and <main> say nothing."""
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
+    pages = with_layout(pages)
     near = F.abs(F.length("html") - PIVOT_CHARS)
-    pivots = pages.filter(F.length("html") > 0).groupBy("host").agg(F.min_by("html", F.struct(near.alias("d"), F.xxhash64("html").alias("h"))).alias("pivot"), F.count("*").alias("host_pages"))
-    joined = by_host(pages, pivots, F.length("pivot") * 4).select("page_id", "url", "host", "pivot", "html")
-    blocks = joined.mapInArrow(_align_batches, T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", pages.schema["url"].dataType), T.StructField("host", T.StringType()), T.StructField("blocks", _BLOCKS)]))
+    order = F.struct((~F.col("main")).alias("rare"), near.alias("d"), F.xxhash64("html").alias("h"))
+    pivots = pages.filter(F.length("html") > 0).groupBy(*WRAPPER).agg(F.min_by("html", order).alias("pivot"), F.count("*").alias("pages"))
+    joined = by_layout(pages.drop("main"), pivots, F.length("pivot") * 4).select("page_id", "url", *WRAPPER, "pivot", "html")
+    kept = [T.StructField(c, pages.schema[c].dataType) for c in ("page_id", "url", *WRAPPER)]
+    blocks = joined.mapInArrow(_align_batches, T.StructType([*kept, T.StructField("blocks", _BLOCKS)]))
     if not landmarks:
         blocks = blocks.withColumn("blocks", F.transform("blocks", lambda b: b.withField("inside", F.lit(False))))
     blocks = saved(blocks, "web-blocks")
-    wrappers = template_texts(blocks).groupBy("host").agg(F.collect_set(F.struct("slot", "text_hash")).alias("template")).join(pivots.select("host", "host_pages"), "host")
-    out = by_host(blocks, wrappers, F.size("template") * 16 + 64)
+    found = wrappers(blocks).join(blocks.groupBy(*WRAPPER).agg(F.count("*").alias("pages")), WRAPPER)
+    out = by_layout(blocks, found, F.coalesce(F.size("template"), F.lit(0)) * 16 + 64)
     landmark = F.exists("blocks", lambda b: b["inside"])
     known = F.coalesce(F.col("template"), F.array().cast("array<struct<slot:int,text_hash:bigint>>"))
     constant = lambda b: F.array_contains(known, F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("text_hash")))
     chosen = F.filter("blocks", lambda b: (b["inside"] | ~landmark) & ~constant(b))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
-    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    wrapped = F.coalesce(F.col("different") >= SMALL_HOST, F.lit(False))
+    return out.select("page_id", "url", text.alias("text"), wrapped.alias("wrapped")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "wrapped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
