@@ -578,6 +578,18 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_embeddings(df.filter("false")).count() == 0
 
 
+def test_dense_cells_are_dealt_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(16)
+    close = centre + 0.003 * rng.standard_normal((300, 16))
+    far = rng.standard_normal((40, 16))
+    df = spark.createDataFrame([(k, list(map(float, v)), 1) for k, v in enumerate(np.vstack([close, far]))], "vec_id long, embedding array<double>, label int")
+    whole = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_embeddings(df).collect()}
+    monkeypatch.setattr(embeddings, "BLOCK_CLASSES", 20)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_embeddings(df).collect()} == whole
+    assert all(whole[k] == (299, 0, k == 0) for k in range(300)) and all(whole[k] == (0, k, True) for k in range(300, 340))
+
+
 def test_recall_at_the_least_cosine():
     rng = np.random.default_rng(6)
     for cosine, least in ((0.98, 0.995), (0.985, 0.999)):

@@ -27,6 +27,8 @@ from tochi.llm.common import mix, saved, small_batches, table, with_facts
 from tochi.llm.graph import components
 
 COSINE = 0.98
+#: Classes of one cell that meet in one task; a denser cell is dealt over blocks of so many.
+BLOCK_CLASSES = 1000
 TABLES, BLOCKS = 10, 2
 #: Lattice units per unit of a projected coordinate.
 SCALE = 0.75
@@ -151,8 +153,15 @@ def links(classes: DataFrame) -> DataFrame:
     small_batches(classes.sparkSession)
     spread = classes.select("c", "embedding").mapInArrow(_cell_batches, "c long, cell long, own boolean")
     spread = spread.join(classes.select("c", "label"), "c")
-    own = spread.filter("own").select(F.col("c").alias("x"), "label", "cell")
-    pairs = own.join(spread.select(F.col("c").alias("y"), "label", "cell"), ["label", "cell"]).filter("x <> y")
+    own = saved(spread.filter("own").select(F.col("c").alias("x"), "label", "cell"), "e8-own")
+    n = F.count("*")
+    dense = own.groupBy("label", "cell").agg(n.alias("n")).filter(F.col("n") > BLOCK_CLASSES)
+    dense = saved(dense.withColumn("blocks", F.ceil(F.col("n") / BLOCK_CLASSES)), "e8-dense")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    own = with_facts(own, dense, ["label", "cell"], "n").withColumn("block", F.pmod(F.xxhash64("x"), blocks)).select("x", "label", "cell", "block")
+    near = with_facts(spread.select(F.col("c").alias("y"), "label", "cell"), dense, ["label", "cell"], "n")
+    near = near.select("y", "label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    pairs = own.join(near, ["label", "cell", "block"]).filter("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left = classes.select(F.col("c").alias("a"), F.col("embedding").alias("e_a"))
     right = classes.select(F.col("c").alias("b"), F.col("embedding").alias("e_b"))
@@ -176,8 +185,8 @@ def near_embeddings(vectors: DataFrame) -> DataFrame:
     counts = both.join(copies.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
     labels = saved(components(found), "e8-labels").select(F.col("node").alias("c"), "component")
     groups = groups.join(labels, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    tops = groups.groupBy("component").agg(F.min("head").alias("top"))
-    groups = groups.join(tops, "component").join(counts.withColumnRenamed("a", "c"), "c", "left")
+    tops = saved(groups.groupBy("component").agg(F.min("head").alias("top"), F.count("*").alias("members")), "e8-tops")
+    groups = with_facts(groups, tops, "component", "members").join(counts.withColumnRenamed("a", "c"), "c", "left")
     groups = groups.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.col("top.id").alias("top_id"), F.lit(True).alias("placed"), "copies")
     out = with_facts(rows.select("vec_id", "k1", "k2"), saved(groups, "e8-facts"), ["k1", "k2"], "copies")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("placed"), F.col("top_id")).otherwise(F.col("vec_id")).alias("component_id"))
