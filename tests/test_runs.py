@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tochi import functions as R
 from tochi import sources
 from tochi.operators import features, forest, metadata, publishing, registry, stations, training
+from tochi.plans import catalogue
 from tochi.schema import CATEGORIES
 from tochi.sources import archives, stores
 from tochi.sources.log import Conflict, Log
@@ -279,6 +280,22 @@ def test_folders_are_expanded_by_suffix(spark, tmp_path):
     assert got == {"csv": ["a.CSV", "plain"], "zip": ["b.Zip"], "json": ["c.json"]}
 
 
+def test_payloads_of_the_api_are_as_many_as_batches_and_in_all_shapes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "scratch", lambda spark, label: f"{tmp_path}/{label}")
+    path = catalogue._wrapped(spark, "/root/testdata/sf0.001")
+    texts = [open(f"{path}/{n}").read() for n in os.listdir(path)]
+    assert {t[: t.index("[")] for t in texts} == {"", *(f'{{"{k}":' for k in sources.WRAPPERS)}
+    assert all(t.rstrip("}").endswith(',"not a record"]') for t in texts)
+    assert len(texts) < 50  # one file a supplier and line number was 70 here, and grew with the suppliers
+
+
+def test_records_of_payloads_are_maps_of_strings(spark, tmp_path):
+    for k, text in enumerate(('[{"a": "1", "b": null, "c": 2, "d": {"e": [1, "x"]}, "f": true}, 5, "no", null, [1]]', '{"items": [{"a": "2"}]}', '{"a": "3"}', '"no"', "[]", '{"data": [7]}')):
+        (tmp_path / f"{k}.json").write_text(text)
+    got = sorted((r.record for r in sources.read_api_json(spark, [str(tmp_path)]).collect()), key=lambda r: r["a"])
+    assert got == [{"a": "1", "b": None, "c": "2", "d": '{"e":[1,"x"]}', "f": "true"}, {"a": "2"}, {"a": "3"}]
+
+
 def test_landing_folders_with_and_without_quarters(spark, tmp_path):
     for place, text in {"tokyo/2020": "1\n2\n", "tokyo/2021/q1": "3\n", "tokyo/2021/q4": "4\n", "chi ba/year=2020": "5\n", "region=chiba/2019/2": "6\n"}.items():
         (tmp_path / place).mkdir(parents=True)

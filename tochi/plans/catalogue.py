@@ -613,19 +613,16 @@ def _record(district: str) -> Column:
 
 
 def _wrapped(spark, sf) -> str:
-    """API payloads of all rows: one file a supplier and wrapper, in five shapes."""
+    """API payloads of all rows, in five shapes, each with an entry that is no record."""
     path = sources.scratch(spark, "api")
-    body = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(_record("district"))), ","), F.lit(',"not a record"]'))
-    shape = F.element_at(F.array(*[F.lit(x) for x in ("", "data", "Data", "items", "results")]), (F.col("l_suppkey") % 5 + 1).cast("int"))
-    files = _raw(spark, sf).groupBy("l_suppkey", "l_linenumber").agg(body.alias("body"))
-    text = F.when(shape == "", F.col("body")).otherwise(F.concat(F.lit('{"'), shape, F.lit('":'), F.col("body"), F.lit("}")))
-    files.select(text.alias("value"), "l_suppkey").write.partitionBy("l_suppkey").option("maxRecordsPerFile", 1).text(path)
+    rows = _raw(spark, sf).select(F.to_json(_record("district")).alias("value"))
+    _payloads(rows, path, ("[{}]", *('{{"' + k + '":[{}]}}' for k in sources.WRAPPERS)), ',"not a record"')
     return path
 
 
 @query("r04_api_json", f"{_RAW}, p AS (SELECT {_num('raw_price')} AS price, {_num('raw_area')} AS area, {_AGE} AS age, CAST({_walk('raw_walk')} AS DOUBLE) AS station_distance, coalesce(nullif(raw_station, ''), 'district') AS station FROM raw) SELECT station, count(*) AS n, count(price) AS priced, count(age) AS aged, sum(area) AS area, sum(station_distance) AS walk FROM p GROUP BY ALL")
 def r04(spark, sf):
-    parsed = normalize.require(normalize.normalize_api(sources.read_api_json(spark, [_wrapped(spark, sf) + "/*"])))
+    parsed = normalize.require(normalize.normalize_api(sources.read_api_json(spark, [_wrapped(spark, sf)])))
     return parsed.groupBy("station").agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.count("age").alias("aged"), F.sum("area").alias("area"), F.sum("station_distance").alias("walk"))
 
 
@@ -643,8 +640,8 @@ def _landed(spark, sf, encoding: str) -> str:
     return path
 
 
-def _payloads(df: DataFrame, path: str) -> None:
-    """JSON records as payloads of the API, a list a batch of rows."""
+def _payloads(df: DataFrame, path: str, shapes: tuple[str, ...] = ("[{}]",), tail: str = "") -> None:
+    """JSON records as payloads of the API, a list a batch of rows; shapes take turns, the first batch of a task has them all."""
 
     def run(batches):
         from pyarrow import fs
@@ -652,9 +649,13 @@ def _payloads(df: DataFrame, path: str) -> None:
         task = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
+        n = 0
         for k, batch in enumerate(batches):
-            with store.open_output_stream(f"{root}/{task:05d}-{k:05d}.json", compression=None) as out:
-                out.write(("[" + ",".join(batch["value"]) + "]").encode())
+            records, parts = batch["value"].tolist(), 1 if k else len(shapes)
+            for own in filter(None, (records[i::parts] for i in range(parts))):
+                with store.open_output_stream(f"{root}/{task:05d}-{n:05d}.json", compression=None) as out:
+                    out.write(shapes[n % len(shapes)].format(",".join(own) + tail).encode())
+                n += 1
         yield pd.DataFrame({"task": [task]})
 
     df.mapInPandas(run, "task int").write.format("noop").mode("overwrite").save()
