@@ -211,6 +211,21 @@ def test_requests_without_a_model_go_and_odd_tables_are_refused(spark):
         forest.score(asked, nodes.filter("node <> 1"), ["x"], 1).collect()
 
 
+def test_equal_inputs_are_one_weighted_row_and_the_trees_are_the_same(spark, regional):
+    df, sizes = regional
+    rows = df.filter("region = 'c'").withColumn("age", F.lit(1.0)).withColumn("area", F.round(F.col("area") / 20) * 20)
+    own = training.weighted(rows)
+    assert own.count() < rows.count() and own.agg(F.sum("rows")).first()[0] == rows.count()
+    plain = training.pipeline(sizes["c"], maxIter=3).fit(training.nominal(rows, sizes["c"]))
+    model = training.train(rows, sizes["c"], maxIter=3)
+    assert model.stages[-1].getWeightCol() == "rows"
+    seen = [[r.prediction for r in m.transform(training.nominal(rows, sizes["c"])).orderBy("k").collect()] for m in (plain, model)]
+    assert seen[1] == pytest.approx(seen[0], rel=1e-9)
+    assert list(model.stages[-1].featureImportances.toArray()) == pytest.approx(list(plain.stages[-1].featureImportances.toArray()), abs=1e-9)
+    counted = training.train(rows, sizes["c"], maxIter=1, minInstancesPerNode=5)  # rows have to be counted there
+    assert not counted.stages[-1].isDefined("weightCol")
+
+
 def test_the_best_trial_does_not_depend_on_threads(spark, regional):
     df, sizes = regional
     frames = {r: df.filter(F.col("region") == r) for r in ("a/b", "c")}
