@@ -269,6 +269,17 @@ def test_files_are_told_apart_by_ranges(spark, tmp_path):
         assert got == {"a.csv": True, "b.csv": False, "c.csv": True, "d.csv": False, "sp ace+.csv": True}
 
 
+def test_transcoded_files_may_be_compressed(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(("種類,駅\n" + "土地,新宿\n" * 500).encode("cp932"))
+    sources.transcode_to_utf8(spark, [f"{tmp_path}/a.csv"], f"{tmp_path}/utf8", "gzip")
+    names = [n for n in os.listdir(f"{tmp_path}/utf8") if not n.startswith((".", "_"))]
+    assert names and all(n.endswith(".csv.gz") for n in names)
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/utf8")
+    assert {tuple(r) for r in rows.collect()} == {("土地", "新宿")} and rows.count() == 500
+    sources.transcode_to_utf8(spark, [f"{tmp_path}/a.csv"], f"{tmp_path}/plain")
+    assert "土地" in "".join(open(f"{tmp_path}/plain/{n}").read() for n in os.listdir(f"{tmp_path}/plain") if n.endswith(".csv"))
+
+
 def test_archives_of_different_columns(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(archives, "BLOCK", 64)
     with zipfile.ZipFile(tmp_path / "a.ZIP", "w", zipfile.ZIP_DEFLATED) as z:

@@ -712,7 +712,7 @@ def r03(spark, sf):
 @query("r02_transcode", f"{_RAW} SELECT raw_kind AS kind, count(*) AS n FROM raw GROUP BY ALL")
 def r02(spark, sf):
     target = sources.scratch(spark, "utf8")
-    sources.transcode_to_utf8(spark, [_landed(spark, sf, sources.JAPANESE)], target)
+    sources.transcode_to_utf8(spark, [_landed(spark, sf, sources.JAPANESE)], target, "gzip")
     return spark.read.option("header", True).csv(target).groupBy("種類").agg(F.count("*").alias("n")).withColumnRenamed("種類", "kind")
 
 

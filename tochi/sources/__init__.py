@@ -75,9 +75,9 @@ def read_transaction_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     return union_all(frames)
 
 
-def transcode_to_utf8(spark: SparkSession, paths: list[str], target: str) -> None:
-    """Write the rows of Shift_JIS (or UTF-8) files as UTF-8 CSV, in parallel by file."""
-    read_transaction_csv(spark, paths).write.mode("overwrite").option("header", True).csv(target)
+def transcode_to_utf8(spark: SparkSession, paths: list[str], target: str, compression: str = "none") -> None:
+    """Write the rows of Shift_JIS (or UTF-8) files as UTF-8 CSV, plain or compressed, in parallel by file."""
+    read_transaction_csv(spark, paths).write.mode("overwrite").option("header", True).option("compression", compression).csv(target)
 
 
 def read_api_json(spark: SparkSession, paths: list[str]) -> DataFrame:
