@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tochi import functions as R
 from tochi import sources
 from tochi.operators import features, forest, metadata, publishing, registry, stations, training
-from tochi.plans import catalogue
+from tochi.plans import catalogue, runs
 from tochi.schema import CATEGORIES
 from tochi.sources import archives, stores
 from tochi.sources.log import Conflict, Log
@@ -155,6 +155,15 @@ def test_documents_of_others_may_lack_fields_and_have_more(spark, tmp_path):
     assert (row.region, row.mae, row.tuning.enabled, row.tuning.nTrials, row.evaluation, row.featureImportance[0].feature, row.featureImportance[0].importance) == ("x", 5.0, True, None, None, "area", None)
 
 
+def test_documents_read_the_rows_no_more_once_regions_are_evaluated(spark, tmp_path):
+    rows = [("r", 50.0 + k, float(k), 1996 + k % 6) for k in range(60)]
+    spark.createDataFrame(rows, "region string, price double, area double, transaction_year int").write.parquet(f"{tmp_path}/facts")
+    facts = spark.read.parquet(f"{tmp_path}/facts")
+    docs = runs._documents(facts, runs.stumps(facts))
+    assert "/facts" not in docs._jdf.queryExecution().optimizedPlan().toString() and not any("/facts" in f for f in docs.inputFiles())
+    assert [(r.region, r.evaluation.trainCount, r.evaluation.testCount) for r in docs.collect()] == [("r", 50, 10)]
+
+
 def test_importance_is_listed_by_gain_then_by_order(spark, tmp_path):
     evaluated = spark.createDataFrame([("r", "time_holdout", 8, 2, 10, 1.0, 2.0, 3.0), ("s t/=", "single_year_holdout", 4, 1, 5, 1.5, 2.5, None)], "region string, split string, train long, test long, deploy long, mae double, rmse double, mape double")
     gains = spark.createDataFrame([("r", "age", 0.2), ("r", "area", 0.2), ("r", "station", 0.6)], "region string, feature string, importance double")

@@ -92,10 +92,11 @@ def _errors(scored):
 _SETTINGS = {"enabled": True, "n_trials": 30, "max_estimators": 20, "max_depth_max": 6, "size_penalty_per_iteration": 250.0}
 
 
-def _documents(rows, nodes, test=TEST):
+def _documents(rows, nodes, test=TEST, errors=None):
     """Documents of all regions; one region was not tuned, and numLeavesMax is no setting of these trees."""
     marked = cleaning.time_holdout(rows, START, test).withColumn("timed", F.lit(True))
-    evaluated = metadata.split_counts(marked, START, test).join(_errors(_predicted(marked.filter("is_test"), nodes)), "region")
+    errors = _errors(_predicted(marked.filter("is_test"), nodes)) if errors is None else errors
+    evaluated = materialized(metadata.split_counts(marked, START, test).join(errors, "region"), "evaluated")  # three parts of the documents read it
     share = F.when(F.col("feature") == "area", 1.0).otherwise(0.0)  # the only split
     importance = evaluated.select("region", F.explode(F.array(*[F.lit(f) for f in FEATURES])).alias("feature")).withColumn("importance", share)
     tuned = evaluated.filter("region <> 'ASIA'").select("region", F.lit(30).alias("trials"), F.lit(VALIDATION).alias("validation_year"), F.col("mae").alias("best_mae"), (F.col("mae") + 250).alias("best_score"))
@@ -160,8 +161,8 @@ def k07(spark, sf):
     for run, test in _RUNS:
         upto, at = rows.filter(F.col("transaction_year") <= test), f"{root}/run{run}"
         nodes = materialized(stumps(rows.filter(F.col("transaction_year").between(START, test - 1))), "nodes")
-        errors = _errors(_predicted(rows.filter(F.col("transaction_year") == test), nodes))
-        metadata.write_metadata(_documents(upto, nodes, test), f"{at}/metadata")
+        errors = materialized(_errors(_predicted(rows.filter(F.col("transaction_year") == test), nodes)), "errors")
+        metadata.write_metadata(_documents(upto, nodes, test, errors), f"{at}/metadata")
         nodes.write.partitionBy("region").parquet(f"{at}/model")
         sources.write_json(sources.dictionary_documents(cleaning.build_category_dictionary(upto)), f"{at}/categories")
         if run == 1:
