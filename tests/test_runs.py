@@ -9,13 +9,14 @@ import random
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tochi import functions as R
 from tochi import sources
-from tochi.operators import features, forest, metadata, publishing, registry, stations, training
+from tochi.operators import boosting, features, forest, metadata, publishing, registry, stations, training
 from tochi.plans import catalogue, runs
 from tochi.schema import CATEGORIES
 from tochi.sources import archives, stores
@@ -244,6 +245,48 @@ def test_the_best_trial_does_not_depend_on_threads(spark, regional):
     assert training.tune_regions.__defaults__[0] == 30
 
 
+def test_models_grown_side_by_side_are_those_of_spark_ml(spark, regional, monkeypatch):
+    df, sizes = regional
+    monkeypatch.setattr(boosting, "BLOCK", 40)  # many blocks a region, some with equal rows
+    df = df.unionByName(df.filter("k % 3 = 0")).unionByName(df.filter("k % 50 = 0")).withColumns({"area": F.round(F.col("area") / 4) * 4, "age": F.col("k") % 23 * 1.0})
+    df = df.withColumn("is_valid", F.col("is_fit"))  # splits that part the fitted rows alike are equally good
+    asked = [{"stepSize": 0.2, "maxDepth": 3, "minInstancesPerNode": 7, "maxIter": 4}, {"maxDepth": 5, "maxIter": 2}]
+    frames = {r: df.filter(F.col("region") == r) for r in ("a/b", "c")}
+    errors = boosting.grow(training.together(frames), sizes, {r: asked for r in frames})
+    for r, own in frames.items():
+        for t, parameters in enumerate(asked):
+            model = training.pipeline(sizes[r], **parameters).fit(training.nominal(own.filter("is_fit"), sizes[r]))
+            want = model.stages[-1].evaluateEachIteration(model.stages[0].transform(training.nominal(own.filter("is_valid"), sizes[r])), "absolute")
+            assert errors[r, t] == pytest.approx(list(want), rel=1e-9)
+    nodes = boosting.grown(training.together(frames), sizes, dict.fromkeys(frames, asked[0]))
+    model = training.pipeline(sizes["c"], **asked[0]).fit(training.nominal(frames["c"].filter("is_fit"), sizes["c"]))
+    want = {x.k: x.prediction for x in model.transform(training.nominal(frames["c"], sizes["c"])).collect()}
+    got = {x.k: x.prediction for x in forest.score(frames["c"], nodes, training.INPUTS, 3).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_the_jobs_of_a_search_do_not_grow_with_its_trials(spark, regional):
+    df, sizes = regional
+    frames, jobs = {"c": df.filter("region = 'c'")}, {}
+    for trials in (2, 6):
+        spark.sparkContext.setJobGroup(f"search of {trials}", "")
+        chosen = [{"maxDepth": 2, "maxIter": 2, "subsamplingRate": 0.8}] * trials
+        boosting.grow(training.together(frames), sizes, {"c": chosen})
+        jobs[trials] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"search of {trials}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[6] == jobs[2]
+
+
+def test_equal_rows_are_drawn_one_by_one():
+    keys, n = np.random.default_rng(3).integers(0, 1 << 62, 20_000).astype(np.uint64), np.repeat([1, 2, 9, 255], 5000).astype(np.uint8)
+    got = boosting.drawn(keys, n, 0.8, 7)
+    assert (got <= n).all() and (got == boosting.drawn(keys, n, 0.8, 7)).all() and (got != boosting.drawn(keys, n, 0.8, 8)).any()
+    for c in (1, 2, 9, 255):
+        own = got[n == c] / 1.0
+        assert abs(own.mean() - 0.8 * c) < 5 * (0.16 * c / 5000) ** 0.5 and abs(own.var() / (0.16 * c) - 1) < 0.15
+    assert (boosting.drawn(keys, n, 1.0, 7) == n).all()
+
+
 # ------------------------------------------------------------ archives, encodings, folders
 
 
