@@ -51,6 +51,13 @@ def test_every_encoding_gives_one_table(spark, tmp_path, kind):
     assert normalize.drop_missing(normalize.require(sources.read_transactions(spark, [str(path)], "zero"))).count() == 2
 
 
+def test_what_is_not_asked_for_is_not_parsed(spark):
+    raw = spark.createDataFrame([("中古マンション等", "5,000", "３０㎡", "駅")], "`種類` string, `取引価格（総額）` string, `面積（㎡）` string, `最寄駅：名称` string")
+    asked = normalize.require(normalize.normalize_csv(raw)).groupBy("room_layout").agg(F.count("price"))
+    assert "面積" not in asked._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert [tuple(r) for r in asked.collect()] == [("unknown", 1)]
+
+
 def test_archive_without_csv_is_an_error(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("readme.txt", "no")

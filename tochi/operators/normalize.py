@@ -39,7 +39,8 @@ ALIASES = {
 
 def _parsed(df: DataFrame, text: dict[str, Column], missing_building_year: str) -> DataFrame:
     # parsed below a generator of one row: a filter on a parsed column stays above it and
-    # does not run the parsing a second time
+    # does not run the parsing a second time; if one parsed column is asked for, the others
+    # are not parsed. Texts pass beside it, so that they are read only if they are asked for.
     kept = [F.col(c) for c in ("region", "source_path") if c in df.columns]
     once = {
         "price": R.number(text["price"]),
@@ -47,10 +48,11 @@ def _parsed(df: DataFrame, text: dict[str, Column], missing_building_year: str)
         "station_distance": R.walking_minutes(text["station_distance"]),
         "transaction_year": R.transaction_year(text["transaction_year"]),
         "building_year": R.building_year(text["building_year"]),
-        **{c: text[c] for c in ("prefecture", "municipality", "station", "room_layout", "building_type")},
     }
-    df = df.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in once.items()], *kept))))
-    text = {k: F.col(k) for k in once}
+    texts = ("prefecture", "municipality", "station", "room_layout", "building_type")
+    df = df.select(*[text[c].alias(c) for c in texts], *kept, F.explode(F.array(F.struct(*[c.alias(k) for k, c in once.items()]))).alias("_parsed"))
+    df = df.select(*texts, *kept, "_parsed.*")
+    text = {k: F.col(k) for k in (*once, *texts)}
     year = F.col("transaction_year")
     age = R.building_age(year, F.col("building_year"))
     if missing_building_year == "zero":
