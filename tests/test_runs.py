@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tochi import functions as R
 from tochi import sources
-from tochi.operators import boosting, features, forest, metadata, publishing, registry, stations, training
+from tochi.operators import boosting, cleaning, features, forest, history, metadata, publishing, registry, stations, training
 from tochi.plans import catalogue, runs
 from tochi.schema import CATEGORIES
 from tochi.sources import archives, stores
@@ -236,6 +236,47 @@ def test_equal_inputs_are_one_weighted_row_and_the_trees_are_the_same(spark, reg
     assert not counted.stages[-1].isDefined("weightCol")
 
 
+def test_rows_that_stand_for_equal_ones_count_as_all_of_them(spark, regional):
+    df, sizes = regional
+    odd = df.filter("region <> 'd'").drop("k").withColumn("area", F.when(F.col("area") < 70, F.round(F.col("area") / 20) * 20).otherwise(F.col("area") * 3)).withColumn("price", F.round(F.col("price") / 500) * 500)
+    all_of = odd.unionByName(odd.filter("age < 9")).unionByName(odd.filter("age < 3"))
+    few = all_of.groupBy(*all_of.columns).agg(F.count("*").alias("rows"))
+    assert few.count() < all_of.count() == training.expanded(few).count()
+    rows = lambda own: sorted(map(tuple, own.collect()))
+    for c in ("price", "area"):
+        assert rows(cleaning.iqr_bounds(few, c, weight="rows")) == rows(cleaning.iqr_bounds(all_of, c))
+    kept = cleaning.remove_iqr_outliers(few, weight="rows")
+    assert 0 < kept.count() < few.count() and rows(training.expanded(kept)) == rows(cleaning.remove_iqr_outliers(all_of).select(kept.drop("rows").columns))
+    assert rows(training.weighted(few)) == rows(training.weighted(all_of))  # prices are whole, so their sums are exact
+    assert rows(boosting.merged(few)) == rows(boosting.merged(all_of))
+    guess = F.col("area") * 90
+    assert rows(history.metrics(few.withColumn("prediction", guess), ["region"], weight="rows"))[0][1:] == pytest.approx(rows(history.metrics(all_of.withColumn("prediction", guess), ["region"]))[0][1:], rel=1e-12)
+    assert rows(history.mean_model(few, weight="rows")) == rows(history.mean_model(all_of))
+    mark = lambda own: own.select("region", "rows" if "rows" in own.columns else F.lit(1).alias("rows"), "transaction_year", F.col("is_fit").alias("is_train"), F.col("is_valid").alias("is_test"), F.lit(True).alias("timed"))
+    assert rows(metadata.split_counts(mark(few), 2001, 2003, weight="rows")) == rows(metadata.split_counts(mark(all_of), 2001, 2003))
+
+
+def test_models_are_fitted_on_each_different_row_once(spark, tmp_path):
+    for t in ("orders", "part", "supplier", "nation", "region", "lineitem"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        (df.unionByName(df).unionByName(df) if t == "lineitem" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    once, thrice = (catalogue._regional(spark, sf)[0] for sf in ("/root/testdata/sf0.001", str(tmp_path)))
+    assert thrice.count() == once.count() and thrice.agg(F.sum("rows")).first()[0] == 3 * once.agg(F.sum("rows")).first()[0] == 3 * catalogue.clean(spark, "/root/testdata/sf0.001").count()
+
+
+def test_forests_walked_in_batches_take_odd_inputs_as_rows_do(spark):
+    node = lambda k, feature, threshold, categories, left, right, value: ("r", 0, 2.0, k, feature, categories is not None, threshold, categories, left, right, value)
+    nodes = [node(0, 0, None, [0.0, 3.0, 9.0], 1, 2, None), node(1, 1, 5.0, None, 3, 4, None), node(2, -1, None, None, -1, -1, 1.0), node(3, -1, None, None, -1, -1, 10.0), node(4, -1, None, None, -1, -1, 100.0)]
+    kinds, values = (0.0, 3.0, 9.0, 8.0, 10.0, -1.0, 0.5, 1e300, None, float("nan"), float("inf")), (5.0, 5.1, None, float("nan"), float("-inf"))
+    asked = spark.createDataFrame([("r", a, b) for a in kinds for b in values], "region string, a double, b double")
+    got = {(repr(x.a), repr(x.b)): x.prediction for x in forest.score(asked, spark.createDataFrame(nodes, forest.NODES), ["a", "b"], 2).collect()}
+    leaf = lambda a, b: 1.0 if a not in (0.0, 3.0, 9.0) else 10.0 if b is not None and b <= 5.0 else 100.0
+    assert got == {(repr(a), repr(b)): 2 * leaf(a, b) for a in kinds for b in values}
+    one = spark.createDataFrame([("r", 0, 1.0, 0, -1, False, None, None, -1, -1, 7.0)], forest.NODES)
+    plan = forest.score(asked, one, ["a", "b"], 0)
+    assert {x.prediction for x in plan.collect()} == {7.0} and "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_the_best_trial_does_not_depend_on_threads(spark, regional):
     df, sizes = regional
     frames = {r: df.filter(F.col("region") == r) for r in ("a/b", "c")}
