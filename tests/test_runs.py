@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import os
@@ -415,6 +416,22 @@ def test_records_of_payloads_are_maps_of_strings(spark, tmp_path):
     assert got == [{"a": "1", "b": None, "c": "2", "d": '{"e":[1,"x"]}', "f": "true"}, {"a": "2"}, {"a": "3"}]
 
 
+def test_payloads_may_be_gzipped_and_texts_are_looked_up_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "scratch", lambda spark, label: f"{tmp_path}/{label}")
+    path = catalogue._wrapped(spark, "/root/testdata/sf0.001", compressed=True)
+    assert {n.split(".", 1)[1] for n in os.listdir(path)} == {"json.gz"}
+    os.makedirs(tmp_path / "plain")
+    for n in os.listdir(path):
+        (tmp_path / "plain" / n.removesuffix(".gz")).write_bytes(gzip.decompress((tmp_path / "api" / n).read_bytes()))
+    packed, plain = (sources.read_api_json(spark, [p]) for p in (path, f"{tmp_path}/plain"))
+    seen = lambda own: sorted(str(sorted(r.record.items())) for r in own.collect())
+    assert seen(packed) == seen(plain) and packed.count() > 5000
+    assert set(sources.by_suffix(spark, [path])) == {"json"}
+    assert sources.read_transactions(spark, [path]).count() == packed.count()
+    plan = sources.normalize_api(packed).select("age")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("buildingYear") <= 2  # once for each place that named it before, and too much code to be compiled
+
+
 def test_landing_folders_with_and_without_quarters(spark, tmp_path):
     for place, text in {"tokyo/2020": "1\n2\n", "tokyo/2021/q1": "3\n", "tokyo/2021/q4": "4\n", "chi ba/year=2020": "5\n", "region=chiba/2019/2": "6\n"}.items():
         (tmp_path / place).mkdir(parents=True)

@@ -90,8 +90,10 @@ def normalize_csv(raw: DataFrame, missing_building_year: str = "drop") -> DataFr
 
 def normalize_api(raw: DataFrame, record: str = "record", missing_building_year: str = "drop") -> DataFrame:
     """API records (a map of strings) parsed by the first filled alias of each field."""
-    text = {name: R.first_filled(*[F.try_element_at(F.col(record), F.lit(k)) for k in keys]) for name, keys in ALIASES.items()}
-    return _parsed(raw, text, missing_building_year)
+    # a step of its own: a text that parsing names several times is looked up once, and the code of both stays small enough to be compiled
+    text = [R.first_filled(*[F.try_element_at(F.col(record), F.lit(k)) for k in keys]).alias(f"_text_{name}") for name, keys in ALIASES.items()]
+    found = raw.select(*text, *(c for c in ("region", "source_path") if c in raw.columns))
+    return _parsed(found, {name: F.col(f"_text_{name}") for name in ALIASES}, missing_building_year)
 
 
 def require(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import zipfile
 from collections.abc import Callable
 from functools import reduce
@@ -612,17 +613,17 @@ def _record(district: str) -> Column:
     return F.struct(F.col("raw_price").alias("TradePrice"), F.col("raw_area").alias("Area"), F.col("raw_period").alias("period"), F.col("raw_built").alias("BuildingYear"), F.col("raw_walk").alias("TimeToNearestStation"), F.col("raw_prefecture").alias("Prefecture"), F.col("raw_municipality").alias("Municipality"), F.col("raw_station").alias("NearestStation"), F.lit(district).alias("DistrictName"), F.col("raw_layout").alias("FloorPlan"), F.col("raw_structure").alias("Structure"))
 
 
-def _wrapped(spark, sf) -> str:
+def _wrapped(spark, sf, compressed: bool = False) -> str:
     """API payloads of all rows, in five shapes, each with an entry that is no record."""
     path = sources.scratch(spark, "api")
     rows = _raw(spark, sf).select(F.to_json(_record("district")).alias("value"))
-    _payloads(rows, path, ("[{}]", *('{{"' + k + '":[{}]}}' for k in sources.WRAPPERS)), ',"not a record"')
+    _payloads(rows, path, ("[{}]", *('{{"' + k + '":[{}]}}' for k in sources.WRAPPERS)), ',"not a record"', compressed)
     return path
 
 
 @query("r04_api_json", f"{_RAW}, p AS (SELECT {_num('raw_price')} AS price, {_num('raw_area')} AS area, {_AGE} AS age, CAST({_walk('raw_walk')} AS DOUBLE) AS station_distance, coalesce(nullif(raw_station, ''), 'district') AS station FROM raw) SELECT station, count(*) AS n, count(price) AS priced, count(age) AS aged, sum(area) AS area, sum(station_distance) AS walk FROM p GROUP BY ALL")
 def r04(spark, sf):
-    parsed = normalize.require(normalize.normalize_api(sources.read_api_json(spark, [_wrapped(spark, sf)])))
+    parsed = normalize.require(normalize.normalize_api(sources.read_api_json(spark, [_wrapped(spark, sf, compressed=True)])))
     return parsed.groupBy("station").agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.count("age").alias("aged"), F.sum("area").alias("area"), F.sum("station_distance").alias("walk"))
 
 
@@ -640,8 +641,9 @@ def _landed(spark, rows: DataFrame, encoding: str) -> str:
     return path
 
 
-def _payloads(df: DataFrame, path: str, shapes: tuple[str, ...] = ("[{}]",), tail: str = "") -> None:
-    """JSON records as payloads of the API, a list a batch of rows; shapes take turns, the first batch of a task has them all."""
+def _payloads(df: DataFrame, path: str, shapes: tuple[str, ...] = ("[{}]",), tail: str = "", compressed: bool = False) -> None:
+    """JSON records as payloads of the API, a list a batch of rows, gzipped if asked for; shapes take turns, the first batch of a task has them all."""
+    suffix = "json.gz" if compressed else "json"
 
     def run(batches):
         from pyarrow import fs
@@ -653,8 +655,9 @@ def _payloads(df: DataFrame, path: str, shapes: tuple[str, ...] = ("[{}]",), tai
         for k, batch in enumerate(batches):
             records, parts = batch["value"].tolist(), 1 if k else len(shapes)
             for own in filter(None, (records[i::parts] for i in range(parts))):
-                with store.open_output_stream(f"{root}/{task:05d}-{n:05d}.json", compression=None) as out:
-                    out.write(shapes[n % len(shapes)].format(",".join(own) + tail).encode())
+                payload = shapes[n % len(shapes)].format(",".join(own) + tail).encode()
+                with store.open_output_stream(f"{root}/{task:05d}-{n:05d}.{suffix}", compression=None) as out:
+                    out.write(gzip.compress(payload, 1) if compressed else payload)
                 n += 1
         yield pd.DataFrame({"task": [task]})
 
@@ -705,7 +708,7 @@ def r03(spark, sf):
         _csv_view(raw.filter("l_linenumber = 1")).write.option("header", True).option("encoding", sources.JAPANESE).csv(f"{root}/japanese")
     _csv_view(raw.filter("l_linenumber = 2")).write.option("header", True).csv(f"{root}/plain")
     _zipped(_csv_view(raw.filter("l_linenumber = 3")), f"{root}/archives")
-    _payloads(raw.filter("l_linenumber > 3").select(F.to_json(_record("district")).alias("value")), f"{root}/api")
+    _payloads(raw.filter("l_linenumber > 3").select(F.to_json(_record("district")).alias("value")), f"{root}/api", compressed=True)
     df = normalize.require(sources.read_transactions(spark, [root]))
     return df.groupBy(F.coalesce("prefecture", F.lit("")).alias("prefecture"), F.coalesce("station", F.lit("district")).alias("station")).agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.count("age").alias("aged"), F.sum("area").alias("area"), F.sum("station_distance").alias("walk"))
 

@@ -90,10 +90,10 @@ def read_api_json(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def by_suffix(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """The files of all paths, folders expanded: zip and json by their suffix, all others as csv."""
+    """The files of all paths, folders expanded: zip and json (or json.gz) by their suffix, all others as csv."""
     out: dict[str, list[str]] = {}
     for path, _ in stores.files(spark, paths):
-        suffix = path.lower().rsplit(".", 1)[-1]
+        suffix = path.lower().removesuffix(".gz").rsplit(".", 1)[-1]
         out.setdefault(suffix if suffix in ("zip", "json") else "csv", []).append(path)
     return out
 
