@@ -363,6 +363,26 @@ def test_files_are_told_apart_by_ranges(spark, tmp_path):
         assert got == {"a.csv": True, "b.csv": False, "c.csv": True, "d.csv": False, "sp ace+.csv": True}
 
 
+def test_gzipped_files_are_told_apart_by_what_they_hold(spark, tmp_path):
+    text = "種類,駅\n" + "土地,新宿\n" * 5000
+    held = {"a.csv.gz": text.encode(), "b.csv.gz": text.encode("cp932"), "c.CSV.GZ": b"", "d.csv.gz": text.encode() + "é".encode()[:1]}
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(gzip.compress(data))
+    for size in (4, 1000, 1 << 20):
+        got = {r.path.rsplit("/", 1)[-1]: r.is_utf8 for r in archives.encodings(spark, [str(tmp_path)], size).collect()}
+        assert got == {"a.csv.gz": True, "b.csv.gz": False, "c.CSV.GZ": True, "d.csv.gz": False}
+    rows = sources.read_transaction_csv(spark, [f"{tmp_path}/a.csv.gz", f"{tmp_path}/b.csv.gz"])
+    assert rows.groupBy("種類", "駅").count().collect() == [("土地", "新宿", 10000)]
+
+
+def test_landed_files_are_gzipped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "scratch", lambda spark, label: f"{tmp_path}/{label}-{len(os.listdir(tmp_path))}")
+    for encoding in ("UTF-8", sources.JAPANESE):
+        path = catalogue._landed(spark, spark.createDataFrame([("新宿",)], "`駅` string"), encoding)
+        assert [n.split(".", 1)[1] for n in os.listdir(path) if n.startswith("part")][0].endswith("csv.gz")
+        assert sources.read_transaction_csv(spark, [path]).collect() == [("新宿",)]
+
+
 def test_transcoded_files_may_be_compressed(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(("種類,駅\n" + "土地,新宿\n" * 500).encode("cp932"))
     sources.transcode_to_utf8(spark, [f"{tmp_path}/a.csv"], f"{tmp_path}/utf8", "gzip")

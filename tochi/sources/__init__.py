@@ -58,7 +58,7 @@ class _JapaneseCharsets:
 
 
 def read_transaction_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Bulk CSV files in UTF-8 (with or without mark) or Shift_JIS, all columns strings.
+    """Bulk CSV files in UTF-8 (with or without mark) or Shift_JIS, all columns strings; they may be gzipped.
 
     Spark checks the charset again when a plan runs, so Japanese files are transcoded
     into the shared folder here, and the session's setting is as before on return.
@@ -69,7 +69,7 @@ def read_transaction_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
         if frame is None:
             path = scratch(spark, "transcoded")
             with _JapaneseCharsets(spark):
-                _csv(spark, own, code).write.parquet(path)
+                _csv(spark, own, code).write.option("compression", "zstd").parquet(path)
             frame = spark.read.parquet(path)
         frames.append(frame)
     return union_all(frames)
