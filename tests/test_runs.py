@@ -319,6 +319,35 @@ def test_the_jobs_of_a_search_do_not_grow_with_its_trials(spark, regional):
     assert 0 < jobs[6] == jobs[2]
 
 
+def test_arrays_of_blocks_are_files_of_which_the_named_are_read(spark, regional, tmp_path, monkeypatch):
+    arrays = {n: np.arange(6).astype(k) for n, k in boosting.ARRAYS.items()}
+    path = boosting.saved(f"{tmp_path}/a b", arrays)
+    got = boosting.loaded(path, "predicted", "codes")
+    assert [a.dtype for a in got] == [np.float64, np.int32] and all((a == np.arange(6)).all() for a in got)
+    df, sizes = regional
+    monkeypatch.setattr(boosting, "scratch", lambda spark, label: f"{tmp_path}/{label}-{len(os.listdir(tmp_path))}")
+    monkeypatch.setattr(boosting.stores, "remove", lambda spark, path: None)
+    boosting.grow(training.together({"c": df.filter("region = 'c'")}), sizes, {"c": [{"maxIter": 2, "maxDepth": 1}]})
+    tables = [n for n in os.listdir(tmp_path) if n.startswith("blocks")]
+    seen = {f"{tmp_path}/{n}": spark.read.parquet(f"{tmp_path}/{n}/table") for n in tables}
+    assert len(seen) == 3 and {r.file is None or r.file.startswith(f"{p}/arrays/") for p, t in seen.items() for r in t.collect()} == {True}
+    assert all(f.dataType.simpleString() != "binary" for t in seen.values() for f in t.schema)  # arrays pass no rows of Spark
+
+
+def test_features_added_up_together_come_apart_as_they_are():
+    rng, bins = np.random.default_rng(1), [100, 50, 30, 5, 2, 6, 2001, 26, 1]
+    groups = boosting.joined(bins)
+    assert sorted(f for g in groups for f in g) == list(range(len(bins))) and len(groups) < 6 and [6] in groups
+    assert all(len(g) == 1 or np.prod([bins[f] for f in g]) <= boosting.JOINT for g in groups)
+    at, codes, w = rng.integers(0, 3, 500), np.array([rng.integers(0, k, 500) for k in bins]), rng.integers(0, 9, (2, 500)) / 1.0
+    sums = []
+    for g in groups:
+        width, code = int(np.prod([bins[f] for f in g])), np.ravel_multi_index([codes[f] for f in g], [bins[f] for f in g])
+        sums.append(np.array([np.bincount(at * width + code, x, 3 * width).reshape(3, width) for x in w]))
+    got = boosting.parted(sums, groups, bins)
+    assert (got == np.concatenate([np.array([np.bincount(at * k + c, x, 3 * k).reshape(3, k) for x in w]) for k, c in zip(bins, codes)], axis=2)).all()
+
+
 def test_equal_rows_are_drawn_one_by_one():
     keys, n = np.random.default_rng(3).integers(0, 1 << 62, 20_000).astype(np.uint64), np.repeat([1, 2, 9, 255], 5000).astype(np.uint8)
     got = boosting.drawn(keys, n, 0.8, 7)
